@@ -30,6 +30,7 @@ def text_sql(source: str, col: str) -> str:
 
 KIND_SQL = rf"""CASE WHEN st = '' THEN 'unknown' WHEN contains(lower(st), 'gold') THEN 'gold'
     WHEN regexp_matches(st, '{tx.DAMAGE}') THEN 'damage' WHEN regexp_matches(st, '\p{{L}}') THEN 'item' ELSE 'unknown' END"""
+TOKENS_SQL = r"(SELECT lang, unnest(regexp_split_to_array(text, '\s+')) AS text FROM documents)"
 STRIP_SQL = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 
@@ -74,7 +75,7 @@ def _(spark, sf):
     "p5_classify_documents",
     rf"""SELECT lang, kind, count(*) AS tokens, CAST(coalesce(sum(CASE WHEN kind = 'damage' THEN val END), 0) AS BIGINT) AS damage
         FROM (SELECT lang, val, {KIND_SQL} AS kind FROM (SELECT *, {STRIP_SQL} AS st FROM {text_sql(
-            "(SELECT lang, unnest(regexp_split_to_array(text, '\s+')) AS text FROM documents)", 'text')})) GROUP BY ALL""",
+            TOKENS_SQL, 'text')})) GROUP BY ALL""",
 )
 def _(spark, sf):
     tokens = ad.table(spark, sf, "documents").select("lang", F.explode(F.split("text", r"\s+")).alias("text"))
