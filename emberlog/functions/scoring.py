@@ -15,10 +15,9 @@ def _if(cond: Column, points: float) -> Column:
 
 
 def heuristic_confidence(
-    raw: Column, parsed: Column, line_score: Column, members: Column, width: Column, height: Column
+    raw: Column, parsed: Column, plausible: Column, line_score: Column, members: Column, width: Column, height: Column
 ) -> Column:
     """Sum of bonuses and penalties, clamped to [0, 1]."""
-    plausible = tx.is_plausible(raw)
     nonempty = raw != ""
     has_unit = raw.rlike("[kKmMbB]")
     one_digit = F.length(F.regexp_replace(raw, "[^0-9]", "")) == 1

@@ -6,7 +6,7 @@ expression, so a whole normalise-and-parse job stays inside generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Accepted spellings of a damage number.
 DAMAGE = r"(?i)^[0-9][0-9,]*(\.[0-9]+)?[kmb]?$"
@@ -14,6 +14,9 @@ SUFFIXED = r"^[0-9]{1,5}(\.[0-9]{1,3})?[KMB]$"
 PLAIN = r"^[0-9]{2,10}$"
 COMMA_SUFFIXED = r"^[0-9]{1,3},[0-9]{3}[KMBkmb]$"
 SHORT_TAIL = r"^[^,.]*,[^,.]{1,2}$"
+# A lone comma before one or two characters: a decimal point if a letter follows, else ambiguous.
+DECIMAL_COMMA = r"^([^,.]*),([^,.]{1,2})(\p{L})$"
+AMBIGUOUS = r"^[^,.]*,([^,.]?[^,.\p{L}])$"
 NOISE = r"[^0-9kKmMbB,.\-]"
 LOOSE_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(E[+-]?[0-9]+)?\s*$"
 LOOSE_PLAUSIBLE = r"^([0-9]+|[0-9]+(\.[0-9]+)?[KMBkmb]|[0-9]+\.[0-9]+)$"
@@ -32,38 +35,50 @@ def clean_text(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Upper-case suffix; a lone comma before one or two digits is a decimal point when a suffix follows."""
-    s = _compact(text)
-    has_suffix = s.rlike(r"\p{L}$")
-    body = F.when(has_suffix, F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
-    suffix = F.when(has_suffix, F.upper(F.right(s, F.lit(1)))).otherwise(F.lit(""))
-    comma_is_point = has_suffix & body.rlike(SHORT_TAIL)
-    number = F.when(comma_is_point, F.replace(body, F.lit(","), F.lit("."))).otherwise(F.replace(body, F.lit(","), F.lit("")))
-    return F.concat(number, suffix)
+    """Upper-case suffix; a lone comma before one or two digits is a decimal point when a suffix
+    follows; other commas go.  The text is referenced twice only, to keep generated code small."""
+    s = F.regexp_replace(_compact(text), DECIMAL_COMMA, "$1.$2$3")
+    s = F.replace(s, F.lit(","), F.lit(""))
+    return F.concat(F.regexp_replace(s, "(?s).$", ""), F.upper(F.substring(s, -1, 1)))
 
 
 def _scale(suffix: Column) -> Column:
     return F.when(suffix == "K", 1e3).when(suffix == "M", 1e6).when(suffix == "B", 1e9).otherwise(F.lit(1.0))
 
 
+def parse_normalized(n: Column) -> Column:
+    number = F.translate(n, "KMB", "").try_cast("double")
+    return F.when(n.rlike(DAMAGE), (number * _scale(F.substring(n, -1, 1))).try_cast("bigint"))
+
+
 def parse_value(text: Column) -> Column:
-    n = normalize(text)
-    last = F.upper(F.right(n, F.lit(1)))
-    digits = F.regexp_extract(n, r"^([0-9.]+)", 1).try_cast("double")
-    return F.when(n.rlike(DAMAGE), (digits * _scale(last)).try_cast("bigint"))
+    return parse_normalized(normalize(text))
 
 
-def is_plausible(text: Column) -> Column:
-    s, n = _compact(text), normalize(text)
-    ends_letter = s.rlike(r"\p{L}$")
-    value = parse_value(text)
+def plausible_from(text: Column, n: Column, value: Column) -> Column:
+    """Plausibility of ``text`` given its normal form and parsed value."""
+    s = _compact(text)
     return (
         F.when(s == "", False)
         .when(s.rlike(COMMA_SUFFIXED), True)
-        .when(~ends_letter & s.rlike(SHORT_TAIL), False)
+        .when(s.rlike(AMBIGUOUS), False)
         .when(value.isNull() | (value <= 0), False)
-        .when(n.rlike(r"\p{L}$"), n.rlike(SUFFIXED))
-        .otherwise(n.rlike(PLAIN))
+        .otherwise(n.rlike(SUFFIXED + "|" + PLAIN))
+    )
+
+
+def is_plausible(text: Column) -> Column:
+    n = normalize(text)
+    return plausible_from(text, n, parse_normalized(n))
+
+
+def read_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``normalized``, ``parsed_value`` and ``is_plausible`` in stages, so each is computed
+    once per row (Catalyst does not inline a costly expression that is used more than once)."""
+    return (
+        df.withColumn("normalized", normalize(F.col(text)))
+        .withColumn("parsed_value", parse_normalized(F.col("normalized")))
+        .withColumn("is_plausible", plausible_from(F.col(text), F.col("normalized"), F.col("parsed_value")))
     )
 
 

@@ -109,7 +109,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.expr("l_orderkey div 64").alias("session_id"),
         F.col("l_orderkey").cast("int").alias("frame_index"),
-        F.expr("l_orderkey * 16 + l_linenumber").alias("ordinal"),
+        F.expr("(l_orderkey * 8 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint)").alias("ordinal"),
         F.expr("cast(l_partkey * 7 % 300 as int)").alias("left"),
         F.expr("cast(l_suppkey * 11 % 120 as int)").alias("top"),
         F.expr("cast(20 + l_partkey % 90 as int)").alias("width"),
@@ -130,7 +130,6 @@ def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("frame_index"),
         F.concat("l_returnflag", "l_linestatus").alias("stage"),
         (F.col("l_quantity") + F.col("l_discount") * 100).alias("elapsed_ms"),
-        F.expr("l_orderkey * 16 + l_linenumber").alias("ordinal"),
     )
 
 
@@ -265,12 +264,12 @@ SQL: dict[str, str] = {
     "damage": """SELECT session_id, frame_index AS frame, timestamp_ms, parsed_value AS value, center_x, center_y, ordinal
         FROM hits WHERE event_type <> 'purchase'""",
     "boxes": """SELECT *, "left" + width - 1 AS "right", top + height - 1 AS bottom FROM (
-        SELECT l_orderkey // 64 AS session_id, CAST(l_orderkey AS INTEGER) AS frame_index, l_orderkey * 16 + l_linenumber AS ordinal,
+        SELECT l_orderkey // 64 AS session_id, CAST(l_orderkey AS INTEGER) AS frame_index, (l_orderkey * 8 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) AS ordinal,
         CAST(l_partkey * 7 % 300 AS INTEGER) AS "left", CAST(l_suppkey * 11 % 120 AS INTEGER) AS top,
         CAST(20 + l_partkey % 90 AS INTEGER) AS width, CAST(12 + l_suppkey % 60 AS INTEGER) AS height,
         CAST(l_quantity * 40 AS INTEGER) AS pixel_count, CAST(1 + l_linenumber % 7 AS INTEGER) AS member_count FROM lineitem)""",
     "stage_timings": """SELECT l_suppkey AS session_id, l_orderkey AS frame_index, l_returnflag || l_linestatus AS stage,
-        l_quantity + l_discount * 100 AS elapsed_ms, l_orderkey * 16 + l_linenumber AS ordinal FROM lineitem""",
+        l_quantity + l_discount * 100 AS elapsed_ms FROM lineitem""",
     "memory_samples": """SELECT o_custkey // 16 AS session_id, o_orderkey AS frame_index, o_orderpriority AS stage,
         CAST(floor(o_totalprice / 1000) AS BIGINT) AS rss_mb FROM orders""",
     "thumbs": """SELECT vec_id // 50 AS session_id, CAST(vec_id AS INTEGER) AS frame_index,
@@ -309,6 +308,7 @@ def with_views(sql: str, *names: str) -> str:
                 ordered.append(dep)
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in ordered)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {head}, {body[5:]}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(lead):
+            return f"{lead}{head}, {body[len(lead):]}"
     return f"WITH {head} {body}"

@@ -55,7 +55,7 @@ def _(spark, sf):
 
 @query("p4_plausible", f"SELECT ordinal, text, ok AS plausible FROM {text_sql('texts', 'text')}", ["texts"])
 def _(spark, sf):
-    return ad.texts(spark, sf).select("ordinal", "text", tx.is_plausible(F.col("text")).alias("plausible"))
+    return tx.read_texts(ad.texts(spark, sf)).select("ordinal", "text", F.col("is_plausible").alias("plausible"))
 
 
 @query(
@@ -182,9 +182,8 @@ def scored_readings(spark, sf):
         ((i % 30) / 2.0).alias("line_score"), (i % 8).cast("int").alias("member_count"),
         (i % 120 + 10).cast("int").alias("width"), (i % 40 + 8).cast("int").alias("height"),
     )
-    parsed = tx.parse_value(F.col("text"))
-    conf = sc.heuristic_confidence(F.col("text"), parsed, F.col("line_score"), F.col("member_count"), F.col("width"), F.col("height"))
-    return t.select("*", parsed.alias("parsed_value"), conf.alias("confidence"), tx.is_plausible(F.col("text")).alias("is_plausible"))
+    inputs = ("text", "parsed_value", "is_plausible", "line_score", "member_count", "width", "height")
+    return tx.read_texts(t).withColumn("confidence", sc.heuristic_confidence(*[F.col(c) for c in inputs]))
 
 
 CONFIDENCE_SQL = (
