@@ -73,13 +73,15 @@ def is_plausible(text: Column) -> Column:
 
 
 def read_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``normalized``, ``parsed_value`` and ``is_plausible`` in stages, so each is computed
-    once per row (Catalyst does not inline a costly expression that is used more than once)."""
-    return (
-        df.withColumn("normalized", normalize(F.col(text)))
-        .withColumn("parsed_value", parse_normalized(F.col("normalized")))
-        .withColumn("is_plausible", plausible_from(F.col(text), F.col("normalized"), F.col("parsed_value")))
-    )
+    """Adds ``normalized``, ``parsed_value`` and ``is_plausible``, each computed once per row.
+
+    The first two are staged projections.  The last goes through ``inline``, which later
+    filters cannot be pushed below: otherwise a filter on it, or on anything built from it,
+    would be rewritten in terms of the raw text and repeat the whole chain many times over.
+    """
+    staged = df.withColumn("normalized", normalize(F.col(text))).withColumn("parsed_value", parse_normalized(F.col("normalized")))
+    flag = plausible_from(F.col(text), F.col("normalized"), F.col("parsed_value"))
+    return staged.select("*", F.inline(F.array(F.struct(flag.alias("is_plausible")))))
 
 
 def classify(text: Column) -> Column:
