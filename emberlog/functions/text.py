@@ -136,25 +136,21 @@ def grouped_number(value: Column) -> Column:
 
 
 def short_number(value: Column) -> Column:
-    """``12.3K`` style.  One decimal, rounded as the binary fraction really is (ties to even):
-    the fraction is taken as an exact 52-bit integer, so no decimal re-rounding occurs."""
+    """``12.3K`` style: one decimal, dropped when zero."""
     v = value.cast("double")
-    steps = [(1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")]
     unit, scaled = F.lit(""), v
-    for size, letter in reversed(steps):
+    for size, letter in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
         unit = F.when(v >= size, letter).otherwise(unit)
         scaled = F.when(v >= size, v / size).otherwise(scaled)
-    whole = F.floor(scaled)
-    tenths = ((scaled - whole) * float(2**52)).cast("bigint") * 10
-    digit = F.shiftright(tenths, 52)
-    rest = tenths.bitwiseAND(F.lit(2**52 - 1))
-    up = (rest > 2**51) | ((rest == 2**51) & (digit % 2 == 1))
-    total = whole * 10 + digit + F.when(up, 1).otherwise(0)
-    tail = F.when(total % 10 == 0, "").otherwise(F.concat(F.lit("."), (total % 10).cast("string")))
-    text = F.concat(F.floor(total / 10).cast("string"), tail, unit)
+    text = F.concat(F.regexp_replace(fixed(scaled, 1), r"\.0$", ""), unit)
     return F.when(value.isNull() | (value == 0), "0").when(v < 1000, v.cast("bigint").cast("string")).otherwise(text)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed decimals without grouping; rounds the stored binary value, exact ties to even."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def clock(elapsed_ms: Column) -> Column:
     s = F.greatest(F.lit(0), F.floor(elapsed_ms / 1000)).cast("bigint")
     minutes = F.floor(s / 60).cast("string")

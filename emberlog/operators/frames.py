@@ -259,3 +259,8 @@ def accepted(readings: DataFrame, min_confidence: float = 0.2) -> DataFrame:
 
 def ready_summary(candidates: DataFrame, keys: list[str] = ["session_id"]) -> DataFrame:  # noqa: B006
     return candidates.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if("is_ready").alias("ready"), F.max("score").alias("best_score"))
+
+
+def ranked(candidates: DataFrame, keys: list[str] = ["session_id"]) -> DataFrame:  # noqa: B006
+    """Whole ranking as one range-partitioned sort: ready first, then score, then size."""
+    return candidates.orderBy(*keys, F.desc("is_ready"), F.desc("score"), F.desc("pixel_count"), F.asc("ordinal"))

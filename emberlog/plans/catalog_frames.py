@@ -199,17 +199,13 @@ def _(spark, sf):
 
 @query(
     "c15_ranked_tokens",
-    f"""SELECT session_id, ordinal, is_ready, round(score, 6) AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY is_ready DESC, round(score, 9) DESC, pixel_count DESC, ordinal) AS rn
-        FROM (SELECT session_id, ordinal, pixel_count, {TOKEN_SCORE_SQL} AS score, {TOKEN_READY_SQL} AS is_ready FROM boxes)) WHERE rn <= 200""",
+    f"SELECT session_id, ordinal, {TOKEN_READY_SQL} AS is_ready, round({TOKEN_SCORE_SQL}, 6) AS score FROM boxes",
     ["boxes"],
 )
 def _(spark, sf):
-    from emberlog.operators.timeline import top_k
-
     w, h, p = (F.col(c) for c in ("width", "height", "pixel_count"))
     b = ad.boxes(spark, sf).withColumns({"score": geo.token_score(w, h, p), "is_ready": geo.token_ready(w, h, p)})
-    ranked = top_k(b, ["session_id"], [F.desc("is_ready"), F.desc(F.round("score", 9)), F.desc("pixel_count"), F.asc("ordinal")], 200)
-    return ranked.select("session_id", "ordinal", "is_ready", F.round("score", 6).alias("score"), "rank")
+    return fr.ranked(b).select("session_id", "ordinal", "is_ready", F.round("score", 6).alias("score"))
 
 
 @query(
