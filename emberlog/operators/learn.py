@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberlog.functions.scoring import FEATURES, feature_columns
 from emberlog.operators.stats import classifier_report
+from emberlog.session import cut_lineage
 
 INPUTS = [f"v_{f}" for f in FEATURES]
 
@@ -55,10 +56,10 @@ def collected_samples(hits: DataFrame) -> DataFrame:
 def negatives(samples: DataFrame, share: float = 1 / 3, seed: int = 42) -> DataFrame:
     """Unlikely-looking negatives, about ``share`` of the input rows, made from seeded noise on
     the row's own hash so that a recomputed task makes the same rows."""
-    key = F.xxhash64(*[c for c in samples.columns], F.lit(seed))
+    keyed = samples.select(F.xxhash64(*samples.columns, F.lit(seed)).alias("_key"))
 
     def uniform(i: int):
-        return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1_000_003)) / 1_000_003.0
+        return F.pmod(F.xxhash64("_key", F.lit(i)), F.lit(1_000_003)) / 1_000_003.0
 
     def between(i: int, lo: float, hi: float):
         return uniform(i) * (hi - lo) + lo
@@ -66,7 +67,7 @@ def negatives(samples: DataFrame, share: float = 1 / 3, seed: int = 42) -> DataF
     def whole(i: int, lo: int, hi: int):
         return F.floor(between(i, lo, hi + 1)).cast("int")
 
-    return samples.filter(uniform(0) < share).select(
+    return keyed.filter(uniform(0) < share).select(
         F.lit(0).alias("label"), between(1, 2.0, 6.0).alias("line_score"), between(2, 0.5, 0.9).alias("fill_ratio"), between(3, 0.8, 1.5).alias("aspect_ratio"), whole(4, 1, 2).alias("member_count"),
         whole(5, 100, 300).alias("width"), whole(6, 100, 300).alias("height"), (uniform(7) < 0.5).alias("has_digit"), F.lit(False).alias("has_suffix"), F.lit(False).alias("has_decimal"),
         F.lit(False).alias("starts_with_nonzero"), whole(8, 5, 15).alias("text_length"), F.lit(None).cast("bigint").alias("parsed_value"), F.lit(False).alias("value_in_range"), F.lit(False).alias("is_plausible"),
@@ -79,6 +80,13 @@ def vector_inputs(samples: DataFrame, presence: bool = True) -> DataFrame:
     return samples.withColumns({f"v_{f}": value if f == "parsed_value" else F.col(f).cast("double") for f in FEATURES})
 
 
+def prepared(samples: DataFrame, presence: bool = True) -> DataFrame:
+    """Narrow numeric training rows, written once: every optimiser pass re-reads them instead of
+    repeating the text features, also after the loss of an executor."""
+    keep = [c for c in ("ordinal",) if c in samples.columns]
+    return cut_lineage(vector_inputs(samples, presence).select(*keep, "label", *INPUTS))
+
+
 def balanced(samples: DataFrame) -> DataFrame:
     """Adds ``weight`` = n / (classes * class size), from one count per class."""
     per_class = samples.groupBy("label").agg(F.count("*").alias("_c"))
@@ -102,9 +110,9 @@ def _assembler(out: str) -> VectorAssembler:
 def train(samples: DataFrame, scale: bool = False, reg: float | None = None) -> PipelineModel:
     """Balanced logistic regression.  ``reg`` defaults to 1/n, which corresponds to unit inverse
     regularisation on the summed loss."""
-    rows = balanced(vector_inputs(samples, presence=not scale))
+    rows = balanced(prepared(samples, presence=not scale))
     if reg is None:
-        reg = 1.0 / max(samples.count(), 1)
+        reg = 1.0 / max(rows.count(), 1)
     stages = [_assembler("raw" if scale else "features")]
     if scale:
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
@@ -139,7 +147,7 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
 def choose_model(samples: DataFrame, trees: int = 100, folds: int = 5, seed: int = 42) -> tuple[str, object, DataFrame]:
     """Logistic regression, random forest and boosted trees compared by cross-validated and test
     F1; the best test F1 wins.  Returns (name, model, scores)."""
-    rows = vector_inputs(samples, presence=False)
+    rows = prepared(samples, presence=False)
     left, right = split(rows, key="ordinal", seed=seed)
     f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
     candidates = {
