@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberlog.operators.timeline import islands
@@ -33,34 +33,42 @@ def _segments(df: DataFrame, keys: list[str], axis: str, window: int, span: int)
     return rows.withColumn(PIECE, F.floor((F.col(axis) - F.col(SEG)) / F.lit(span)).cast("bigint"))
 
 
-def _scanner(keys: list[str], axis: str, fields: list[str], window: int, span: int, rule: Rule, columns: list[str]):
-    """Builds the ``mapInPandas`` body: a single pass over rows sorted by piece and order."""
+def _widest(df: DataFrame, keys: list[str], axis: str) -> int:
+    """Largest axis range of any key: one combined aggregation, one number to the driver."""
+    extent = df.groupBy(*keys).agg((F.max(axis) - F.min(axis)).alias("_w"))
+    return extent.agg(F.max("_w")).first()[0] or 0
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, live, edge, last_axis = None, [], None, None
+
+def _scanner(keys: list[str], axis: str, fields: list[str], window: int, span: int, rule: Rule, whole: bool):
+    """Builds the ``mapInArrow`` body: one pass over rows sorted by piece and order.
+
+    Columns the rule does not need stay Arrow data and pass through untouched.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, live, edge, last_axis, layout = None, [], None, None, None
 
         def closing() -> list[tuple]:
             # Only a piece that reaches its end edge can hand anything over.
-            if current is None or last_axis is None or last_axis + window < edge:
+            if whole or current is None or last_axis is None or last_axis + window < edge:
                 return []
             return [(current, slot, entry) for slot, entry in enumerate(live) if entry[1] + window >= edge]
 
-        for pdf in batches:
-            ids = list(zip(*(pdf[c].tolist() for c in [*keys, SEG, PIECE])))
-            slots = pdf[SLOT].tolist()
-            states = pdf[STATE].tolist()
-            rows = list(zip(*(pdf[c].tolist() for c in fields)))
-            axes = pdf[axis].tolist()
-            carried_ids = pdf[ASSIGNED].tolist()
+        for batch in batches:
+            layout = batch.schema
+            groups = list(zip(*(batch[c].to_pylist() for c in [*keys, SEG, PIECE])))
+            rows = list(zip(*(batch[c].to_pylist() for c in fields)))
+            axes, slots = batch[axis].to_pylist(), batch[SLOT].to_pylist()
+            resumed = max(slots, default=-1) >= 0
+            states, owners = (batch[STATE].to_pylist(), batch[ASSIGNED].to_pylist()) if resumed else (None, None)
             assigned, keep, carries = [], [], []
-            for i, group in enumerate(ids):
+            for i, group in enumerate(groups):
                 if group != current:
                     carries.extend(closing())
                     current, live, last_axis = group, [], None
                     edge = group[-2] + (group[-1] + 1) * span
                 if slots[i] >= 0:
-                    numbers = [None if v != v else v for v in states[i]]
-                    live.append([int(carried_ids[i]), int(numbers[0]), *numbers[1:]])
+                    live.append([owners[i], int(states[i][0]), *states[i][1:]])
                     continue
                 now = axes[i]
                 if now != last_axis:
@@ -68,27 +76,25 @@ def _scanner(keys: list[str], axis: str, fields: list[str], window: int, span: i
                     last_axis = now
                 assigned.append(rule(live, rows[i]))
                 keep.append(i)
-            out = pdf.iloc[keep].copy()
-            out[ASSIGNED] = pd.array(assigned, dtype="Int64")
-            yield out[columns]
+            out = batch.take(pa.array(keep, pa.int64())) if resumed else batch
+            yield out.set_column(layout.get_field_index(ASSIGNED), layout.field(ASSIGNED), pa.array(assigned, pa.int64()))
             if carries:
-                yield _carry_frame(carries, keys, columns)
+                yield _carry_batch(carries, keys, layout)
         tail = closing()
         if tail:
-            yield _carry_frame(tail, keys, columns)
+            yield _carry_batch(tail, keys, layout)
 
     return scan
 
 
-def _carry_frame(carries: list[tuple], keys: list[str], columns: list[str]) -> pd.DataFrame:
-    data = {c: [None] * len(carries) for c in columns}
+def _carry_batch(carries: list[tuple], keys: list[str], layout: pa.Schema) -> pa.RecordBatch:
+    data = {f.name: [None] * len(carries) for f in layout}
     for n, (group, slot, entry) in enumerate(carries):
         for c, v in zip([*keys, SEG, PIECE], group):
             data[c][n] = v
-        data[ASSIGNED][n] = entry[0]
-        data[SLOT][n] = slot
-        data[STATE][n] = [float("nan") if v is None else float(v) for v in entry[1:]]
-    return pd.DataFrame(data, columns=columns)
+        data[ASSIGNED][n], data[SLOT][n] = entry[0], slot
+        data[STATE][n] = [None if v is None else float(v) for v in entry[1:]]
+    return pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) for f in layout], schema=layout)
 
 
 def chained_scan(
@@ -108,27 +114,33 @@ def chained_scan(
     """
     keys, fields = list(keys), list(fields)
     base = df.columns
+    # Keys that span less than one piece need neither runs nor exchange: the key is the piece.
+    whole = _widest(df, keys, axis) < span
+    first_axis = F.lit(0).cast("bigint")
+    cut = df.withColumn(SEG, first_axis).withColumn(PIECE, first_axis) if whole else _segments(df, keys, axis, window, span)
     prepared = (
-        _segments(df, keys, axis, window, span)
-        .withColumn(ASSIGNED, F.lit(None).cast("bigint"))
+        cut.withColumn(ASSIGNED, F.lit(None).cast("bigint"))
         .withColumn(SLOT, F.lit(-1))
         .withColumn(STATE, F.lit(None).cast("array<double>"))
     )
     columns = [*base, SEG, PIECE, ASSIGNED, SLOT, STATE]
     prepared = prepared.select(*columns)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in prepared.schema.fields])
-    scan = _scanner(keys, axis, fields, window, span, rule, columns)
+    scan = _scanner(keys, axis, fields, window, span, rule, whole)
+
+    # A fixed count: pieces of Python work should not be merged because their bytes are few.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(rows: DataFrame) -> DataFrame:
         # ``axis`` is NULL on carried state, so it sorts before the rows of its piece.
         return (
-            rows.repartition(*[F.col(c) for c in [*keys, SEG, PIECE]])
+            rows.select(*columns)  # Arrow output is matched by position
+            .repartition(parts, *[F.col(c) for c in [*keys, SEG, PIECE]])
             .sortWithinPartitions(*keys, SEG, PIECE, F.col(axis).asc_nulls_first(), SLOT, *order)
-            .mapInPandas(scan, schema)
+            .mapInArrow(scan, schema)
         )
 
-    deepest = prepared.agg(F.max(PIECE)).first()[0]
-    if not deepest:
+    if whole or not prepared.agg(F.max(PIECE)).first()[0]:
         return run(prepared).select(*base, ASSIGNED)
 
     piece = [*keys, SEG, PIECE]

@@ -110,7 +110,7 @@ def _assembler(out: str) -> VectorAssembler:
 def train(samples: DataFrame, scale: bool = False, reg: float | None = None) -> PipelineModel:
     """Balanced logistic regression.  ``reg`` defaults to 1/n, which corresponds to unit inverse
     regularisation on the summed loss."""
-    rows = balanced(prepared(samples, presence=not scale))
+    rows = cut_lineage(balanced(prepared(samples, presence=not scale)))
     if reg is None:
         reg = 1.0 / max(rows.count(), 1)
     stages = [_assembler("raw" if scale else "features")]
@@ -155,7 +155,7 @@ def choose_model(samples: DataFrame, trees: int = 100, folds: int = 5, seed: int
         "random_forest": RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=seed),
         "gradient_boosting": GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, seed=seed),
     }
-    weighted = balanced(left)
+    weighted = cut_lineage(balanced(left))
     scores, models = [], {}
     for name, estimator in candidates.items():
         pipe = Pipeline(stages=[_assembler("raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), estimator])

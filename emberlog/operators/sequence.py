@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from math import hypot
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from emberlog.operators.chained import chained_scan
-from emberlog.operators.timeline import islands, near_frames, previous_row, running
+from emberlog.operators.timeline import previous_row, running
 
 SESSION = ["session_id"]
 
@@ -33,15 +33,14 @@ def _mergeable(a: int, b: int) -> bool:
 def spaced_keep(df: DataFrame, keys: list[str], axis: str, window: int, span: int = 8192) -> DataFrame:
     """Distinct ``(keys, axis)`` kept so that each is more than ``window`` after the last *kept* one.
 
-    Pure JVM.  A piece of at most ``span`` axis values is folded once per possible distance
-    to the last kept value before it (``window`` of them, plus "none"); chaining those small
-    answers along the pieces of a run gives every piece its true start.
+    Pure JVM.  The axis is cut into pieces of at most ``span`` values.  A piece is folded once
+    per possible distance to the last kept value before it (``window`` of them, plus "none");
+    chaining those small answers along the pieces of a key gives every piece its true start.
     """
-    keys = list(keys)
-    points = islands(df, keys, axis, window).withColumn("_k", F.floor((F.col(axis) - F.col("island_start")) / span))
-    run = [*keys, "island_start"]
-    pieces = points.groupBy(*run, "_k").agg(F.sort_array(F.collect_list(F.col(axis).cast("bigint"))).alias("_f"))
-    start = F.col("island_start").cast("bigint") + F.col("_k") * span
+    run = list(keys)
+    points = df.select(*run, F.col(axis).cast("bigint").alias("_x")).distinct().withColumn("_k", F.floor(F.col("_x") / span))
+    pieces = points.groupBy(*run, "_k").agg(F.sort_array(F.collect_list("_x")).alias("_f"))
+    start = F.col("_k") * span
 
     def fold(entry):
         """Kept values of the piece when the last kept value before it is ``entry`` (or NULL)."""
@@ -65,7 +64,7 @@ def spaced_keep(df: DataFrame, keys: list[str], axis: str, window: int, span: in
     offsets = F.sequence(F.lit(0), F.lit(window))
     exits = F.transform(offsets, lambda d: last_only(F.when(d > 0, start - d)))
     table = pieces.select(*run, "_k", start.alias("_start"), exits.alias("_exit"))
-    # One short entry per piece: a run has at most (axis span / span) of them.
+    # One short entry per piece: a key has at most (axis range / span) of them.
     chain = table.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("_k", "_start", "_exit"))).alias("_p"))
 
     def advance(acc, p):
@@ -79,7 +78,7 @@ def spaced_keep(df: DataFrame, keys: list[str], axis: str, window: int, span: in
         F.array().cast("array<struct<_k:bigint,entry:bigint>>").alias("out"),
     )
     entries = chain.select(*run, F.inline(F.aggregate("_p", zero, advance)["out"]))
-    kept = pieces.join(entries, [*run, "_k"]).select(*keys, F.explode(fold(F.col("entry"))["kept"]).alias(axis))
+    kept = pieces.join(entries, [*run, "_k"]).select(*run, F.explode(fold(F.col("entry"))["kept"]).alias(axis))
     return kept
 
 
@@ -347,7 +346,8 @@ def line_ids(boxes: DataFrame, max_w: int = 380, max_h: int = 130, max_members:
 
 def group_lines(boxes: DataFrame, keys: list[str] = ["session_id", "frame_index"], **params) -> DataFrame:  # noqa: B006
     """Lines of boxes with their hull and pixel count (at most ``max_members`` boxes each)."""
-    ids = line_ids(boxes, keys=keys, **params)
+    needed = boxes.select(*keys, "ordinal", "left", "top", "right", "bottom", "pixel_count")
+    ids = line_ids(needed, keys=keys, **params)
     return ids.groupBy(*keys, "line_id").agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
         F.sum("pixel_count").alias("pixel_count"), F.count("*").alias("member_count"),

@@ -160,14 +160,25 @@ def near_frames(df: DataFrame, axis: str, tol: int, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.col(axis) - tol, F.col(axis) + tol)))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bins: int = 1024) -> DataFrame:
-    """Exact linear-interpolation quantiles (rank ``(n - 1) * p``) without gathering a group.
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = 100_000) -> DataFrame:
+    """Exact linear-interpolation quantiles (rank ``(n - 1) * p``), whatever the group sizes.
 
-    Values are first reduced to ``(keys, value) -> count``.  A histogram of at most ``bins``
-    cells per key locates the cell of each wanted rank; only those cells are ranked by value.
+    Values are first reduced to ``(keys, value) -> count``.  Keys with few distinct values go to
+    the built-in ``percentile`` over those counts, whose memory is the number of distinct values;
+    the others, which must not meet in one task, go through a two-level histogram.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    large = counts.groupBy(*keys).agg(F.count("*").alias("_d")).filter(F.col("_d") > small).select(*keys)
+    wanted = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]), F.col("_n")).alias("_q")
+    direct = counts.join(large, keys, "left_anti").groupBy(*keys).agg(wanted)
+    direct = direct.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    return direct.unionByName(_histogram_quantiles(counts.join(large, keys, "left_semi"), keys, probs))
+
+
+def _histogram_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Quantiles of large groups: a histogram of at most ``bins`` cells per key locates the cell
+    of each wanted rank, and only those cells are ranked by value."""
     span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
     located = counts.join(span, keys).withColumn("_cell", F.least(cell.cast("int"), F.lit(bins - 1)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from emberlog.functions import geometry as geo, scoring as sc, text as tx
-from emberlog.operators.timeline import top_k
+from emberlog.operators.stats import token_kinds
 from emberlog.plans import adapters as ad
 from emberlog.plans.registry import query
 
@@ -78,13 +78,7 @@ def _(spark, sf):
             TOKENS_SQL, 'text')})) GROUP BY ALL""",
 )
 def _(spark, sf):
-    tokens = ad.table(spark, sf, "documents").select("lang", F.explode(F.split("text", r"\s+")).alias("text"))
-    kind = tx.classify(F.col("text"))
-    value = F.when(kind == "damage", tx.parse_value(F.col("text")))
-    return (
-        tokens.groupBy("lang", kind.alias("kind"))
-        .agg(F.count("*").alias("tokens"), F.coalesce(F.sum(value), F.lit(0)).alias("damage"))
-    )
+    return token_kinds(ad.table(spark, sf, "documents"), ["lang"])
 
 
 @query(
