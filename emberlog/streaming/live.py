@@ -17,6 +17,9 @@ from emberlog import schemas
 from emberlog.operators.sequence import _mergeable
 
 LATE = "10 minutes"
+# Session time starts at 0, but a fresh watermark also starts at the epoch and would drop that
+# instant as late; event time is therefore session time plus one day.
+SHIFT_MS = 86_400_000
 
 
 def read_hits(spark: SparkSession, path: str, files_per_batch: int = 1000, schema: str = schemas.LIVE_HIT) -> DataFrame:
@@ -25,7 +28,7 @@ def read_hits(spark: SparkSession, path: str, files_per_batch: int = 1000, schem
 
 
 def with_event_time(hits: DataFrame, ms: str = "timestamp_ms", late: str = LATE, name: str = "event_time") -> DataFrame:
-    return hits.withColumn(name, F.timestamp_millis(F.col(ms))).withWatermark(name, late)
+    return hits.withColumn(name, F.timestamp_millis(F.col(ms) + SHIFT_MS)).withWatermark(name, late)
 
 
 _LIVE_STATE = "ids array<bigint>, frames array<int>, vals array<bigint>, xs array<double>, ys array<double>"
@@ -85,7 +88,7 @@ def session_stats(hits: DataFrame, window_ms: int = 5000, key: str = "session_id
         window = sorted((a, b) for a, b in [*zip(ts, vals), *zip(t, v)] if last_ms - a <= window_ms)
         ts, vals = [a for a, _ in window], [b for _, b in window]
         state.update((int(total), int(hits_), int(peak), int(last_ms), int(last_value), ts, vals))
-        state.setTimeoutTimestamp(max(int(last_ms), state.getCurrentWatermarkMs()) + window_ms + 60_000)
+        state.setTimeoutTimestamp(max(int(last_ms) + SHIFT_MS, state.getCurrentWatermarkMs()) + window_ms + 60_000)
         rolling = int(sum(vals))
         yield pd.DataFrame([(group[0], last_ms, total, hits_, peak, last_value, rolling, rolling / (window_ms / 1000))], columns=[c.split()[0] for c in _STATS_OUT.split(", ")])
 
@@ -101,7 +104,7 @@ def dps_timeline(hits: DataFrame, bucket: str = "1 second", seconds: float = 1.0
     """Closed tumbling buckets (append); empty buckets are filled when the table is read."""
     w = hits.groupBy(key, F.window("event_time", bucket)).agg(F.sum("parsed_value").alias("damage"), F.count("*").alias("hit_count"))
     return w.select(
-        key, F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "damage", "hit_count", (F.col("damage") / seconds).alias("dps")
+        key, (F.unix_millis("window.start") - SHIFT_MS).alias("start_ms"), (F.unix_millis("window.end") - SHIFT_MS).alias("end_ms"), "damage", "hit_count", (F.col("damage") / seconds).alias("dps")
     )
 
 

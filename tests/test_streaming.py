@@ -52,6 +52,8 @@ def test_late_rows_are_dropped(spark, tmp_path):
     row = lambda ms, o, v: (1, o, ms, o, v, 0.9, 0.0, 0.0)
     write(src, "0.json", [row(500, 0, 10), row(1500, 1, 20)])
     write(src, "1.json", [row(600_000, 2, 30)])
-    write(src, "2.json", [row(700, 3, 1_000_000), row(1_200_000, 4, 40)])
+    # A watermark reached in one batch makes rows late from the batch after the next.
+    write(src, "2.json", [row(620_000, 3, 5)])
+    write(src, "3.json", [row(700, 4, 1_000_000), row(1_200_000, 5, 40)])
     out = live.run_to_table(live.dps_timeline(source(spark, src)), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert {r.start_ms: r.damage for r in out.collect()} == {0: 10, 1000: 20, 600_000: 30}
+    assert {r.start_ms: r.damage for r in out.collect()} == {0: 10, 1000: 20, 600_000: 30, 620_000: 5}
