@@ -33,10 +33,19 @@ def _segments(df: DataFrame, keys: list[str], axis: str, window: int, span: int)
     return rows.withColumn(PIECE, F.floor((F.col(axis) - F.col(SEG)) / F.lit(span)).cast("bigint"))
 
 
-def _widest(df: DataFrame, keys: list[str], axis: str) -> int:
-    """Largest axis range of any key: one combined aggregation, one number to the driver."""
-    extent = df.groupBy(*keys).agg((F.max(axis) - F.min(axis)).alias("_w"))
-    return extent.agg(F.max("_w")).first()[0] or 0
+def _piece_span(df: DataFrame, keys: list[str], axis: str, window: int, span: int, rows_per_piece: int) -> tuple[int, bool]:
+    """(span to use, whether every key fits one piece).
+
+    A crowded key gets shorter pieces: the span shrinks until the densest key holds about
+    ``rows_per_piece`` rows per piece, but never below the look-back.  One combined aggregation;
+    two numbers reach the driver.
+    """
+    extent = df.groupBy(*keys).agg((F.max(axis) - F.min(axis) + 1).alias("_w"), F.count("*").alias("_n"))
+    widest, density = extent.agg(F.max("_w"), F.max(F.col("_n") / F.col("_w"))).first()
+    if widest is None:
+        return span, True
+    span = max(window + 1, min(span, int(rows_per_piece / density)))
+    return span, widest <= span
 
 
 def _scanner(keys: list[str], axis: str, fields: list[str], window: int, span: int, rule: Rule, whole: bool):
@@ -106,6 +115,7 @@ def chained_scan(
     window: int,
     rule: Rule,
     span: int = 16384,
+    rows_per_piece: int = 250_000,
 ) -> DataFrame:
     """Adds ``assigned`` (bigint) to every row of ``df``: the id chosen by ``rule``.
 
@@ -115,7 +125,7 @@ def chained_scan(
     keys, fields = list(keys), list(fields)
     base = df.columns
     # Keys that span less than one piece need neither runs nor exchange: the key is the piece.
-    whole = _widest(df, keys, axis) < span
+    span, whole = _piece_span(df, keys, axis, window, span, rows_per_piece)
     first_axis = F.lit(0).cast("bigint")
     cut = df.withColumn(SEG, first_axis).withColumn(PIECE, first_axis) if whole else _segments(df, keys, axis, window, span)
     prepared = (

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BIN = "_bin"
-DEFAULT_WIDTH = 4096
+DEFAULT_WIDTH = 1024
 
 
 def bin_of(axis: str | Column, width: int) -> Column:

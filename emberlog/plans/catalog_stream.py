@@ -13,6 +13,7 @@ from emberlog.plans.catalog_sequence import LIVE_IDS
 from emberlog.plans.catalog_stats import HOUR
 from emberlog.plans.registry import query
 from emberlog.session import ensure_checkpoint_dir
+from emberlog.sources import io
 from emberlog.streaming import live
 
 
@@ -45,7 +46,7 @@ def stream(spark, sf, adapter, late="10 minutes"):
 @query("t1_live_unique", f"SELECT h.session_id, ordinal, frame_index, parsed_value FROM hits h JOIN {LIVE_IDS} USING (session_id, ordinal) WHERE assigned = ordinal", ["hits"])
 def _(spark, sf):
     folder = work_folder(spark, "t1")
-    table = live.run_to_table(live.unique_hits(stream(spark, sf, ad.hits)), f"{folder}/table", f"{folder}/state")
+    table = live.run_unique(stream(spark, sf, ad.hits), f"{folder}/table", f"{folder}/state")
     return table.select("session_id", "ordinal", "frame_index", "parsed_value")
 
 
@@ -100,3 +101,53 @@ def _(spark, sf):
     cues = live.with_event_time(ad.cues(_Streamed(spark), sf), name="cue_time")
     pairs = live.confirmed_damage(stream(spark, sf, ad.damage), cues, within="6 hours")
     return live.run_to_table(pairs, f"{folder}/table", f"{folder}/state")
+
+
+# --- files written from the tables and read back -----------------------------------------------
+
+
+@query(
+    "s9_detection_log",
+    "SELECT session_id, reason, count(*) AS n FROM (SELECT session_id, unnest(reasons) AS reason FROM rejections) GROUP BY 1, 2",
+    ["rejections"],
+)
+def _(spark, sf):
+    path = work_folder(spark, "s9")
+    log = ad.rejections(spark, sf)
+    io.write_detection_log(log, path)
+    return st.rejection_reasons(io.read_detection_log(spark, path, log.schema))
+
+
+@query("s4_candidates", "SELECT text, CAST(ordinal AS INTEGER) AS frame, CASE WHEN ordinal % 3 = 0 THEN 0.0 ELSE (ordinal % 10) / 10e0 END::DOUBLE AS confidence FROM texts", ["texts"])
+def _(spark, sf):
+    path = work_folder(spark, "s4")
+    t = ad.texts(spark, sf)
+    t.select("text", F.col("ordinal").cast("int").alias("frame"), F.when(F.col("ordinal") % 3 != 0, F.col("ordinal") % 10 / 10.0).alias("confidence")).write.json(path)
+    return io.read_candidates(spark, path, multi_line=False).select("text", "frame", "confidence")
+
+
+@query("s5_annotations", "SELECT CAST(session_id AS VARCHAR) AS session_id, frame, value, x, y, 'direct' AS damage_type FROM truth", ["truth"])
+def _(spark, sf):
+    path = work_folder(spark, "s5")
+    t = ad.truth(spark, sf).withColumn("session_id", F.col("session_id").cast("string"))
+    io.write_annotations(io.nest_truth(t), path)
+    good, _bad = io.read_annotations(spark, path, pattern="*.json", multi_line=False)
+    return io.annotation_hits(good).select("session_id", "frame", "value", "x", "y", "damage_type")
+
+
+@query(
+    "t4_incremental_pickup",
+    "SELECT session_id, count(*) AS hits, max(frame_index) AS last_frame FROM hits GROUP BY 1",
+    ["hits"],
+)
+def _(spark, sf):
+    """The hits arrive as files in two steps; the second run takes the new files only."""
+    folder = work_folder(spark, "t4")
+    rows = ad.hits(spark, sf).select(*live.LIVE_COLUMNS)
+    middle = F.col("frame_index") < 360
+    rows.filter(middle).write.json(f"{folder}/in/a")
+    source = lambda: live.read_hits(spark, f"{folder}/in/*", files_per_batch=4)
+    live.run_to_table(source(), f"{folder}/table", f"{folder}/state")
+    rows.filter(~middle).write.json(f"{folder}/in/b")
+    table = live.run_to_table(source(), f"{folder}/table", f"{folder}/state")
+    return table.groupBy("session_id").agg(F.count("*").alias("hits"), F.max("frame_index").alias("last_frame"))

@@ -39,15 +39,17 @@ def read_metadata(spark: SparkSession, root: str, sessions: DataFrame | None = N
     return df if sessions is None else sessions.select("session_id").distinct().join(df, "session_id", "left")
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(schemas.CANDIDATE).option("multiLine", True).json(path)
+def read_candidates(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Candidate arrays, one document per file, or one candidate per line."""
+    df = spark.read.schema(schemas.CANDIDATE).option("multiLine", multi_line).json(path)
     return df.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
-def read_annotations(spark: SparkSession, root: str, pattern: str = "benchmark_*.json") -> tuple[DataFrame, DataFrame]:
-    """(annotations, rejected): documents that do not parse are set aside with their path."""
+def read_annotations(spark: SparkSession, root: str, pattern: str = "benchmark_*.json", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(annotations, rejected): documents that do not parse are set aside with their path.
+    Annotation tables written by this package hold one document per line."""
     raw = (
-        spark.read.schema(schemas.ANNOTATION + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE")
+        spark.read.schema(schemas.ANNOTATION + ", _corrupt_record string").option("multiLine", multi_line).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         .json(root).withColumn("path", F.col("_metadata.file_path"))
     )

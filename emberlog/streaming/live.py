@@ -1,8 +1,7 @@
 """Live twins: unique hits, session statistics, timelines, kill confirmation, refresh.
 
-Every operator takes and returns a streaming DataFrame with an event-time column ``event_time``.
-Rows later than the watermark are dropped by Spark.  State per key is bounded: it holds what
-the look-back of the operator needs and goes away when the watermark passes it.
+Streams carry an event-time column ``event_time``; rows later than the watermark are dropped by
+the windowed operators.  State is bounded: it holds what the look-back of the operator needs.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberlog import schemas
-from emberlog.operators.sequence import _mergeable
+from emberlog.operators.sequence import live_unique
+from emberlog.session import cut_lineage
 
 LATE = "10 minutes"
 # Session time starts at 0, but a fresh watermark also starts at the epoch and would drop that
@@ -31,68 +31,96 @@ def with_event_time(hits: DataFrame, ms: str = "timestamp_ms", late: str = LATE,
     return hits.withColumn(name, F.timestamp_millis(F.col(ms) + SHIFT_MS)).withWatermark(name, late)
 
 
-_LIVE_STATE = "ids array<bigint>, frames array<int>, vals array<bigint>, xs array<double>, ys array<double>"
+LIVE_COLUMNS = ["session_id", "frame_index", "timestamp_ms", "ordinal", "parsed_value", "confidence", "center_x", "center_y"]
 
 
-def unique_hits(hits: DataFrame, window: int = 1, reach: float = 45.0, key: str = "session_id") -> DataFrame:
-    """Hits that do not repeat a recently accepted one.  A batch is processed in (frame, ordinal)
-    order; only accepted hits of the last ``window`` frames stay in state."""
-    columns = [key, "frame_index", "timestamp_ms", "ordinal", "parsed_value", "confidence", "center_x", "center_y", "event_time"]
-    rows = hits.select(*columns)
-    out_schema = rows.drop("event_time").schema
+def unique_hits(folder: str, window: int = 1, reach: float = 45.0, idle_ms: int = 600_000, key: str = "session_id"):
+    """``foreachBatch`` body: appends the hits of a batch that do not repeat an accepted one.
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(zip(*state.get)) if state.exists and len(state.get[0]) else []
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["frame_index", "ordinal"], ignore_index=True)
-        keep = []
-        for i, (f, v, x, y, o) in enumerate(zip(*(pdf[c].tolist() for c in ("frame_index", "parsed_value", "center_x", "center_y", "ordinal")))):
-            recent = [r for r in recent if f - r[1] <= window]
-            if any(abs(x - r[3]) <= reach and abs(y - r[4]) <= reach and _mergeable(int(r[2]), v) for r in recent):
-                continue
-            recent.append((o, f, v, x, y))
-            keep.append(i)
-        state.update(tuple(list(c) for c in zip(*recent)) if recent else ([], [], [], [], []))
-        latest = int(pdf["event_time"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 60_000)
-        yield pdf.loc[keep, [f.name for f in out_schema.fields]]
-
-    return rows.groupBy(key).applyInPandasWithState(step, out_schema, _LIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-_STATS_STATE = "total bigint, hits bigint, peak bigint, last_ms bigint, last_value bigint, ts array<bigint>, vals array<bigint>"
+    The batch runs through the batch operator together with the accepted hits of the last
+    ``window`` frames of each session.  Those are accepted again (they never were duplicates of
+    each other), so the answer is that of one pass over all rows, and a crowded session is cut
+    into pieces like any other.  Accepted hits go to ``hits/epoch=n``, the ones still in reach to
+    ``recent/epoch=n``; repeating a batch rewrites its own folders.  Sessions silent for
+    ``idle_ms`` of session time leave the recent set.
+    """
+    columns = [key, *LIVE_COLUMNS[1:]]
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(*columns, F.lit(False).alias("_old"))
+        if epoch > 0:
+            old = batch.sparkSession.read.schema(rows.drop("_old").schema).parquet(f"{folder}/recent/epoch={epoch - 1}")
+            rows = rows.unionByName(old.withColumn("_old", F.lit(True)))
+        kept = cut_lineage(live_unique(rows, window=window, reach=reach, keys=[key]))
+        kept.filter("not _old").select(*columns).write.mode("overwrite").parquet(f"{folder}/hits/epoch={epoch}")
+        last = kept.groupBy(key).agg(F.max("frame_index").alias("_f"), F.max("timestamp_ms").alias("_t"))
+        newest = kept.agg(F.max("timestamp_ms")).first()[0] or 0
+        recent = kept.join(last.filter(F.col("_t") >= newest - idle_ms), key).filter(F.col("frame_index") >= F.col("_f") - window)
+        recent.select(*columns).write.mode("overwrite").parquet(f"{folder}/recent/epoch={epoch}")
+
+    return run
+
+
+def run_unique(stream: DataFrame, folder: str, checkpoint: str, **params) -> DataFrame:
+    """Drives ``unique_hits`` over what is there now and returns the table of accepted hits."""
+    q = stream.writeStream.foreachBatch(unique_hits(folder, **params)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/hits").select(*LIVE_COLUMNS)
+
+
+_PARTIAL = (
+    "session_id bigint, total bigint, hits bigint, peak bigint, last_ms bigint, last_ordinal bigint, last_value bigint, ts array<bigint>, vals array<bigint>"
+)
+_STATS_STATE = _PARTIAL.split(", ", 1)[1]
 _STATS_OUT = "session_id bigint, timestamp_ms bigint, total_damage bigint, hit_count bigint, peak_hit bigint, last_hit bigint, rolling_damage bigint, rolling_dps double"
 
 
+def _merge_partials(a: tuple | None, b: tuple, window_ms: int) -> tuple:
+    """Adds two session summaries; only the trailing window of the newer one is kept."""
+    if a is None:
+        return b
+    newest = max(a[3:6], b[3:6])
+    window: dict[int, int] = {}
+    for t, v in [*zip(a[6], a[7]), *zip(b[6], b[7])]:
+        if newest[0] - t <= window_ms:
+            window[int(t)] = window.get(int(t), 0) + int(v)
+    return (a[0] + b[0], a[1] + b[1], max(a[2], b[2]), *newest, list(window), list(window.values()))
+
+
 def session_stats(hits: DataFrame, window_ms: int = 5000, key: str = "session_id") -> DataFrame:
     """Session state after each batch: totals, peak, last hit and the trailing window.
 
-    Rows are first merged per instant inside the batch (an ordinary distributed aggregation
-    would need its own state, so this happens on the group); state keeps the trailing window only.
+    Every Arrow batch is reduced to one summary per session *before* the shuffle: totals plus the
+    per-instant sums of its trailing window (older rows cannot be in the final window).  A crowded
+    session thus sends one row per ten thousand; state keeps one summary per session.
     """
-    rows = hits.select(key, "timestamp_ms", "ordinal", "parsed_value", "event_time")
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for sid, g in pdf.groupby(key):
+                last = g.loc[g[["timestamp_ms", "ordinal"]].apply(tuple, axis=1).idxmax()]
+                recent = g[g["timestamp_ms"] >= last["timestamp_ms"] - window_ms].groupby("timestamp_ms")["parsed_value"].sum()
+                v = g["parsed_value"]
+                out.append((sid, int(v.sum()), len(v), int(v.max()), int(last["timestamp_ms"]), int(last["ordinal"]), int(last["parsed_value"]), recent.index.tolist(), recent.tolist()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTIAL.split(", ")])
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, hits_, peak, last_ms, last_value, ts, vals = state.get if state.exists else (0, 0, 0, 0, 0, [], [])
-        if state.hasTimedOut:
-            # Only the trailing window can be forgotten; the totals are the session's result.
-            state.update((total, hits_, peak, last_ms, last_value, [], []))
-            return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp_ms", "ordinal"], ignore_index=True)
-        t, v = pdf["timestamp_ms"].tolist(), pdf["parsed_value"].tolist()
-        total, hits_, peak = total + sum(v), hits_ + len(v), max(peak, max(v))
-        if t[-1] >= last_ms:
-            last_ms, last_value = t[-1], v[-1]
-        window = sorted((a, b) for a, b in [*zip(ts, vals), *zip(t, v)] if last_ms - a <= window_ms)
-        ts, vals = [a for a, _ in window], [b for _, b in window]
-        state.update((int(total), int(hits_), int(peak), int(last_ms), int(last_value), ts, vals))
-        state.setTimeoutTimestamp(max(int(last_ms) + SHIFT_MS, state.getCurrentWatermarkMs()) + window_ms + 60_000)
-        rolling = int(sum(vals))
-        yield pd.DataFrame([(group[0], last_ms, total, hits_, peak, last_value, rolling, rolling / (window_ms / 1000))], columns=[c.split()[0] for c in _STATS_OUT.split(", ")])
-
-    return rows.groupBy(key).applyInPandasWithState(step, _STATS_OUT, _STATS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        now = tuple(state.get) if state.exists else None
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                now = _merge_partials(now, tuple(row)[1:], window_ms)
+        state.update(tuple([int(x) for x in c] if i >= 6 else int(c) for i, c in enumerate(now)))
+        rolling = int(sum(now[7]))
+        yield pd.DataFrame([(group[0], now[3], now[0], now[1], now[2], now[5], rolling, rolling / (window_ms / 1000))], columns=[c.split()[0] for c in _STATS_OUT.split(", ")])
+
+    rows = hits.select(key, "timestamp_ms", "ordinal", "parsed_value").mapInPandas(combine, _PARTIAL)
+    return rows.groupBy(key).applyInPandasWithState(step, _STATS_OUT, _STATS_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def session_totals(hits: DataFrame, key: str = "session_id") -> DataFrame:
+    """Built-in running totals (update mode), combined before the shuffle."""
+    return hits.groupBy(key).agg(F.sum("parsed_value").alias("total_damage"), F.count("*").alias("hit_count"), F.max("parsed_value").alias("peak_hit"))
 
 
 def sliding_damage(hits: DataFrame, length: str = "5 seconds", slide: str = "1 second", key: str = "session_id") -> DataFrame:

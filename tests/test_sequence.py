@@ -154,3 +154,14 @@ def test_lines(spark):
     df = spark.createDataFrame([(*b, 100) for b in boxes], "session_id int, frame_index int, ordinal bigint, left int, top int, right int, bottom int, pixel_count int")
     out = {r.line_id: (r.left, r.right, r.member_count, r.pixel_count) for r in sq.group_lines(df).collect()}
     assert out == {1: (10, 34, 2, 200), 3: (300, 320, 1, 100), 4: (12, 30, 1, 100)}
+
+
+def test_crowded_session_is_cut(spark, data):
+    """A low row target per piece shortens the pieces; the answer stays the same."""
+    from emberlog.operators.chained import _piece_span, chained_scan
+    from emberlog.operators.sequence import _Nearby
+
+    assert _piece_span(data, ["session_id"], "frame_index", 5, 16384, 20)[1] is False
+    fields = ["ordinal", "frame_index", "parsed_value", "confidence", "center_x", "center_y"]
+    cut = chained_scan(data, ["session_id"], "frame_index", ["ordinal"], fields, 5, _Nearby("track", 70.0), rows_per_piece=20)
+    assert ids(cut, "assigned") == ids(sq.vote_tracks(data), "track_id")

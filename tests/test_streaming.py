@@ -26,7 +26,7 @@ def test_unique_hits_over_batches(spark, tmp_path):
     src.mkdir()
     for f in range(3):
         write(src, f"{f}.json", [(1, f, f * 33, f, 1200, 0.9, 5.0, 5.0), (2, f, f * 33, 10 + f, 700 + 100 * f, 0.9, 5.0, 5.0)])
-    out = live.run_to_table(live.unique_hits(source(spark, src)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    out = live.run_unique(source(spark, src), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted((r.session_id, r.frame_index) for r in out.collect()) == [(1, 0), (1, 2), (2, 0), (2, 1), (2, 2)]
 
 
