@@ -22,7 +22,9 @@ def temporal_support(lines: DataFrame, window: int = 2, reach: float = 80.0, key
     before the join: a frame then holds at most as many points as it has pixels, however
     many copies of a line there are.  Frames are matched by equality on shifted copies.
     """
-    points = lines.groupBy(*keys, "frame_index", "center_x", "center_y").agg(F.count("*").alias("_w"))
+    place = [*keys, "frame_index", "center_x", "center_y"]
+    # The filter is what the joins below imply for each side; stating it once lets them share one shuffle.
+    points = lines.dropna(subset=place).groupBy(*place).agg(F.count("*").alias("_w"))
     targets = F.array(*[F.col("frame_index") + d for d in range(-window, window + 1) if d])
     other = points.select(*keys, F.explode(targets).alias("frame_index"), F.col("center_x").alias("_x"), F.col("center_y").alias("_y"), F.col("_w").alias("_ow"))
     d = F.hypot(F.col("center_x") - F.col("_x"), F.col("center_y") - F.col("_y"))

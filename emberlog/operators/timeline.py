@@ -29,23 +29,28 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def _with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows of every bin preceded by its carry row (``_from_before``).  A union, not a join: both
+    inputs meet in the shuffle of the bin window that follows, and since no join condition adds
+    filters to one side only, Spark can share the shuffle both are built from."""
+    return rows.withColumn("_from_before", F.lit(False)).unionByName(carry.withColumn("_from_before", F.lit(True)), allowMissingColumns=True)
+
+
+def _carry_first() -> Column:
+    return F.desc("_from_before")
+
+
 def previous_row(
     df: DataFrame, keys: Sequence[str], axis: str, cols: Sequence[str], order: Sequence[str] = (), width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """Adds ``prev_<col>`` from the preceding row of the same key (NULL for the first)."""
     sort = [axis, *order]
-    binned = df.withColumn(BIN, bin_of(axis, width))
-    payload = F.struct(*[F.col(c) for c in cols])
-    local = W.partitionBy(*keys, BIN).orderBy(*sort)
-    rows = binned.withColumn("_prev", F.lag(payload).over(local)).withColumn("_rn", F.row_number().over(local))
-    last = binned.groupBy(*keys, BIN).agg(F.max_by(payload, F.struct(*[F.col(c) for c in sort])).alias("_last"))
-    carry = last.select(*keys, BIN, F.lag("_last").over(W.partitionBy(*keys).orderBy(BIN)).alias("_carry"))
-    joined = rows.join(carry, [*keys, BIN], "left")
-    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    out = joined.withColumn("_p", prev)
-    for c in cols:
-        out = out.withColumn(f"prev_{c}", F.col("_p")[c])
-    return out.drop(BIN, "_prev", "_rn", "_carry", "_p")
+    rows = df.withColumn(BIN, bin_of(axis, width)).withColumn("_payload", F.struct(*[F.col(c) for c in cols]))
+    last = rows.groupBy(*keys, BIN).agg(F.max_by("_payload", F.struct(*[F.col(c) for c in sort])).alias("_payload"))
+    carry = last.select(*keys, BIN, F.lag("_payload").over(W.partitionBy(*keys).orderBy(BIN)).alias("_payload"))
+    local = W.partitionBy(*keys, BIN).orderBy(_carry_first(), *sort)
+    out = _with_carry(rows, carry).withColumn("_prev", F.lag("_payload").over(local)).filter(~F.col("_from_before"))
+    return out.select(*df.columns, *[F.col("_prev")[c].alias(f"prev_{c}") for c in cols])
 
 
 def running(
@@ -60,44 +65,32 @@ def running(
 ) -> DataFrame:
     """Running sum / max / last-non-null per key; each dict maps output name to input column.
 
-    Local windows give the value inside the bin; the carry is the same aggregate over all
-    earlier bins, taken from the per-bin summary.
+    The window of a bin starts from its carry row: the same aggregate over all earlier bins,
+    taken from the per-bin summary.
     """
     sums, maxes, lasts = sums or {}, maxes or {}, lasts or {}
     sort = [F.col(axis), *[F.col(c) for c in order]]
-    binned = df.withColumn(BIN, bin_of(axis, width))
-    local = W.partitionBy(*keys, BIN).orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)
-    rows = binned.select(
-        "*",
-        *[F.sum(c).over(local).alias(f"_l_{n}") for n, c in sums.items()],
-        *[F.max(c).over(local).alias(f"_l_{n}") for n, c in maxes.items()],
-        *[F.last(c, ignorenulls=True).over(local).alias(f"_l_{n}") for n, c in lasts.items()],
-    )
+    inputs = {f"_{n}": c for d in (sums, maxes, lasts) for n, c in d.items()}
+    rows = df.select("*", bin_of(axis, width).alias(BIN), *[F.col(c).alias(n) for n, c in inputs.items()])
     position = F.struct(*sort)
-    per_bin = binned.groupBy(*keys, BIN).agg(
-        *[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()],
-        *[F.max(c).alias(f"_b_{n}") for n, c in maxes.items()],
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_b_{n}") for n, c in lasts.items()],
+    per_bin = rows.groupBy(*keys, BIN).agg(
+        *[F.sum(f"_{n}").alias(f"_{n}") for n in sums],
+        *[F.max(f"_{n}").alias(f"_{n}") for n in maxes],
+        *[F.max_by(F.col(f"_{n}"), F.when(F.col(f"_{n}").isNotNull(), position)).alias(f"_{n}") for n in lasts],
     )
+
+    def over(w) -> list[tuple[str, Column]]:
+        return (
+            [(n, F.sum(f"_{n}").over(w)) for n in sums]
+            + [(n, F.max(f"_{n}").over(w)) for n in maxes]
+            + [(n, F.last(f"_{n}", ignorenulls=True).over(w)) for n in lasts]
+        )
+
     before = W.partitionBy(*keys).orderBy(BIN).rowsBetween(W.unboundedPreceding, -1)
-    carry = per_bin.select(
-        *keys,
-        BIN,
-        *[F.sum(f"_b_{n}").over(before).alias(f"_c_{n}") for n in sums],
-        *[F.max(f"_b_{n}").over(before).alias(f"_c_{n}") for n in maxes],
-        *[F.last(f"_b_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
-    )
-    out = rows.join(carry, [*keys, BIN], "left")
-    cols = [F.col(c) for c in df.columns]
-    cols += [
-        F.when(F.col(f"_l_{n}").isNull() & F.col(f"_c_{n}").isNull(), None)
-        .otherwise(F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)))
-        .alias(n)
-        for n in sums
-    ]
-    cols += [F.greatest(f"_l_{n}", f"_c_{n}").alias(n) for n in maxes]
-    cols += [F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in lasts]
-    return out.select(*cols)
+    carry = per_bin.select(*keys, BIN, *[e.alias(f"_{n}") for n, e in over(before)])
+    local = W.partitionBy(*keys, BIN).orderBy(_carry_first(), *sort).rowsBetween(W.unboundedPreceding, 0)
+    out = _with_carry(rows, carry).select("*", *[e.alias(n) for n, e in over(local)]).filter(~F.col("_from_before"))
+    return out.select(*df.columns, *sums, *maxes, *lasts)
 
 
 def positions(df: DataFrame, keys: Sequence[str], axis: str, order: Sequence[str] = (), name: str = "pos", width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -139,19 +132,19 @@ def islands(df: DataFrame, keys: Sequence[str], axis: str, window: int, width: i
     keys = list(keys)
     points = df.select(*keys, axis).distinct().withColumn(BIN, bin_of(axis, width))
     local = W.partitionBy(*keys, BIN).orderBy(axis)
-    prev = F.lag(axis).over(local)
-    points = points.withColumn("_start", F.when(F.col(axis) - prev > window, F.col(axis)))
-    points = points.withColumn("_local", F.max("_start").over(local.rowsBetween(W.unboundedPreceding, 0)))
-    per_bin = points.groupBy(*keys, BIN).agg(
-        F.min(axis).alias("_first"), F.max(axis).alias("_final"), F.max("_start").alias("_inner")
-    )
+    inner = points.withColumn("_start", F.when(F.col(axis) - F.lag(axis).over(local) > window, F.col(axis)))
+    per_bin = inner.groupBy(*keys, BIN).agg(F.min(axis).alias("_first"), F.max(axis).alias("_final"), F.max("_start").alias("_inner"))
     by_key = W.partitionBy(*keys).orderBy(BIN)
     gap = F.col("_first") - F.lag("_final").over(by_key)
     per_bin = per_bin.withColumn("_head", F.when(gap.isNull() | (gap > window), F.col("_first")))
     latest = F.last(F.coalesce("_inner", "_head"), ignorenulls=True).over(by_key.rowsBetween(W.unboundedPreceding, -1))
-    per_bin = per_bin.withColumn("_open", F.coalesce("_head", latest)).select(*keys, BIN, "_open")
-    joined = points.join(per_bin, [*keys, BIN])
-    return joined.select(*keys, axis, F.coalesce("_local", "_open").alias("island_start"))
+    # The carry row of a bin stands for the last row before it and names the run then open.
+    carry = per_bin.select(*keys, BIN, F.lag("_final").over(by_key).alias(axis), latest.alias("_open"))
+    in_bin = W.partitionBy(*keys, BIN).orderBy(_carry_first(), axis)
+    gap = F.col(axis) - F.lag(axis).over(in_bin)
+    both = _with_carry(points, carry).withColumn("_start", F.when(F.col("_from_before"), F.col("_open")).when(gap.isNull() | (gap > window), F.col(axis)))
+    start = F.max("_start").over(in_bin.rowsBetween(W.unboundedPreceding, 0))
+    return both.select(*keys, axis, start.alias("island_start"), "_from_before").filter(~F.col("_from_before")).drop("_from_before")
 
 
 def near_frames(df: DataFrame, axis: str, tol: int, name: str) -> DataFrame:
@@ -160,54 +153,33 @@ def near_frames(df: DataFrame, axis: str, tol: int, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.col(axis) - tol, F.col(axis) + tol)))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = 100_000) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], resolution: int = 16384) -> DataFrame:
     """Exact linear-interpolation quantiles (rank ``(n - 1) * p``), whatever the group sizes.
 
-    Values are first reduced to ``(keys, value) -> count``.  Keys with few distinct values go to
-    the built-in ``percentile`` over those counts, whose memory is the number of distinct values;
-    the others, which must not meet in one task, go through a two-level histogram.
+    Values are first reduced to ``(keys, value) -> count``.  A histogram over a fixed logarithmic
+    scale (``resolution`` cells per factor e, so no range has to be known beforehand) shows which
+    cell holds each wanted rank; only those cells are ranked by value.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    large = counts.groupBy(*keys).agg(F.count("*").alias("_d")).filter(F.col("_d") > small).select(*keys)
-    wanted = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]), F.col("_n")).alias("_q")
-    direct = counts.join(large, keys, "left_anti").groupBy(*keys).agg(wanted)
-    direct = direct.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    return direct.unionByName(_histogram_quantiles(counts.join(large, keys, "left_semi"), keys, probs))
-
-
-def _histogram_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float], bins: int = 4096) -> DataFrame:
-    """Quantiles of large groups: a histogram of at most ``bins`` cells per key locates the cell
-    of each wanted rank, and only those cells are ranked by value."""
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
-    located = counts.join(span, keys).withColumn("_cell", F.least(cell.cast("int"), F.lit(bins - 1)))
-    hist = located.groupBy(*keys, "_cell", "_total").agg(F.sum("_n").alias("_cn"))
-    up_to = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    hist = hist.withColumn("_before", F.sum("_cn").over(up_to) - F.col("_cn"))
-    ranks = F.array(
-        *[
-            F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"))
-            for name, p in probs.items()
-            for side, rank in (
-                (0, F.floor((F.col("_total") - 1) * F.lit(p))),
-                (1, F.ceil((F.col("_total") - 1) * F.lit(p))),
-            )
-        ]
-    )
-    wanted = hist.withColumn("_r", F.explode(ranks)).filter(
-        (F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_cn"))
-    )
-    cells = wanted.groupBy(*keys, "_cell", "_before", "_total").agg(F.collect_list("_r").alias("_rs"))
-    inside = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    picked = located.drop("_total").join(cells, [*keys, "_cell"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-    picked = picked.withColumn("_r", F.explode("_rs")).filter(
-        (F.col("_r.rank") < F.col("_upto")) & (F.col("_r.rank") >= F.col("_upto") - F.col("_n"))
-    )
+    scale = F.floor(F.log1p(F.abs("_v")) * resolution)
+    counts = counts.withColumn("_cell", F.when(F.col("_v") < 0, -scale).otherwise(scale))
+    hist = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
+    by_key = W.partitionBy(*keys)
+    up_to = by_key.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    hist = hist.select("*", (F.sum("_cn").over(up_to) - F.col("_cn")).alias("_before"), F.sum("_cn").over(by_key).alias("_total"))
+    last = F.col("_total") - 1
+    ranks = F.array(*[r.cast("bigint") for p in probs.values() for r in (F.floor(last * F.lit(p)), F.ceil(last * F.lit(p)))])
+    inside = F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_cn")))
+    cells = hist.withColumn("_ranks", inside).filter(F.size("_ranks") > 0).drop("_cn")
+    in_cell = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.join(cells, [*keys, "_cell"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(in_cell))
+    hit = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
+    picked = ranked.select(*keys, "_total", "_v", F.explode(hit).alias("_r"))
     out = []
     for name, p in probs.items():
-        low = F.max(F.when((F.col("_r.q") == name) & (F.col("_r.side") == 0), F.col("_v")))
-        high = F.max(F.when((F.col("_r.q") == name) & (F.col("_r.side") == 1), F.col("_v")))
         k = (F.col("_total") - 1) * F.lit(p)
+        low = F.max(F.when(F.col("_r") == F.floor(k), F.col("_v")))
+        high = F.max(F.when(F.col("_r") == F.ceil(k), F.col("_v")))
         out.append((low + (k - F.floor(k)) * (high - low)).alias(name))
     return picked.groupBy(*keys, "_total").agg(*out).drop("_total")

@@ -62,10 +62,10 @@ def test_islands(table, rows, width):
     assert out["island_start"].tolist() == want
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_quantiles(table, rows, small):
+@pytest.mark.parametrize("resolution", [1, 16384])
+def test_quantiles(table, rows, resolution):
     probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    out = tl.quantiles(table, ["k"], "v", probs, small=small).toPandas().set_index("k")
+    out = tl.quantiles(table, ["k"], "v", probs, resolution=resolution).toPandas().set_index("k")
     for k, g in rows.groupby("k"):
         for name, p in probs.items():
             assert out.loc[k, name] == pytest.approx(np.quantile(g["v"], p))
@@ -73,7 +73,7 @@ def test_quantiles(table, rows, small):
 
 def test_quantiles_of_one_value(spark):
     df = spark.createDataFrame([(1, 5.0)] * 4 + [(2, float(i)) for i in range(1, 11)], "k int, v double")
-    out = {r.k: r.p95 for r in tl.quantiles(df, ["k"], "v", {"p95": 0.95}, small=0).collect()}
+    out = {r.k: r.p95 for r in tl.quantiles(df, ["k"], "v", {"p95": 0.95}).collect()}
     assert out == {1: 5.0, 2: pytest.approx(9.55)}
 
 
@@ -93,3 +93,10 @@ def test_rolling_window_is_closed(spark):
     df = spark.createDataFrame([(1, 0, 0, 1000, 1), (1, 1, 1000, 2000, 2), (1, 2, 5000, 10, 3), (1, 3, 10001, 500, 4)], "session_id int, frame_index int, timestamp_ms bigint, parsed_value bigint, ordinal bigint")
     out = {r.timestamp_ms: r.rolling_damage for r in st.rolling_damage(df).collect()}
     assert out == {0: 1000, 1000: 3000, 5000: 3010, 10001: 500}
+
+
+def test_quantiles_of_negative_values(spark):
+    values = [-5.0, -0.5, 0.0, 0.25, 3.0, 1e6]
+    df = spark.createDataFrame([(1, v) for v in values], "k int, v double")
+    row = tl.quantiles(df, ["k"], "v", {"p20": 0.2, "p50": 0.5}).first()
+    assert (row.p20, row.p50) == (pytest.approx(np.quantile(values, 0.2)), pytest.approx(np.quantile(values, 0.5)))
