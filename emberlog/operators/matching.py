@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
+from operator import and_
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -24,7 +26,8 @@ def temporal_support(lines: DataFrame, window: int = 2, reach: float = 80.0, key
     """
     place = [*keys, "frame_index", "center_x", "center_y"]
     # The filter is what the joins below imply for each side; stating it once lets them share one shuffle.
-    points = lines.dropna(subset=place).groupBy(*place).agg(F.count("*").alias("_w"))
+    known = reduce(and_, [F.col(c).isNotNull() for c in place])
+    points = lines.filter(known).groupBy(*place).agg(F.count("*").alias("_w"))
     targets = F.array(*[F.col("frame_index") + d for d in range(-window, window + 1) if d])
     other = points.select(*keys, F.explode(targets).alias("frame_index"), F.col("center_x").alias("_x"), F.col("center_y").alias("_y"), F.col("_w").alias("_ow"))
     d = F.hypot(F.col("center_x") - F.col("_x"), F.col("center_y") - F.col("_y"))
@@ -76,13 +79,15 @@ class _Match:
             live.append([ident, arrival, frame, value, x, y])
             return None
         best, best_key = None, None
+        reach = self.reach
         for e in live:
-            if abs(frame - e[2]) > self.frames:
+            dx, dy = x - e[4], y - e[5]
+            if dx > reach or dx < -reach or dy > reach or dy < -reach or abs(frame - e[2]) > self.frames:
                 continue
             if (value != 0) if e[3] == 0 else abs(value - e[3]) / e[3] > self.share:
                 continue
-            d = sqrt((x - e[4]) ** 2 + (y - e[5]) ** 2)
-            if d <= self.reach and (best_key is None or (d, e[0]) < best_key):
+            d = sqrt(dx**2 + dy**2)
+            if d <= reach and (best_key is None or (d, e[0]) < best_key):
                 best, best_key = e, (d, e[0])
         if best is None:
             return None

@@ -98,17 +98,24 @@ class _Nearby:
 
     def __call__(self, live: list, row: tuple) -> int:
         ident, frame, value, conf, x, y = row
+        reach = self.reach
         for e in live:
-            if self._fits(e, value, x, y, frame):
+            # Every mode implies the box test, which rejects most entries cheaply.
+            dx = x - e[4]
+            if dx > reach or dx < -reach:
+                continue
+            dy = y - e[5]
+            if dy > reach or dy < -reach:
+                continue
+            if self._fits(e, value, dx, dy):
                 self._update(e, frame, value, conf, x, y)
                 return e[0]
         live.append([ident, frame, value, conf, x, y])
         return ident
 
-    def _fits(self, e: list, value: int, x: float, y: float, frame: int) -> bool:
-        dx, dy = abs(x - e[4]), abs(y - e[5])
+    def _fits(self, e: list, value: int, dx: float, dy: float) -> bool:
         if self.mode in ("stable", "live"):
-            return dx <= self.reach and dy <= self.reach and _mergeable(int(e[2]), value)
+            return _mergeable(int(e[2]), value)
         if self.mode == "track":
             return hypot(dx, dy) <= self.reach and (e[2] <= 0 or abs(value - e[2]) / e[2] <= 0.05)
         return hypot(dx, dy) < self.reach  # enemy

@@ -163,7 +163,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     scale = F.floor(F.log1p(F.abs("_v")) * resolution)
-    counts = counts.withColumn("_cell", F.when(F.col("_v") < 0, -scale).otherwise(scale))
+    # Never NULL, so the join below adds no filter to one side and the counts are shuffled once.
+    counts = counts.withColumn("_cell", F.coalesce(F.when(F.col("_v") < 0, -scale).otherwise(scale), F.lit(0)))
     hist = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
     by_key = W.partitionBy(*keys)
     up_to = by_key.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)

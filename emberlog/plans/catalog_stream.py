@@ -3,8 +3,6 @@ written table is compared with the batch answer."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from emberlog.operators import stats as st
@@ -12,17 +10,11 @@ from emberlog.plans import adapters as ad
 from emberlog.plans.catalog_sequence import LIVE_IDS
 from emberlog.plans.catalog_stats import HOUR
 from emberlog.plans.registry import query
-from emberlog.session import ensure_checkpoint_dir
+from emberlog.session import work_folder
 from emberlog.sources import io
 from emberlog.streaming import live
 
 
-def work_folder(spark, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 class _Streamed:
     """Gives the adapters a streaming scan instead of a batch scan of the same file."""
 
