@@ -12,6 +12,7 @@ one piece plus its live state, and short runs (the usual case) need one pass onl
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -84,7 +85,7 @@ def _scanner(keys: list[str], axis: str, fields: list[str], window: int, span: i
                     current, live, last_axis = group, [], None
                     edge = group[-2] + (group[-1] + 1) * span
                 if slots[i] >= 0:
-                    live.append([owners[i], int(states[i][0]), *states[i][1:]])
+                    live.append([owners[i], *json.loads(states[i])])
                     continue
                 now = axes[i]
                 if now != last_axis:
@@ -109,7 +110,7 @@ def _carry_batch(carries: list[tuple], keys: list[str], layout: pa.Schema) -> pa
         for c, v in zip([*keys, SEG, PIECE], group):
             data[c][n] = v
         data[ASSIGNED][n], data[SLOT][n] = entry[0], slot
-        data[STATE][n] = [None if v is None else float(v) for v in entry[1:]]
+        data[STATE][n] = json.dumps(entry[1:])
     return pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) for f in layout], schema=layout)
 
 
@@ -138,7 +139,7 @@ def chained_scan(
     prepared = (
         cut.withColumn(ASSIGNED, F.lit(None).cast("bigint"))
         .withColumn(SLOT, F.lit(-1))
-        .withColumn(STATE, F.lit(None).cast("array<double>"))
+        .withColumn(STATE, F.lit(None).cast("string"))  # JSON; a nested column would slow every row
     )
     columns = [*base, SEG, PIECE, ASSIGNED, SLOT, STATE]
     prepared = prepared.select(*columns)
