@@ -7,7 +7,7 @@ from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 ORACLE = entry.oracle_sql()
-# Model choice fits forests on every fold; it is exercised by its own test only.
+# Model choice fits forests on every fold, too slow for this suite; run it with oracle_check.py.
 NAMES = [n for n in entry.queries() if n != "m5_choose_model"]
 
 
