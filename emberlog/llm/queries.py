@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import poly_dedup, rank_order, residual_packing
+from emberlog.llm import hamming_minhash, poly_dedup, rank_order, residual_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": poly_dedup.op6_exact_dedup,
+    "op7_minhash_near_dedup": hamming_minhash.op7_minhash_near_dedup,
     "op8_best_fit_packing": residual_packing.op8_best_fit_packing,
     "op10_rank_order_language": rank_order.op10_rank_order_language,
 }
