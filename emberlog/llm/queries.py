@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import edit_leaks, hamming_minhash, poly_dedup, rank_order, residual_packing, semi_crf
+from emberlog.llm import edit_leaks, hamming_minhash, license_rules, poly_dedup, rank_order, residual_packing, semi_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_semi_markov_pii": semi_crf.op2_semi_markov_pii,
     "op4_pigeonhole_decontamination": edit_leaks.op4_pigeonhole_decontamination,
+    "op5_license_rules": license_rules.op5_license_rules,
     "op6_exact_dedup": poly_dedup.op6_exact_dedup,
     "op7_minhash_near_dedup": hamming_minhash.op7_minhash_near_dedup,
     "op8_best_fit_packing": residual_packing.op8_best_fit_packing,
     "op10_rank_order_language": rank_order.op10_rank_order_language,
 }
-ORACLE: dict[str, str] = {"op6_exact_dedup": poly_dedup.OP6_SQL}
+ORACLE: dict[str, str] = {"op5_license_rules": license_rules.OP5_SQL, "op6_exact_dedup": poly_dedup.OP6_SQL}
