@@ -34,22 +34,23 @@ AT_ONCE = 200_000
 #: Entries of each of the two generations of the word cache.
 CACHE = 250_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint"
-SEPARATOR = "<|startoftext|>"
 
 
 class WordIds:
     """Token ids of text as little-endian bytes, word by word from a bounded cache.
 
-    White space always ends a token here and case is folded, so a text's ids are those of its words in a row.  Words not
-    seen lately are tokenised together, parted by a special token.
+    White space always ends a token here and case is folded, so a text's ids are those of its words in a row.  Runs of
+    letters, and a sign after them, are words of their own to the tokenizer and end in a token that says so.
     """
 
     def __init__(self, path: str, size: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode
         self.size, self.new, self.old = size, {}, {}
-        self.mark = self._ids(SEPARATOR)
+        self.is_end = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,11 +62,12 @@ class WordIds:
         words = raw.lower().split()
         new, old = self.new, self.old
         missing = []
-        for word in set(words) - new.keys():
-            if word in old:
-                new[word] = old[word]
-            else:
-                missing.append(word)
+        for word in set(words):
+            if word not in new:
+                if word in old:
+                    new[word] = old[word]
+                else:
+                    missing.append(word)
         if missing:
             self._learn(missing)
         out = b"".join([new[w] for w in words])
@@ -74,14 +76,23 @@ class WordIds:
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        ends = {w: w[-1:] if w[-1:] in (b".", b",") and w[:-1].decode().isalpha() else b"" for w in words}
-        bare = list({w[: len(w) - len(e)] for w, e in ends.items()} | {b".", b","})
-        ids = np.array(self.encode(f" {SEPARATOR} ".join(w.decode() for w in bare), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
-        found = dict(zip(bare, [x.tobytes() for x in np.split(ids, cuts)], strict=True))
-        found = {w: x[4 * (i > 0) :] for i, (w, x) in enumerate(found.items())}  # all but the first begin with the mark
+        """Tokenises words not seen lately; words of letters alone, with a closing sign or not, go together."""
+        ends = {w: w[-1:] if w[-1:] in (b".", b",") else b"" for w in words}
+        bare = {w[: len(w) - len(e)] for w, e in ends.items()}
+        plain = [w for w in bare if w.decode().isalpha()]
+        found = dict(zip(plain, self._together(plain), strict=True))
+        found |= {e: self._ids(e.decode()) for e in (b".", b",")}
         for w, e in ends.items():
-            self.new[w] = found[w[: len(w) - len(e)]] + (found[e] if e else b"")
+            core = found.get(w[: len(w) - len(e)]) if len(w) > len(e) else None
+            self.new[w] = self._ids(w.decode()) if core is None else core + (found[e] if e else b"")
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        ids = np.array(self.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+        if len(cuts) != len(words):  # some letter falls apart when folded
+            return [self._ids(w.decode()) for w in words]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 _WORDS: dict[str, WordIds] = {}
