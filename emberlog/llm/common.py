@@ -9,10 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberlog.session import cut_lineage
+from emberlog.session import work_folder
 
 #: Copies of the small side of a salted join.
 SALTS = 16
+#: Slots of the filter that keeps rows out of a shuffle.
+SLOTS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,9 @@ def keyed(docs: DataFrame, **extra: Column) -> DataFrame:
     """
     row = docs.select(F.struct("*").alias("row"))
     row = row.select(F.monotonically_increasing_id().alias("rid"), "row").withColumns(extra)
-    return cut_lineage(row)
+    path = work_folder(docs.sparkSession, "rows")
+    row.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(row.schema).parquet(path)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, how: str = "left") -> DataFrame:
@@ -37,6 +41,33 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def _slot(rid: str) -> Column:
+    return F.pmod(F.xxhash64(rid), F.lit(SLOTS)).cast("int").alias("_slot")
+
+
+def _slots(ids: DataFrame) -> DataFrame:
+    """The slots of some row ids: at most ``SLOTS`` integers, whatever the number of ids, and so safe to broadcast."""
+    return F.broadcast(ids.select(_slot("rid")).distinct())
+
+
+def rows_with(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Written ``rows (rid, …)`` joined with written ``ids (rid, …)``, one of each.
+
+    Rows whose slot no id has are left out before the shuffle.  With far more ids than slots all rows are shuffled;
+    the join decides in any case.
+    """
+    near = rows.withColumn("_slot", _slot("rid")).join(_slots(ids), "_slot", "left_semi").drop("_slot")
+    return near.join(ids.hint("merge"), "rid")
+
+
+def rows_without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Written ``rows (rid, …)`` other than those of written ``ids (rid)``; only rows that share a slot with one are shuffled."""
+    placed = rows.withColumn("_slot", _slot("rid"))
+    far = placed.join(_slots(ids), "_slot", "left_anti").drop("_slot")
+    near = placed.join(_slots(ids), "_slot", "left_semi").drop("_slot")
+    return far.unionByName(near.join(ids.select("rid").hint("merge"), "rid", "left_anti"))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberlog.llm.common import Polynomial, is_empty, keyed, lower_ascii, salted_join, table, texts_of
+from emberlog.llm.common import Polynomial, is_empty, keyed, lower_ascii, rows_with, rows_without, salted_join, table, texts_of
 from emberlog.session import cut_lineage
 
 CHUNK = 1 << 16
@@ -106,16 +106,25 @@ def fingerprints(rows: DataFrame, chunk: int = CHUNK, primes: tuple[int, int] =
     return flat.filter(F.col("n_bytes") <= chunk).unionByName(joined)
 
 
+def _compared(rows: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
+    """Chunks ``(rid, keeper, no, piece)`` of the rows of ``members (rid, keeper)``."""
+    text = rows_with(rows.select("rid", F.col("sketch.n_bytes").alias("n_bytes"), F.col("row.text").alias("text")), members.select("rid", "keeper"))
+    return _chunks(text.select("rid", "keeper", "n_bytes", _bytes(F.col("text")).alias("raw")), "raw", "n_bytes", chunk)
+
+
 def _differing(rows: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
-    """``rid`` of members whose chunks are not all equal to those of ``keeper``."""
-    wanted = members.select("rid", "keeper", F.lit(False).alias("is_keeper")).unionByName(
-        members.select(F.col("keeper").alias("rid"), "keeper", F.lit(True).alias("is_keeper")).distinct()
-    )
-    text = rows.select("rid", F.col("sketch.n_bytes").alias("n_bytes"), F.col("row.text").alias("text")).join(wanted, "rid")
-    text = text.select("rid", "keeper", "is_keeper", "n_bytes", _bytes(F.col("text")).alias("raw"))
-    mine = _chunks(text.filter(~F.col("is_keeper")), "raw", "n_bytes", chunk).drop("is_keeper")
-    theirs = _chunks(text.filter("is_keeper"), "raw", "n_bytes", chunk).select("keeper", "no", F.col("piece").alias("other"))
-    both = salted_join(mine, theirs, ["keeper", "no"], F.col("rid"), "inner")
+    """``rid`` of ``members (rid, keeper)`` whose chunks are not all equal to those of their keeper.
+
+    Chunks of one place meet as their least and greatest, in each task first, so a large group of copies ships
+    one pair from each task.  Only in groups where the two differ is each row held against the keeper.
+    """
+    ends = _compared(rows, members, chunk).groupBy("keeper", "no").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
+    uneven = cut_lineage(ends.filter(F.col("low") != F.col("high")).select("keeper").distinct())
+    if is_empty(uneven):
+        return uneven.select(F.col("keeper").alias("rid"))
+    pieces = cut_lineage(_compared(rows, cut_lineage(members.join(uneven, "keeper", "left_semi")), chunk))
+    theirs = pieces.filter(F.col("rid") == F.col("keeper")).select("keeper", "no", F.col("piece").alias("other"))
+    both = salted_join(pieces.filter(F.col("rid") != F.col("keeper")), theirs, ["keeper", "no"], F.col("rid"), "inner")
     return both.filter(F.col("piece") != F.col("other")).select("rid").distinct()
 
 
@@ -128,8 +137,7 @@ def classes(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, int] = Polyn
         groups = left.groupBy("n_bytes", "h1", "h2").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("n")).filter(F.col("n") > 1)
         groups = groups.select("n_bytes", "h1", "h2", F.col("top.rid").alias("keeper"), F.col("top.doc_id").alias("keep_id"))
         members = cut_lineage(salted_join(left, groups, ["n_bytes", "h1", "h2"], F.col("rid"), "inner"))
-        others = members.filter(F.col("rid") != F.col("keeper"))
-        differing = cut_lineage(_differing(rows, others.select("rid", "keeper"), chunk))
+        differing = cut_lineage(_differing(rows, members, chunk))
         named = members.select("rid", "keeper", "keep_id")
         if is_empty(differing):
             settled.append(named)
@@ -155,7 +163,7 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, int] = P
 def without_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows, found = classes(docs, chunk)
-    return rows.join(found.filter(F.col("rid") != F.col("keeper")).select("rid"), "rid", "left_anti").select("row.*")
+    return rows_without(rows, cut_lineage(found.filter(F.col("rid") != F.col("keeper")).select("rid"))).select("row.*")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
