@@ -81,10 +81,10 @@ class WordIds:
         bare = {w[: len(w) - len(e)] for w, e in ends.items()}
         plain = [w for w in bare if w.decode().isalpha()]
         found = dict(zip(plain, self._together(plain), strict=True))
-        found |= {e: self._ids(e.decode()) for e in (b".", b",")}
+        signs = {b"": b"", b".": self._ids("."), b",": self._ids(",")}
         for w, e in ends.items():
-            core = found.get(w[: len(w) - len(e)]) if len(w) > len(e) else None
-            self.new[w] = self._ids(w.decode()) if core is None else core + (found[e] if e else b"")
+            core = found.get(w[: len(w) - len(e)])
+            self.new[w] = self._ids(w.decode()) if core is None else core + signs[e]
 
     def _together(self, words: list[bytes]) -> list[bytes]:
         ids = np.array(self.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids, "<u4")
