@@ -31,14 +31,28 @@ class _Streamed:
         return self.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
+def started(rows: DataFrame) -> DataFrame:
+    """Sessions start hours apart: 2024-01-01 UTC plus an hour for every session number modulo seven."""
+    return rows.withColumn("started_at_ms", F.lit(1_704_067_200_000) + F.col("session_id") % 7 * HOUR)
+
+
 def stream(spark, sf, adapter, late="10 minutes"):
-    return live.with_event_time(adapter(_Streamed(spark), sf), late=late)
+    return live.with_event_time(started(adapter(_Streamed(spark), sf)), late=late)
+
+
+def in_steps(spark, sf, folder, run):
+    """Writes the hits in three steps of session time and calls ``run`` with the stream of files after each."""
+    rows = started(ad.hits(spark, sf)).select(*live.LIVE_COLUMNS, "started_at_ms")
+    for n, part in enumerate(("frame_index < 240", "frame_index >= 240 and frame_index < 480", "frame_index >= 480")):
+        rows.filter(part).write.json(f"{folder}/in/{n}")
+        out = run(live.read_hits(spark, f"{folder}/in/*"))
+    return out
 
 
 @query("t1_live_unique", f"SELECT h.session_id, ordinal, frame_index, parsed_value FROM hits h JOIN {LIVE_IDS} USING (session_id, ordinal) WHERE assigned = ordinal", ["hits"])
 def _(spark, sf):
     folder = work_folder(spark, "t1")
-    table = live.run_unique(stream(spark, sf, ad.hits), f"{folder}/table", f"{folder}/state")
+    table = in_steps(spark, sf, folder, lambda hits: live.run_unique(live.with_event_time(hits, late="1 day"), f"{folder}/table", f"{folder}/state"))
     return table.select("session_id", "ordinal", "frame_index", "parsed_value")
 
 
@@ -73,13 +87,13 @@ def _(spark, sf):
 @query(
     "t6_dps_timeline",
     f"""SELECT session_id, b * {HOUR} AS start_ms, (b + 1) * {HOUR} AS end_ms, damage, hit_count, damage / 3600e0 AS dps FROM
-        (SELECT session_id, timestamp_ms // {HOUR} AS b, CAST(sum(parsed_value) AS BIGINT) AS damage, count(*) AS hit_count FROM hits GROUP BY 1, 2)
-        WHERE (b + 1) * {HOUR} <= (SELECT max(timestamp_ms) - 600000 FROM hits)""",
+        (SELECT session_id, timestamp_ms // {HOUR} AS b, CAST(sum(parsed_value) AS BIGINT) AS damage, count(*) AS hit_count FROM hits GROUP BY 1, 2)""",
     ["hits"],
 )
 def _(spark, sf):
     folder = work_folder(spark, "t6")
-    return live.run_to_table(live.dps_timeline(stream(spark, sf, ad.hits), "1 hour", 3600.0), f"{folder}/table", f"{folder}/state")
+    run = lambda hits: live.run_to_table(live.dps_timeline(hits, HOUR, "1 day"), f"{folder}/table", f"{folder}/state", mode="update")
+    return live.latest_buckets(in_steps(spark, sf, folder, run).drop("epoch"))
 
 
 @query(
@@ -90,8 +104,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = work_folder(spark, "t7")
-    cues = live.with_event_time(ad.cues(_Streamed(spark), sf), name="cue_time")
-    pairs = live.confirmed_damage(stream(spark, sf, ad.damage), cues, within="6 hours")
+    cues = live.with_event_time(started(ad.cues(_Streamed(spark), sf)), name="cue_time")
+    pairs = live.confirmed_damage(stream(spark, sf, ad.damage), cues, within_ms=6 * HOUR)
     return live.run_to_table(pairs, f"{folder}/table", f"{folder}/state")
 
 

@@ -33,4 +33,4 @@ SUMMARY = (
 METRICS = "true_positives:bigint, false_positives:bigint, false_negatives:bigint, true_negatives:bigint, precision:double, recall:double, f1_score:double, accuracy:double"
 RESULT = f"session_id bigint, part bigint, per_frame_metrics map<string,struct<{METRICS}>>"
 BASELINE = "session_id string, f1_score double, precision double, recall double, fps double"
-LIVE_HIT = "session_id bigint, frame_index int, timestamp_ms bigint, ordinal bigint, parsed_value bigint, confidence double, center_x double, center_y double"
+LIVE_HIT = "session_id bigint, frame_index int, timestamp_ms bigint, ordinal bigint, parsed_value bigint, confidence double, center_x double, center_y double, started_at_ms bigint"

@@ -1,13 +1,16 @@
 """Live twins: unique hits, session statistics, timelines, kill confirmation, refresh.
 
-Streams carry an event-time column ``event_time``; rows later than the watermark are dropped by
-the windowed operators.  State is bounded: it holds what the look-back of the operator needs.
+Streams carry a wall-clock column ``event_time``: when the session started plus its session time.  Sessions that
+start at different times therefore share one watermark, which should allow for the spread with which
+they arrive; later rows are dropped by the windowed operators.  State is bounded: it holds what the look-back of the
+operator needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,9 +20,8 @@ from emberlog.operators.sequence import live_unique
 from emberlog.session import cut_lineage
 
 LATE = "10 minutes"
-# Session time starts at 0, but a fresh watermark also starts at the epoch and would drop that
-# instant as late; event time is therefore session time plus one day.
-SHIFT_MS = 86_400_000
+# Where no start is known: a fresh watermark stands at the epoch and would drop that instant as late.
+UNKNOWN_START_MS = 86_400_000
 
 
 def read_hits(spark: SparkSession, path: str, files_per_batch: int = 1000, schema: str = schemas.LIVE_HIT) -> DataFrame:
@@ -27,36 +29,57 @@ def read_hits(spark: SparkSession, path: str, files_per_batch: int = 1000, schem
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def with_event_time(hits: DataFrame, ms: str = "timestamp_ms", late: str = LATE, name: str = "event_time") -> DataFrame:
-    return hits.withColumn(name, F.timestamp_millis(F.col(ms) + SHIFT_MS)).withWatermark(name, late)
+def with_event_time(hits: DataFrame, ms: str = "timestamp_ms", late: str = LATE, name: str = "event_time", started: str = "started_at_ms") -> DataFrame:
+    """Adds the wall-clock time of a row: the start of its session, in milliseconds since the epoch, plus session time."""
+    start = F.coalesce(F.col(started), F.lit(UNKNOWN_START_MS)) if started in hits.columns else F.lit(UNKNOWN_START_MS)
+    return hits.withColumn(name, F.timestamp_millis(start + F.col(ms))).withWatermark(name, late)
 
 
 LIVE_COLUMNS = ["session_id", "frame_index", "timestamp_ms", "ordinal", "parsed_value", "confidence", "center_x", "center_y"]
 
 
-def unique_hits(folder: str, window: int = 1, reach: float = 45.0, idle_ms: int = 600_000, key: str = "session_id"):
+def unique_hits(folder: str, window: int = 1, reach: float = 45.0, idle_ms: int = 86_400_000, key: str = "session_id"):
     """``foreachBatch`` body: appends the hits of a batch that do not repeat an accepted one.
 
     The batch runs through the batch operator together with the accepted hits of the last
     ``window`` frames of each session.  Those are accepted again (they never were duplicates of
     each other), so the answer is that of one pass over all rows, and a crowded session is cut
     into pieces like any other.  Accepted hits go to ``hits/epoch=n``, the ones still in reach to
-    ``recent/epoch=n``; repeating a batch rewrites its own folders.  Sessions silent for
-    ``idle_ms`` of session time leave the recent set.
+    ``recent/epoch=n``, how far each session has come to ``progress/epoch=n``; repeating a batch rewrites its own folders.
+
+    What is in reach is decided by a session's own frames, never by another session's.  A row of a frame that its session
+    has left behind can no longer be judged: it is dropped and counted in ``late/epoch=n``.  A session whose last row
+    is ``idle_ms`` of wall-clock time older than the newest row is forgotten.
     """
     columns = [key, *LIVE_COLUMNS[1:]]
 
     def run(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(*columns, F.lit(False).alias("_old"))
+        spark = batch.sparkSession
+        rows = cut_lineage(batch.select(*columns, F.unix_millis("event_time").alias("_event")))
+        schema = rows.drop("_event").schema
+        mine = rows.groupBy(key).agg(F.max("frame_index").alias("_frame"), F.max("_event").alias("_event"))
+        fresh, late = rows.drop("_event"), rows.sparkSession.createDataFrame([(0,)], "late bigint")
+        if epoch > 0:
+            progress = spark.read.schema(mine.schema).parquet(f"{folder}/progress/epoch={epoch - 1}")
+            reached = progress.select(F.col(key).alias("_k"), F.col("_frame").alias("_reached"))
+            marked = rows.drop("_event").join(reached, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+            behind = F.coalesce(F.col("frame_index") < F.col("_reached"), F.lit(False))
+            late = marked.agg(F.count_if(behind).alias("late"))
+            fresh = marked.filter(~behind).drop("_reached")
+            mine = mine.unionByName(progress).groupBy(key).agg(F.max("_frame").alias("_frame"), F.max("_event").alias("_event"))
+        newest = mine.agg(F.max("_event")).first()[0]
+        mine = cut_lineage(mine.filter(F.col("_event") >= F.lit(newest) - idle_ms))
+        rows = fresh.withColumn("_old", F.lit(False))
         if epoch > 0:
-            old = batch.sparkSession.read.schema(rows.drop("_old").schema).parquet(f"{folder}/recent/epoch={epoch - 1}")
+            old = spark.read.schema(schema).parquet(f"{folder}/recent/epoch={epoch - 1}")
             rows = rows.unionByName(old.withColumn("_old", F.lit(True)))
         kept = cut_lineage(live_unique(rows, window=window, reach=reach, keys=[key]))
         kept.filter("not _old").select(*columns).write.mode("overwrite").parquet(f"{folder}/hits/epoch={epoch}")
-        last = kept.groupBy(key).agg(F.max("frame_index").alias("_f"), F.max("timestamp_ms").alias("_t"))
-        newest = kept.agg(F.max("timestamp_ms")).first()[0] or 0
-        recent = kept.join(last.filter(F.col("_t") >= newest - idle_ms), key).filter(F.col("frame_index") >= F.col("_f") - window)
+        known = mine.select(F.col(key).alias("_k"), "_frame")
+        recent = kept.join(known, F.col(key).eqNullSafe(F.col("_k"))).filter(F.col("frame_index") >= F.col("_frame") - window)
         recent.select(*columns).write.mode("overwrite").parquet(f"{folder}/recent/epoch={epoch}")
+        mine.write.mode("overwrite").parquet(f"{folder}/progress/epoch={epoch}")
+        late.write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
 
     return run
 
@@ -99,7 +122,7 @@ def session_stats(hits: DataFrame, window_ms: int = 5000, key: str = "session_id
         for pdf in batches:
             out = []
             for sid, g in pdf.groupby(key):
-                last = g.loc[g[["timestamp_ms", "ordinal"]].apply(tuple, axis=1).idxmax()]
+                last = g.iloc[np.lexsort((g["ordinal"].to_numpy(), g["timestamp_ms"].to_numpy()))[-1]]
                 recent = g[g["timestamp_ms"] >= last["timestamp_ms"] - window_ms].groupby("timestamp_ms")["parsed_value"].sum()
                 v = g["parsed_value"]
                 out.append((sid, int(v.sum()), len(v), int(v.max()), int(last["timestamp_ms"]), int(last["ordinal"]), int(last["parsed_value"]), recent.index.tolist(), recent.tolist()))
@@ -118,33 +141,41 @@ def session_stats(hits: DataFrame, window_ms: int = 5000, key: str = "session_id
     return rows.groupBy(key).applyInPandasWithState(step, _STATS_OUT, _STATS_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def session_totals(hits: DataFrame, key: str = "session_id") -> DataFrame:
-    """Built-in running totals (update mode), combined before the shuffle."""
-    return hits.groupBy(key).agg(F.sum("parsed_value").alias("total_damage"), F.count("*").alias("hit_count"), F.max("parsed_value").alias("peak_hit"))
+def dps_timeline(hits: DataFrame, bucket_ms: int = 1000, late: str = LATE, key: str = "session_id") -> DataFrame:
+    """Buckets of session time, for update mode; read them with ``latest_buckets``.
 
-
-def sliding_damage(hits: DataFrame, length: str = "5 seconds", slide: str = "1 second", key: str = "session_id") -> DataFrame:
-    """Built-in alternative to the trailing window: partial sums per slide, no Python."""
-    return hits.groupBy(key, F.window("event_time", length, slide)).agg(F.sum("parsed_value").alias("damage"), F.count("*").alias("hits"))
+    Buckets follow the session's clock and close by the wall clock at which they began, so a bucket open at the end is there
+    as well.  ``hits`` carry ``started_at_ms`` and no watermark yet.
+    """
+    start = F.floor(F.col("timestamp_ms") / bucket_ms) * bucket_ms
+    placed = with_event_time(hits.withColumn("start_ms", start.cast("bigint")), "start_ms", late, "bucket_time")
+    w = placed.groupBy(key, "start_ms", "bucket_time").agg(F.sum("parsed_value").alias("damage"), F.count("*").alias("hit_count"))
+    return w.select(key, "start_ms", (F.col("start_ms") + bucket_ms).alias("end_ms"), "damage", "hit_count", (F.col("damage") / (bucket_ms / 1000)).alias("dps"))
 
 
-def dps_timeline(hits: DataFrame, bucket: str = "1 second", seconds: float = 1.0, key: str = "session_id") -> DataFrame:
-    """Closed tumbling buckets (append); empty buckets are filled when the table is read."""
-    w = hits.groupBy(key, F.window("event_time", bucket)).agg(F.sum("parsed_value").alias("damage"), F.count("*").alias("hit_count"))
-    return w.select(
-        key, (F.unix_millis("window.start") - SHIFT_MS).alias("start_ms"), (F.unix_millis("window.end") - SHIFT_MS).alias("end_ms"), "damage", "hit_count", (F.col("damage") / seconds).alias("dps")
-    )
+def latest_buckets(updates: DataFrame, key: str = "session_id") -> DataFrame:
+    """The last state of every bucket; a bucket only ever gains hits.  Empty buckets are filled by the batch operator."""
+    facts = F.struct("end_ms", "damage", "hit_count", "dps")
+    return updates.groupBy(key, "start_ms").agg(F.max_by(facts, "hit_count").alias("_s")).select(key, "start_ms", "_s.*")
 
 
-def confirmed_damage(damage: DataFrame, cues: DataFrame, within: str = "2 seconds", reach: float = 50.0, key: str = "session_id") -> DataFrame:
+def confirmed_damage(damage: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: float = 50.0, key: str = "session_id") -> DataFrame:
     """Damage followed by a close cue within the interval.  Both sides carry watermarks, so each
-    keeps only the rows that can still find a partner."""
-    d, c = damage.alias("d"), cues.alias("c")
+    keeps only the rows that can still find a partner.
+
+    Rows meet by session, interval of wall-clock time and cell of the screen: a cue is copied to its own interval and the
+    one before, and to the nine cells about it, so a crowded session is no single key.
+    """
+    step = F.floor(F.unix_millis("event_time") / within_ms)
+    d = damage.withColumns({"_step": step, "_x": F.floor(F.col("center_x") / reach), "_y": F.floor(F.col("center_y") / reach)}).alias("d")
+    own = F.floor(F.unix_millis("cue_time") / within_ms)
+    cells = [F.floor(F.col(f"center_{a}") / reach) for a in "xy"]
+    spots = F.array(*[F.struct((own - t).alias("_step"), (cells[0] + x).alias("_x"), (cells[1] + y).alias("_y")) for t in (0, 1) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    c = cues.withColumn("_spot", F.explode(spots)).withColumns({n: F.col(f"_spot.{n}") for n in ("_step", "_x", "_y")}).alias("c")
     near = F.hypot(F.col("d.center_x") - F.col("c.center_x"), F.col("d.center_y") - F.col("c.center_y")) < reach
-    cond = (
-        (F.col(f"d.{key}") == F.col(f"c.{key}")) & (F.col("c.cue_time") > F.col("d.event_time"))
-        & (F.col("c.cue_time") <= F.col("d.event_time") + F.expr(f"interval {within}")) & near
-    )
+    cond = (F.col("c.cue_time") > F.col("d.event_time")) & (F.col("c.cue_time") <= F.col("d.event_time") + F.expr(f"interval {within_ms} milliseconds")) & near
+    for name in (key, "_step", "_x", "_y"):
+        cond = (F.col(f"d.{name}") == F.col(f"c.{name}")) & cond
     return d.join(c, cond).select(
         F.col(f"d.{key}"), F.col("d.ordinal").alias("damage_ordinal"), F.col("d.value"), F.col("c.cue_type"), F.col("c.ordinal").alias("cue_ordinal"),
     )

@@ -9,7 +9,7 @@ from emberlog.streaming import live
 
 
 def write(folder, name, rows):
-    cols = ["session_id", "frame_index", "timestamp_ms", "ordinal", "parsed_value", "confidence", "center_x", "center_y"]
+    cols = ["session_id", "frame_index", "timestamp_ms", "ordinal", "parsed_value", "confidence", "center_x", "center_y", "started_at_ms"]
     path = folder / name
     path.write_text("\n".join(json.dumps(dict(zip(cols, r))) for r in rows))
     # Files are taken in order of modification time.
@@ -55,5 +55,27 @@ def test_late_rows_are_dropped(spark, tmp_path):
     # A watermark reached in one batch makes rows late from the batch after the next.
     write(src, "2.json", [row(620_000, 3, 5)])
     write(src, "3.json", [row(700, 4, 1_000_000), row(1_200_000, 5, 40)])
-    out = live.run_to_table(live.dps_timeline(source(spark, src)), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert {r.start_ms: r.damage for r in out.collect()} == {0: 10, 1000: 20, 600_000: 30, 620_000: 5}
+    assert timeline(spark, src, tmp_path) == {(1, 0): 10, (1, 1000): 20, (1, 600_000): 30, (1, 620_000): 5, (1, 1_200_000): 40}
+
+
+def timeline(spark, src, tmp_path):
+    hits = live.read_hits(spark, str(src), files_per_batch=1)
+    out = live.run_to_table(live.dps_timeline(hits, late="1 minute"), str(tmp_path / "out"), str(tmp_path / "ck"), mode="update")
+    return {(r.session_id, r.start_ms): r.damage for r in live.latest_buckets(out).collect()}
+
+
+def test_sessions_with_clocks_of_their_own(spark, tmp_path):
+    """A session that starts an hour into another one is neither late nor forgotten."""
+    src = tmp_path / "in"
+    src.mkdir()
+    hour = 3_600_000
+    row = lambda s, f, o, v, started: (s, f, f * 33, o, v, 0.9, 5.0, 5.0, started)
+    write(src, "0.json", [row(1, 109_090, 0, 900, hour)])
+    write(src, "1.json", [row(1, 109_100, 1, 950, hour), row(2, 0, 2, 1200, 2 * hour)])
+    write(src, "2.json", [row(2, 1, 3, 1200, 2 * hour), row(3, 3, 4, 800, 2 * hour)])
+    write(src, "3.json", [row(3, 33, 5, 700, 2 * hour), row(3, 2, 6, 650, 2 * hour)])
+    found = live.run_unique(source(spark, src), str(tmp_path / "hits"), str(tmp_path / "ck1"))
+    assert sorted((r.session_id, r.frame_index) for r in found.collect()) == [(1, 109_090), (1, 109_100), (2, 0), (3, 3), (3, 33)]
+    late = spark.read.parquet(str(tmp_path / "hits/late"))
+    assert late.agg(F.sum("late")).first()[0] == 1
+    assert timeline(spark, src, tmp_path) == {(1, 3_599_000): 900, (1, 3_600_000): 950, (2, 0): 2400, (3, 0): 1450, (3, 1000): 700}
