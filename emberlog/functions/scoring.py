@@ -131,7 +131,8 @@ VALUE_RANGES = [
 
 
 def bucket_label(value: Column, buckets: list[tuple[str, float | None]]) -> Column:
-    out = F.lit(buckets[-1][0])
+    """The bucket of a value; a NULL has none."""
+    out = F.when(value.isNotNull(), buckets[-1][0])
     for label, upper in reversed(buckets[:-1]):
         out = F.when(value < upper, label).otherwise(out)
     return out

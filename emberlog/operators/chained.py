@@ -8,6 +8,9 @@ piece is the starting state of the next.  The first pass scans all pieces with a
 start; pieces whose true starting state turns out different are scanned again until nothing
 changes.  The result equals one sequential pass, no task ever holds more than the stream of
 one piece plus its live state, and short runs (the usual case) need one pass only.
+
+A NULL key is a key like any other.  A row without an axis value has no place in the order: it is kept, with
+``assigned`` NULL, and influences nothing.
 """
 
 from __future__ import annotations
@@ -34,6 +37,15 @@ def _segments(df: DataFrame, keys: list[str], axis: str, window: int, span: int)
     return rows.withColumn(PIECE, F.floor((F.col(axis) - F.col(SEG)) / F.lit(span)).cast("bigint"))
 
 
+def _never_null(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Stand-ins for the keys that never are NULL, so that joins treat all sessions alike whatever their length."""
+    kinds = dict(df.dtypes)
+    for i, key in enumerate(keys):
+        blank = F.lit("" if kinds[key] == "string" else 0).cast(kinds[key])
+        df = df.withColumns({f"_key{i}": F.coalesce(F.col(key), blank), f"_none{i}": F.col(key).isNull()})
+    return df, [f"{n}{i}" for i in range(len(keys)) for n in ("_key", "_none")]
+
+
 def _piece_span(df: DataFrame, keys: list[str], axis: str, window: int, span: int, rows_per_piece: int) -> tuple[int, bool]:
     """(span to use, whether every key fits one piece).
 
@@ -130,8 +142,9 @@ def chained_scan(
     ``order`` must make the row order inside a key total.  ``fields`` are the columns the
     rule sees; ``axis`` must be an integer column.
     """
-    keys, fields = list(keys), list(fields)
-    base = df.columns
+    fields, base = list(fields), df.columns
+    unplaced = df.filter(F.col(axis).isNull()).withColumn(ASSIGNED, F.lit(None).cast("bigint"))
+    df, keys = _never_null(df.filter(F.col(axis).isNotNull()), list(keys))
     # Keys that span less than one piece need neither runs nor exchange: the key is the piece.
     span, whole = _piece_span(df, keys, axis, window, span, rows_per_piece)
     first_axis = F.lit(0).cast("bigint")
@@ -141,7 +154,7 @@ def chained_scan(
         .withColumn(SLOT, F.lit(-1))
         .withColumn(STATE, F.lit(None).cast("string"))  # JSON; a nested column would slow every row
     )
-    columns = [*base, SEG, PIECE, ASSIGNED, SLOT, STATE]
+    columns = [*df.columns, SEG, PIECE, ASSIGNED, SLOT, STATE]
     prepared = prepared.select(*columns)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in prepared.schema.fields])
     scan = _scanner(keys, axis, fields, window, span, rule, whole)
@@ -159,7 +172,7 @@ def chained_scan(
         )
 
     if whole or not prepared.agg(F.max(PIECE)).first()[0]:
-        return run(prepared).select(*base, ASSIGNED)
+        return run(prepared).select(*base, ASSIGNED).unionByName(unplaced)
 
     piece = [*keys, SEG, PIECE]
     rows = cut_lineage(prepared)
@@ -197,4 +210,4 @@ def chained_scan(
     result = scans[0]
     for redone, fresh in zip(replaced, scans[1:]):
         result = result.join(redone, piece, "left_anti").unionByName(fresh)
-    return result.filter(F.col(SLOT) < 0).select(*base, ASSIGNED)
+    return result.filter(F.col(SLOT) < 0).select(*base, ASSIGNED).unionByName(unplaced)

@@ -25,14 +25,24 @@ class Gate:
     latency_p95_max: float = 100.0
 
 
-def run_benchmark(detections: DataFrame, truth: DataFrame, annotated: DataFrame | None = None, keys: list[str] = SESSION, **tolerances) -> DataFrame:
-    """Counts and rates per session.  An annotated session without detections keeps all of its
-    truths as false negatives and says so in ``error``."""
+def run_benchmark(detections: DataFrame, truth: DataFrame, frames: DataFrame, keys: list[str] = SESSION, **tolerances) -> DataFrame:
+    """Counts, rates and speed per session of ``frames (keys…, total_frames, processing_ms)``.
+
+    A session without detections keeps all of its truths as false negatives; ``error`` is set only where there are no
+    frames to look at.
+    """
     counts = match_counts(match_truth(detections, truth, keys=keys, **tolerances), truth, keys)
-    if annotated is not None:
-        counts = annotated.select(*keys).distinct().join(counts, keys, "left").na.fill(0, ["tp", "fp", "fn"])
-    out = with_rates(counts)
-    return out.withColumn("error", F.when(F.col("tp") + F.col("fp") == 0, "No frame images found"))
+    counts = frames.select(*keys, "total_frames", "processing_ms").join(counts, keys, "left").na.fill(0, ["tp", "fp", "fn"])
+    speed = F.when(F.col("processing_ms") > 0, F.col("total_frames") * 1000 / F.col("processing_ms")).otherwise(0.0)
+    out = with_rates(counts).withColumns(
+        {
+            "total_truth": F.col("tp") + F.col("fn"),
+            "total_detected": F.col("tp") + F.col("fp"),
+            "fps_processed": F.round(speed, 6),
+            "error": F.when(F.coalesce("total_frames", F.lit(0)) == 0, "No frame images found"),
+        }
+    )
+    return out.drop("processing_ms")
 
 
 def average_rates(results: DataFrame) -> DataFrame:

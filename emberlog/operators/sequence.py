@@ -260,14 +260,14 @@ def kills(enemy: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: float
 
 
 def kill_statistics(kill: DataFrame, damage: DataFrame, keys: list[str] = SESSION) -> DataFrame:
-    """Per session: kills, damage, kills per minute of observed damage, counts by signal."""
+    """Per session: kills, damage, kills per minute of observed damage, counts by signal; zeros for a session with damage but no kill."""
     span = damage.groupBy(*keys).agg((F.max("timestamp_ms") - F.min("timestamp_ms")).alias("_ms"))
     minutes = F.when(F.col("_ms") > 0, F.col("_ms") / 60000.0).otherwise(1.0)
     by_signal = [F.count_if(F.col("kill_signal") == s).alias(s) for s in SIGNAL_CONFIDENCE]
     k = kill.groupBy(*keys).agg(F.count("*").alias("total_kills"), F.sum("total_damage").alias("total_damage"), F.max("total_damage").alias("biggest_kill"), *by_signal)
-    return k.join(span, keys, "left").withColumns(
-        {"average_damage_per_kill": F.round(F.col("total_damage") / F.col("total_kills"), 6), "kills_per_minute": F.round(F.col("total_kills") / minutes, 6)}
-    ).drop("_ms")
+    k = span.join(k, keys, "left").na.fill(0, ["total_kills", "total_damage", "biggest_kill", *SIGNAL_CONFIDENCE])
+    average = F.when(F.col("total_kills") > 0, F.col("total_damage") / F.col("total_kills")).otherwise(0.0)
+    return k.withColumns({"average_damage_per_kill": F.round(average, 6), "kills_per_minute": F.round(F.col("total_kills") / minutes, 6)}).drop("_ms")
 
 
 # --- spawns --------------------------------------------------------------------------------

@@ -47,6 +47,31 @@ def top_hits(hits: DataFrame, k: int = 5, key: str = "session_id") -> DataFrame:
     return top_k(hits, [key], [F.desc("parsed_value"), F.asc("frame_index"), F.asc("ordinal")], k)
 
 
+def combat_summary(hits: DataFrame, readings: DataFrame, metadata: DataFrame, bucket_ms: int = 1000, k: int = 5, key: str = "session_id", text: str = "text") -> DataFrame:
+    """One nested report per session of ``metadata``: totals, duration, the ``k`` biggest hits, coverage, timeline facts.
+
+    The timeline itself grows with the session and is a table of parts (``timeline_parts``); the report holds its size
+    and its strongest bucket.
+    """
+    sessions = metadata.select(key).distinct()
+    totals = session_totals(hits, sessions, key)
+    best = top_hits(hits, k, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "parsed_value", "frame_index"))).alias("_top"))
+    line = dps_timeline(hits, bucket_ms, key).groupBy(key).agg(F.count("*").alias("n_buckets"), F.max("dps").alias("peak_dps"))
+    out = totals.join(durations(metadata, hits, key), key, "left").join(best, key, "left").join(coverage(readings, key, text), key, "left").join(line, key, "left")
+    counts = ["candidate_count", "recognized_count", "parsed_count", "confident_count", "n_buckets"]
+    top = F.coalesce("_top", F.array().cast("array<struct<rank:int,parsed_value:bigint,frame_index:int>>"))
+    return out.na.fill(0, [*counts, "peak_dps"]).withColumns({"top_values": F.transform(top, lambda t: t["parsed_value"]), "top_frames": F.transform(top, lambda t: t["frame_index"])}).drop("_top")
+
+
+def timeline_parts(timeline: DataFrame, bucket_ms: int = 1000, rows: int = 1024, key: str = "session_id") -> DataFrame:
+    """The gap-filled timeline as arrays of at most ``rows`` buckets: ``part`` numbers them, damage and hits in time order."""
+    place = (F.col("start_ms") / bucket_ms).cast("bigint")
+    parts = timeline.groupBy(key, F.floor(place / rows).alias("part")).agg(F.sort_array(F.collect_list(F.struct("start_ms", "damage", "hit_count"))).alias("_b"))
+    return parts.select(
+        key, "part", F.col("_b")[0]["start_ms"].alias("start_ms"), F.transform("_b", lambda b: b["damage"]).alias("damage"), F.transform("_b", lambda b: b["hit_count"]).alias("hits")
+    )
+
+
 def coverage(readings: DataFrame, key: str = "session_id", text: str = "text", confident: float = 0.6) -> DataFrame:
     return readings.groupBy(key).agg(
         F.count("*").alias("candidate_count"),

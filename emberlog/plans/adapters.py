@@ -108,7 +108,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.expr("l_orderkey div 64").alias("session_id"),
-        F.col("l_orderkey").cast("int").alias("frame_index"),
+        F.expr("cast(l_orderkey % 2147483647 as int)").alias("frame_index"),
         F.expr("(l_orderkey * 8 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint)").alias("ordinal"),
         F.expr("cast(l_partkey * 7 % 300 as int)").alias("left"),
         F.expr("cast(l_suppkey * 11 % 120 as int)").alias("top"),

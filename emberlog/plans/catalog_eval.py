@@ -99,18 +99,23 @@ def _(spark, sf):
     return checked(spark, sf).select("session_id", ev.verdict(F.col("f1_change")).alias("verdict"))
 
 
-_BENCH_SQL = f"""(SELECT s.session_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM (SELECT DISTINCT c_custkey // 8 AS session_id FROM customer) s
+_FRAMES_SQL = """(SELECT c_custkey // 8 AS session_id, count(*) FILTER (c_mktsegment <> 'BUILDING') * 90 AS total_frames, count(*) FILTER (c_mktsegment <> 'BUILDING') * 3000 + c_custkey // 8 % 7 AS processing_ms
+    FROM customer GROUP BY 1, c_custkey // 8)"""
+_BENCH_SQL = f"""(SELECT s.session_id, total_frames, processing_ms, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM {_FRAMES_SQL} s
     LEFT JOIN {counts_sql(MATCH_SQL, 'truth', 'session_id')} c USING (session_id))"""
 
 
 def benchmark(spark, sf):
-    sessions = ad.table(spark, sf, "customer").select(F.expr("c_custkey div 8").alias("session_id"))
-    return ev.run_benchmark(ad.detections(spark, sf), ad.truth(spark, sf), sessions)
+    """Frames per session from ``customer``: some sessions have frames but no detections, some have neither."""
+    seen = F.count_if(F.col("c_mktsegment") != "BUILDING")
+    frames = ad.table(spark, sf, "customer").groupBy(F.expr("c_custkey div 8").alias("session_id")).agg((seen * 90).alias("total_frames"), (seen * 3000).alias("_ms"))
+    return ev.run_benchmark(ad.detections(spark, sf), ad.truth(spark, sf), frames.withColumn("processing_ms", F.col("_ms") + F.col("session_id") % 7))
 
 
 @query(
     "e1_e2_run_benchmark",
-    f"SELECT session_id, tp, fp, fn, {RATES_SQL}, {ACC_SQL}, CASE WHEN tp + fp = 0 THEN 'No frame images found' END AS error FROM {_BENCH_SQL}",
+    f"""SELECT session_id, total_frames, tp, fp, fn, {RATES_SQL}, {ACC_SQL}, tp + fn AS total_truth, tp + fp AS total_detected,
+        coalesce(round(CASE WHEN processing_ms > 0 THEN total_frames * 1000 / processing_ms END, 6), 0) AS fps_processed, CASE WHEN total_frames = 0 THEN 'No frame images found' END AS error FROM {_BENCH_SQL}""",
     ["detections", "truth"],
 )
 def _(spark, sf):

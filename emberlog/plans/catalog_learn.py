@@ -51,7 +51,7 @@ def _(spark, sf):
     rows = training_rows(spark, sf).drop("raw_text", "pixel_count")
     extra = ml.negatives(rows.drop("ordinal"))
     both = rows.unionByName(extra.withColumn("ordinal", F.xxhash64(*extra.columns)))
-    return ml.choose_model(both, trees=10, folds=3)[2]
+    return ml.choose_model(both)[2]
 
 
 @query("m6_feature_importance")

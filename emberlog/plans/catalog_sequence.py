@@ -147,10 +147,10 @@ def _(spark, sf):
 
 @query(
     "a18_kill_statistics",
-    f"""SELECT session_id, count(*) AS total_kills, CAST(sum(k.total_damage) AS BIGINT) AS total_damage, max(k.total_damage) AS biggest_kill,
+    f"""SELECT session_id, count(kill_signal) AS total_kills, CAST(coalesce(sum(k.total_damage), 0) AS BIGINT) AS total_damage, coalesce(max(k.total_damage), 0) AS biggest_kill,
         {', '.join(f"count(*) FILTER (kill_signal = '{s}') AS {s}" for s in sq.SIGNAL_CONFIDENCE)},
-        round(sum(k.total_damage) / count(*), 6) AS average_damage_per_kill, round(count(*) / max(minutes), 6) AS kills_per_minute
-        FROM {_KILL_SQL} k JOIN (SELECT session_id, CASE WHEN max(timestamp_ms) > min(timestamp_ms) THEN (max(timestamp_ms) - min(timestamp_ms)) / 60000e0 ELSE 1 END AS minutes FROM damage GROUP BY 1) USING (session_id) GROUP BY 1""",
+        coalesce(round(sum(k.total_damage) / count(kill_signal), 6), 0) AS average_damage_per_kill, round(count(kill_signal) / max(minutes), 6) AS kills_per_minute
+        FROM (SELECT session_id, CASE WHEN max(timestamp_ms) > min(timestamp_ms) THEN (max(timestamp_ms) - min(timestamp_ms)) / 60000e0 ELSE 1 END AS minutes FROM damage GROUP BY 1) LEFT JOIN {_KILL_SQL} k USING (session_id) GROUP BY 1""",
     ["damage", "cues"],
 )
 def _(spark, sf):

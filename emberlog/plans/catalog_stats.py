@@ -87,6 +87,41 @@ def _(spark, sf):
     return st.durations(metadata(spark, sf), ad.hits(spark, sf))
 
 
+_TIMELINE_SQL = f"""(SELECT r.session_id, b, coalesce(damage, 0) AS damage, coalesce(hit_count, 0) AS hit_count
+    FROM (SELECT session_id, unnest(range(max(timestamp_ms) // {HOUR} + 1)) AS b FROM hits GROUP BY 1) r
+    LEFT JOIN (SELECT session_id, timestamp_ms // {HOUR} AS b, CAST(sum(parsed_value) AS BIGINT) AS damage, count(*) AS hit_count FROM hits GROUP BY 1, 2) f USING (session_id, b))"""
+
+
+@query(
+    "a_combat_summary",
+    f"""WITH m AS (SELECT c_custkey // 8 AS session_id, CASE WHEN c_custkey // 8 % 3 <> 0 THEN CAST(c_nationkey + 10 AS DOUBLE) END AS fps,
+            CASE WHEN c_custkey // 8 % 5 <> 0 THEN c_custkey * 7 + 1 END AS frames_written FROM customer WHERE c_custkey % 8 = 0),
+        h AS (SELECT session_id, CAST(sum(parsed_value) AS BIGINT) AS total_damage, count(*) AS hit_count, max(parsed_value) AS biggest_hit, max(timestamp_ms) AS last FROM hits GROUP BY 1),
+        t AS (SELECT session_id, list(parsed_value ORDER BY rn) AS top_values, list(frame_index ORDER BY rn) AS top_frames FROM
+            (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY parsed_value DESC, frame_index, ordinal) AS rn FROM hits) WHERE rn <= 5 GROUP BY 1),
+        c AS (SELECT session_id, count(*) AS candidate_count, count(*) FILTER (text <> '') AS recognized_count, count(val) AS parsed_count, count(*) FILTER (confidence >= 0.6e0) AS confident_count
+            FROM {READINGS_SQL} GROUP BY 1),
+        l AS (SELECT session_id, count(*) AS n_buckets, max(damage / 3600e0) AS peak_dps FROM {_TIMELINE_SQL} GROUP BY 1)
+        SELECT session_id, coalesce(total_damage, 0) AS total_damage, coalesce(hit_count, 0) AS hit_count, coalesce(biggest_hit, 0) AS biggest_hit, coalesce(total_damage / hit_count, 0e0) AS average_hit,
+            CAST(coalesce(CASE WHEN fps > 0 AND frames_written IS NOT NULL THEN round_even(frames_written / fps * 1000, 0) END, last, 0) AS BIGINT) AS duration_ms,
+            coalesce(candidate_count, 0) AS candidate_count, coalesce(recognized_count, 0) AS recognized_count, coalesce(parsed_count, 0) AS parsed_count, coalesce(confident_count, 0) AS confident_count,
+            coalesce(n_buckets, 0) AS n_buckets, coalesce(peak_dps, 0e0) AS peak_dps, coalesce(top_values, []) AS top_values, coalesce(top_frames, []) AS top_frames
+        FROM m LEFT JOIN h USING (session_id) LEFT JOIN t USING (session_id) LEFT JOIN c USING (session_id) LEFT JOIN l USING (session_id)""",
+    ["hits", "texts"],
+)
+def _(spark, sf):
+    return st.combat_summary(ad.hits(spark, sf), scored_readings(spark, sf), metadata(spark, sf), HOUR)
+
+
+@query(
+    "a2_timeline_parts",
+    f"""SELECT session_id, b // 256 AS part, min(b) * {HOUR} AS start_ms, list(damage ORDER BY b) AS damage, list(hit_count ORDER BY b) AS hits FROM {_TIMELINE_SQL} GROUP BY 1, 2""",
+    ["hits"],
+)
+def _(spark, sf):
+    return st.timeline_parts(st.dps_timeline(ad.hits(spark, sf), HOUR), HOUR, rows=256)
+
+
 @query(
     "a6_candidate_kinds",
     f"""SELECT session_id, kind, count(*) AS candidates, CAST(coalesce(sum(CASE WHEN kind = 'damage' THEN val END), 0) AS BIGINT) AS parsed_damage

@@ -329,20 +329,20 @@ def _(spark, sf):
 
 def bucket_sql(col: str, buckets) -> str:
     body = " ".join(f"WHEN {col} < {u} THEN '{lab}'" for lab, u in buckets[:-1])
-    return f"CASE {body} ELSE '{buckets[-1][0]}' END"
+    return f"CASE WHEN {col} IS NULL THEN NULL {body} ELSE '{buckets[-1][0]}' END"
 
 
 @query(
     "p17_buckets",
     f"""SELECT ordinal, {bucket_sql('confidence', sc.CONFIDENCE_BUCKETS)} AS confidence_bucket, {bucket_sql('value', sc.DAMAGE_BUCKETS)} AS damage_bucket
-        FROM (SELECT event_id AS ordinal, (event_id % 11) / 10e0 AS confidence, event_id * event_id % 2000000 AS value FROM events)""",
+        FROM (SELECT event_id AS ordinal, CASE WHEN event_id % 13 > 0 THEN (event_id % 11) / 10e0 END AS confidence, (event_id % 2000000) * (event_id % 2000000) % 2000000 AS value FROM events)""",
 )
 def _(spark, sf):
     i = F.col("event_id")
     return ad.table(spark, sf, "events").select(
         i.alias("ordinal"),
-        sc.bucket_label((i % 11) / 10.0, sc.CONFIDENCE_BUCKETS).alias("confidence_bucket"),
-        sc.bucket_label(i * i % 2000000, sc.DAMAGE_BUCKETS).alias("damage_bucket"),
+        sc.bucket_label(F.when(i % 13 > 0, (i % 11) / 10.0), sc.CONFIDENCE_BUCKETS).alias("confidence_bucket"),
+        sc.bucket_label((i % 2000000) * (i % 2000000) % 2000000, sc.DAMAGE_BUCKETS).alias("damage_bucket"),
     )
 
 

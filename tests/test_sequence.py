@@ -165,3 +165,13 @@ def test_crowded_session_is_cut(spark, data):
     fields = ["ordinal", "frame_index", "parsed_value", "confidence", "center_x", "center_y"]
     cut = chained_scan(data, ["session_id"], "frame_index", ["ordinal"], fields, 5, _Nearby("track", 70.0), rows_per_piece=20)
     assert ids(cut, "assigned") == ids(sq.vote_tracks(data), "track_id")
+
+
+def test_nulls_are_treated_alike_whatever_the_span(spark):
+    """A NULL session is a session; a row without a frame is kept but joins no chain."""
+    r = random.Random(11)
+    rows = [(None if i % 4 == 0 else i % 3, None if i % 17 == 0 else r.randrange(150), i, 1200, 0.9, float(r.randrange(100)), 5.0) for i in range(200)]
+    frame = spark.createDataFrame(rows, "session_id int, frame_index int, ordinal bigint, parsed_value bigint, confidence double, center_x double, center_y double")
+    found = [sorted(((x.ordinal, x.track_id) for x in sq.vote_tracks(frame, window=3, span=span).collect()), key=lambda p: p[0]) for span in (16384, 12)]
+    assert len(found[0]) == 200 and found[0] == found[1]
+    assert all((track is None) == (ordinal % 17 == 0) for ordinal, track in found[0])
