@@ -144,7 +144,7 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
     return df.withColumn("importance", F.abs("coefficient")).orderBy(F.desc("importance"), "feature")
 
 
-def choose_model(samples: DataFrame, trees: int = 100, folds: int = 5, seed: int = 42) -> tuple[str, object, DataFrame]:
+def choose_model(samples: DataFrame, trees: int = 100, folds: int = 5, seed: int = 42, rounds: int = 100) -> tuple[str, object, DataFrame]:
     """Logistic regression, random forest and boosted trees compared by the F1 of the positive class, cross-validated
     and on the test side; the best test F1 wins.  The regression and the forest weigh the classes.  Returns (name, model, scores)."""
     rows = prepared(samples, presence=False)
@@ -154,7 +154,7 @@ def choose_model(samples: DataFrame, trees: int = 100, folds: int = 5, seed: int
     candidates = {
         "logistic_regression": LogisticRegression(labelCol="label", weightCol="weight", maxIter=1000, regParam=penalty),
         "random_forest": RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=seed),
-        "gradient_boosting": GBTClassifier(labelCol="label", maxIter=trees, seed=seed),
+        "gradient_boosting": GBTClassifier(labelCol="label", maxIter=rounds, seed=seed),
     }
     weighted = cut_lineage(balanced(left))
     scores, models = [], {}

@@ -147,13 +147,13 @@ def _(spark, sf):
 
 @query(
     "s7_sample_roundtrip",
-    f"""SELECT round(line_score, 6) AS line_score, member_count, width, height, has_digit, has_suffix, has_decimal, starts_with_nonzero, text_length, parsed_value, value_in_range, is_plausible, label FROM {FEATURES_SQL}""",
+    f"""SELECT round(line_score, 6) AS line_score, round(fill_ratio, 6) AS fill_ratio, round(aspect_ratio, 6) AS aspect_ratio, member_count, width, height, has_digit, has_suffix, has_decimal, starts_with_nonzero, text_length, parsed_value, value_in_range, is_plausible, label FROM {FEATURES_SQL}""",
     ["samples"],
 )
 def _(spark, sf):
     docs = io.nest_samples(featured(ad.samples(spark, sf)), sc.FEATURES).select(F.to_json(F.struct("features", "label")).alias("doc"))
     back = docs.select(F.from_json("doc", schemas.SAMPLE).alias("d")).select("d.features.*", "d.label")
-    return back.drop("fill_ratio", "aspect_ratio").withColumn("line_score", F.round("line_score", 6))
+    return back.withColumns({c: F.round(c, 6) for c in ("line_score", "fill_ratio", "aspect_ratio")})
 
 
 @query(

@@ -49,9 +49,11 @@ def _(spark, sf):
 @query("m5_choose_model")
 def _(spark, sf):
     rows = training_rows(spark, sf).drop("raw_text", "pixel_count")
-    extra = ml.negatives(rows.drop("ordinal"))
+    read = scored_readings(spark, sf).filter(F.col("is_plausible") & (F.col("confidence") >= 0.6))
+    collected = ml.collected_samples(read.select("text", F.col("parsed_value").alias("value"), "confidence"))
+    extra = ml.negatives(rows.drop("ordinal")).unionByName(collected.select(*[c for c in rows.columns if c != "ordinal"]))
     both = rows.unionByName(extra.withColumn("ordinal", F.xxhash64(*extra.columns)))
-    return ml.choose_model(both)[2]
+    return ml.choose_model(both, rounds=10)[2]  # a boosting round is a chain of jobs, whatever the size
 
 
 @query("m6_feature_importance")
