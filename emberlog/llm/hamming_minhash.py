@@ -1,15 +1,16 @@
 """Near-duplicate detection: MinHash signatures matched by a multi-index Hamming join.
 
 A document's set holds its distinct word shingles.  Its signature has ``LENGTH`` symbols of ``BITS`` bits, the scrambled
-minima of as many hash functions.  Signatures that differ in at most ``DISTANCE`` symbols are found for certain: they
-are cut into so many chunks that one chunk of such a pair differs in at most ``ERRORS`` symbols, and a chunk is indexed once for every choice of
-``ERRORS`` symbols left out.  At similarity 0.8 a symbol differs with probability 0.2, so more than 27 of 64 differ about
-once in 100,000 pairs just at the limit, and less often above it.
+minima of as many hash functions.  Signatures are cut into ``CHUNKS`` chunks, and a chunk is indexed once for every choice of ``ERRORS``
+symbols left out.  By the pigeonhole principle signatures that differ in at most ``(ERRORS + 1) * CHUNKS - 1`` symbols meet in some
+bucket for certain.  At similarity 0.8 a symbol differs with probability 0.2 and a chunk of seven has at most one error with
+probability 0.58, so a pair just at the limit misses all ten chunks about once in 5,000 times; above it far less often.
 
-Documents with equal sets are one node.  First every node of a bucket is held against the bucket's hub (another one for
-each chunk); linked nodes form components.  Then, in buckets that still hold several components, all nodes of different
-components are held against each other, so no link that joins components is lost and a large group of near copies
-costs its size, not its square.  A pair counts when the full sets confirm it.
+Documents with equal sets are one node.  Each task merges the nodes it holds for a bucket into one row, so a bucket is never larger
+than the number of tasks when it is shuffled.  First every node of a bucket is held against the bucket's least and greatest node; linked
+nodes form components.  Then, in buckets that still hold several components, all nodes of different components are held
+against each other, so no link between them is lost and a large group of near copies costs its size, not its square.  A
+pair counts when the full sets confirm it.
 
 NULL and empty texts, or texts of white space, have an empty set and no link.  Fewer words than a shingle's are one shingle.
 Repeated rows are copies.  NULL ids rank last as names of components.
@@ -23,14 +24,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from emberlog.llm.common import Polynomial, blocks, is_empty, keyed, lower_ascii, mix, salted_join, table, texts_of
+from emberlog.llm.common import Polynomial, blocks, is_empty, keyed, lower_ascii, mix, rows_with, rows_without, salted_join, table, texts_of
 from emberlog.llm.components import components
 from emberlog.session import cut_lineage
 
-LENGTH, BITS = 64, 16
-DISTANCE, ERRORS = 27, 1
+LENGTH, BITS = 70, 16
+CHUNKS, ERRORS = 10, 1
+#: Signatures of a pair to confirm differ in no more symbols (14 on average at similarity 0.8, 3.3 standard deviation).
+CLOSE = 33
+#: Nodes whose buckets a task merges together.
+BLOCK = 4096
+#: Rows of a batch given back.
+ROWS = 1 << 14
 #: Words above this many bytes are hashed as a whole by BLAKE2.
 LONG_WORD = 1 << 12
 #: Bytes of text, and hash values, handled at once.
@@ -126,35 +133,36 @@ def _set_udf(k: int):
     return shingles
 
 
-def chunks(length: int = LENGTH, distance: int = DISTANCE, errors: int = ERRORS) -> list[np.ndarray]:
-    """The positions of each chunk: of ``distance`` differing symbols, at most ``errors`` fall into one of them."""
-    return np.array_split(np.arange(length), distance // (errors + 1) + 1)
-
-
-MASKS = _RANDOM.integers(0, 1 << 62, len(chunks()), np.int64)
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The index keys of each signature; the chunk is the high bits, the hub's order differs by chunk."""
-    parts = chunks()
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket and block of nodes one row: the least node and, if there are more, the others."""
+    parts = np.array_split(np.arange(LENGTH), CHUNKS)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            rows = batch.slice(lo, 2048)
+        for lo in range(0, batch.num_rows, BLOCK):
+            rows = batch.slice(lo, BLOCK)
             cid = rows.column(0).to_numpy()
-            data, _ = texts_of(rows.column(1))
-            at = rows.column(1).buffers()[1]  # all signatures have one length
-            first = np.frombuffer(at, np.int32)[rows.column(1).offset] if len(cid) else 0
-            sigs = data[first : first + 2 * LENGTH * len(cid)].view("<u2").reshape(len(cid), LENGTH).astype(np.uint64)
-            keys, members = [], []
+            sigs = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u2").reshape(len(cid), LENGTH)
+            order = np.argsort(cid)
+            cid, sigs = cid[order], sigs[order].astype(np.uint64)
+            keys = []
             for c, places in enumerate(parts):
                 for left_out in combinations(range(len(places)), ERRORS):
-                    key = np.full(len(cid), 1 + sum(1 << i for i in left_out), np.uint64)
+                    key = np.full(len(cid), 1 + c * 1000 + sum(1 << i for i in left_out), np.uint64)
                     for i, place in enumerate(places):
                         if i not in left_out:
                             key = mix(key + np.uint64(0x9E37)) ^ sigs[:, place]
-                    keys.append((mix(key) >> np.uint64(5)).astype(np.int64) | (c << 59))
-                    members.append(cid ^ MASKS[c])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(members))], ["key", "member"])
+                    keys.append(mix(key))
+            keys, nodes = np.concatenate(keys), np.tile(cid, len(keys))
+            order = np.argsort(keys, kind="stable")
+            keys, nodes = keys[order], nodes[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sizes = np.diff(np.concatenate([first, [len(keys)]]))
+            more = np.ones(len(keys), bool)
+            more[first] = False
+            offsets = np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes[more]), mask=pa.array(sizes == 1))
+            out = pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(nodes[first]), rest], ["key", "least", "rest"])
+            for at in range(0, out.num_rows, ROWS):
+                yield out.slice(at, ROWS)
 
 
 def _differing(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -175,43 +183,48 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs (a, b)``: near enough by size and signature, then by the full sets."""
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs (a, b)``, each once, whose sizes and signatures allow a link."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = nodes.select("cid", "n", "sig")
     for end in ("a", "b"):
-        renamed = side.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
-        pairs = salted_join(pairs, renamed, [end], F.xxhash64("a", "b"), "inner")
+        side = nodes.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
+        pairs = pairs.join(side, end)  # a hub's pairs are split as the rows of any skewed join; salts would copy all signatures
     sized = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    close = cut_lineage(sized.filter(F.arrow_udf(_differing, "int")("sig_a", "sig_b") <= DISTANCE).select("a", "b"))
-    full = close
-    for end in ("a", "b"):
-        full = full.join(sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
-    both = full.withColumn("common", F.arrow_udf(_common, "bigint")("set_a", "set_b"))
-    return both.filter(100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
+    return sized.filter(F.arrow_udf(_differing, "int")("sig_a", "sig_b") <= CLOSE).select("a", "b")
 
 
-def _masks() -> Column:
-    return F.get(F.array(*[F.lit(int(m)) for m in MASKS]), F.shiftright("key", 59).cast("int"))
+def _confirmed(pairs: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links among written ``pairs (a, b)`` by their full sets."""
+    sets = cut_lineage(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()))
+    for end in ("a", "b"):
+        side = sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"set_{end}"))
+        pairs = pairs.join(side, end)
+    both = pairs.withColumn("common", F.arrow_udf(_common, "bigint")("set_a", "set_b"))
+    return both.filter(100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
 def node_components(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     """``(node, component)`` for every node ``(cid, n, sig)`` that has a link; ``sets_of(ids)`` gives ``(cid, shingles)``."""
-    indexed = nodes.select("cid", "sig").mapInArrow(_keys, "key bigint, member bigint")
-    hubs = indexed.groupBy("key").agg(F.min("member").alias("hub"), F.count("*").alias("n")).filter(F.col("n") > 1).select("key", "hub")
-    met = salted_join(indexed, hubs, ["key"], F.col("member"), "inner")
-    met = cut_lineage(met.select("key", F.col("member").bitwiseXOR(_masks()).alias("cid"), F.col("hub").bitwiseXOR(_masks()).alias("hub")))
-    sets = cut_lineage(sets_of(met.select("cid").distinct()))
-    near = met.filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-    found = cut_lineage(_confirmed(near, nodes, sets, percent))
+    held = nodes.select("cid", "sig").mapInArrow(_buckets, "key bigint, least bigint, rest array<bigint>")
+    key = W.partitionBy("key")
+    last = F.coalesce(F.array_max("rest"), F.col("least"))
+    met = held.select("*", F.min("least").over(key).alias("low"), F.max(last).over(key).alias("high")).filter(F.col("low") != F.col("high"))
+    members = F.concat(F.array("least"), F.coalesce("rest", F.array().cast("array<bigint>")))
+    met = cut_lineage(met.select("key", F.explode(members).alias("cid"), "low", "high"))
+    stars = met.select(F.col("cid").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter(F.col("a") != F.col("b"))
+    near = cut_lineage(_close(stars, nodes, percent))
+    found = cut_lineage(_confirmed(near, sets_of, percent))
     labels = cut_lineage(components(found))
     placed = met.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     placed = cut_lineage(placed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high"))
-    left = cut_lineage(salted_join(placed, mixed.select("key"), ["key"], F.col("cid"), "inner").select("key", "cid", "component"))
+    left = cut_lineage(placed.join(mixed.select("key"), "key", "left_semi").select("key", "cid", "component"))
     right = left.select("key", F.col("cid").alias("b"), F.col("component").alias("of_b"))
     across = left.select("key", F.col("cid").alias("a"), F.col("component").alias("of_a")).join(right, "key").filter(F.col("of_a") < F.col("of_b"))
-    more = cut_lineage(_confirmed(across.select("a", "b"), nodes, sets, percent))
+    across = cut_lineage(_close(across.select("a", "b"), nodes, percent))
+    if is_empty(across):
+        return labels
+    more = cut_lineage(_confirmed(across, sets_of, percent))
     if is_empty(more):
         return labels
     return components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
@@ -226,8 +239,8 @@ def near_classes(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame,
     nodes = cut_lineage(nodes.withColumn("cid", F.col("first.rid")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        text = rows.select(F.col("rid").alias("cid"), F.col("row.text").alias("text")).join(ids, "cid")
-        return text.select("cid", _set_udf(k)(F.col("text")).alias("shingles"))
+        text = rows_with(rows.select("rid", F.col("row.text").alias("text")), cut_lineage(ids.select(F.col("cid").alias("rid"))))
+        return text.select(F.col("rid").alias("cid"), _set_udf(k)(F.col("text")).alias("shingles"))
 
     labels = cut_lineage(node_components(nodes, sets_of, percent))
     placed = nodes.select("n", "s1", "s2", "cid", "first", "n_rows").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
@@ -250,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the least id, with all its columns."""
     rows, found = near_classes(docs, k, percent)
-    return rows.join(found.filter(F.col("rid") != F.col("keeper")).select("rid"), "rid", "left_anti").select("row.*")
+    return rows_without(rows, cut_lineage(found.filter(F.col("rid") != F.col("keeper")).select("rid"))).select("row.*")
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
