@@ -164,8 +164,13 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, size: int = PROFILE, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` in one of its own languages; those without letters or below ``min_score`` go."""
+    """The rows of ``docs`` in one of its own languages; those without letters or below ``min_score`` go.
+
+    Where no row names a language there is nothing to compare with, and only rows without letters go.
+    """
     learned = profiles(docs.filter(~held_out()).select("text", "lang"), size)
+    if not learned:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     seen = docs.select(F.struct("*").alias("row")).withColumn("found", predictor(learned, size)(F.col("row.text")))
     return seen.filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= min_score)).select("row.*")
 

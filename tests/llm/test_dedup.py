@@ -59,7 +59,13 @@ def test_shingle_sets(k):
     assert np.array_equal(found[3], list(near.shingle_sets(pa.array(["ONE"]), k))[0])
 
 
-def test_near_components(spark):
+@pytest.mark.parametrize("large", [near.LARGE, 2])
+def test_near_components(spark, monkeypatch, large):
+    """Also with components that are compared in blocks, of very few members and other nodes."""
+    monkeypatch.setattr(near, "LARGE", large)
+    if large == 2:
+        monkeypatch.setattr(near, "HOSTS", 2)
+        monkeypatch.setattr(near, "GUESTS", 2)
     random.seed(7)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -113,3 +119,17 @@ def test_components_of_long_chains(spark, monkeypatch):
     random.shuffle(links)
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, 7: 5, 9: 5, 5: 5}
+
+
+def test_blocks_find_links():
+    """A block's members against other sets: at most one link for each, and one wherever there is any."""
+    rng = np.random.default_rng(5)
+    base = rng.choice(10_000, 60, replace=False)
+    vary = lambda n: np.sort(np.concatenate([base[n:], 20_000 + rng.choice(10_000, n, replace=False)])).astype(np.int64)
+    hosts = {i: vary(int(rng.integers(0, 8))) for i in range(20)}
+    guests = {100 + i: vary(int(rng.integers(0, 16))) for i in range(40)}
+    table = lambda d, a, b: pa.table({a: pa.array(list(d)), b: pa.array(list(d.values()), pa.list_(pa.int64()))})
+    found = near._block_links(80)(table(hosts, "cid", "shingles"), table(guests, "guest", "own")).to_pydict()
+    similar = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    assert set(found["a"]) == {g for g, x in guests.items() if any(similar(x, h) for h in hosts.values())}
+    assert all(similar(guests[a], hosts[b]) for a, b in zip(found["a"], found["b"], strict=True)) and 0 < len(found["a"]) < 40
