@@ -3,14 +3,14 @@
 A document's set holds its distinct word shingles.  Its signature has ``LENGTH`` symbols of ``BITS`` bits, the scrambled
 minima of as many hash functions.  Signatures are cut into ``CHUNKS`` chunks, and a chunk is indexed once for every choice of ``ERRORS``
 symbols left out.  By the pigeonhole principle signatures that differ in at most ``(ERRORS + 1) * CHUNKS - 1`` symbols meet in some
-bucket for certain.  At similarity 0.8 a symbol differs with probability 0.2 and a chunk of seven has at most one error with
-probability 0.58, so a pair just at the limit misses all ten chunks about once in 5,000 times; above it far less often.
+bucket for certain.  At similarity 0.8 a symbol differs with probability 0.2 and a chunk of eight has at most one error with
+probability 0.50, so a pair just at the limit misses all twelve chunks about once in 4,000 times; above it far less often.
 
 Documents with equal sets are one node.  Each task merges the nodes it holds for a bucket into one row, so a bucket is never larger
 than the number of tasks when it is shuffled.  First every node of a bucket is held against the bucket's least and greatest node; linked
 nodes form components.  Then, in buckets that still hold several components, all nodes of different components are held
-against each other, so no link between them is lost and a large group of near copies costs its size, not its square.  A
-pair counts when the full sets confirm it.
+against each other, so no link between them is lost: small components pair by pair, a large component as a whole against each
+node that shares a bucket with it.  A pair counts when the full sets confirm it.
 
 NULL and empty texts, or texts of white space, have an empty set and no link.  Fewer words than a shingle's are one shingle.
 Repeated rows are copies.  NULL ids rank last as names of components.
@@ -30,10 +30,12 @@ from emberlog.llm.common import Polynomial, blocks, is_empty, keyed, lower_ascii
 from emberlog.llm.components import components
 from emberlog.session import cut_lineage
 
-LENGTH, BITS = 70, 16
-CHUNKS, ERRORS = 10, 1
-#: Signatures of a pair to confirm differ in no more symbols (14 on average at similarity 0.8, 3.3 standard deviation).
-CLOSE = 33
+LENGTH, BITS = 96, 16
+CHUNKS, ERRORS = 12, 1
+#: Signatures of a pair to confirm differ in no more symbols (19 on average at similarity 0.8, 3.9 standard deviation).
+CLOSE = 42
+#: Nodes of a component that is compared in blocks, of so many members and so many other nodes.
+LARGE, HOSTS, GUESTS = 16, 256, 1024
 #: Nodes whose buckets a task merges together.
 BLOCK = 4096
 #: Rows of a batch given back.
@@ -189,7 +191,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     for end in ("a", "b"):
         side = nodes.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
         pairs = pairs.join(side, end)  # a hub's pairs are split as the rows of any skewed join; salts would copy all signatures
-    sized = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    sized = pairs.filter(_sized("n_a", "n_b", percent))
     return sized.filter(F.arrow_udf(_differing, "int")("sig_a", "sig_b") <= CLOSE).select("a", "b")
 
 
@@ -215,21 +217,80 @@ def node_components(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     near = cut_lineage(_close(stars, nodes, percent))
     found = cut_lineage(_confirmed(near, sets_of, percent))
     labels = cut_lineage(components(found))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
     placed = met.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    placed = cut_lineage(placed)
+    placed = placed.join(nodes.select("cid", "n"), "cid").join(sizes, "component", "left").withColumn("large", F.coalesce(F.col("size") >= LARGE, F.lit(False)))
+    placed = cut_lineage(placed.select("key", "cid", "n", "component", "large"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high"))
-    left = cut_lineage(placed.join(mixed.select("key"), "key", "left_semi").select("key", "cid", "component"))
-    right = left.select("key", F.col("cid").alias("b"), F.col("component").alias("of_b"))
-    across = left.select("key", F.col("cid").alias("a"), F.col("component").alias("of_a")).join(right, "key").filter(F.col("of_a") < F.col("of_b"))
-    across = cut_lineage(_close(across.select("a", "b"), nodes, percent))
-    if is_empty(across):
-        return labels
-    more = cut_lineage(_confirmed(across, sets_of, percent))
+    open_rows = cut_lineage(placed.join(mixed.select("key"), "key", "left_semi"))
+    more = _between_small(open_rows, nodes, sets_of, percent).unionByName(_with_large(open_rows, nodes, labels, sizes, sets_of, percent))
+    more = cut_lineage(more)
     if is_empty(more):
         return labels
     return components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
+def _sized(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _between_small(open_rows: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links between nodes of different small components that share a bucket."""
+    left = open_rows.filter(~F.col("large")).select("key", F.col("cid").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("size_a"))
+    right = left.select("key", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("size_a").alias("size_b"))
+    across = left.join(right, "key").filter((F.col("of_a") < F.col("of_b")) & _sized("size_a", "size_b", percent))
+    across = cut_lineage(_close(across.select("a", "b"), nodes, percent))
+    return _confirmed(across, sets_of, percent)
+
+
+def _with_large(open_rows: DataFrame, nodes: DataFrame, labels: DataFrame, sizes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links between large components and other nodes that share a bucket with them.
+
+    Such a node is held against the whole component, both in blocks, and no pair of them becomes a row: a task counts what a block's
+    sets have in common with each node's and gives back one link at most for each node.
+    """
+    members = labels.join(sizes.filter(F.col("size") >= LARGE), "component").join(nodes.select(F.col("cid").alias("node"), "n"), "node")
+    members = cut_lineage(members.select("component", F.col("node").alias("cid"), "n"))
+    spans = members.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("size"))
+    here = open_rows.filter("large").select("key", F.col("component").alias("of")).distinct()
+    guests = open_rows.join(here, "key").filter((F.col("component") != F.col("of")) & (~F.col("large") | (F.col("component") < F.col("of"))))
+    guests = guests.select("of", "cid", "n").distinct().join(spans.withColumnRenamed("component", "of"), "of")
+    guests = cut_lineage(guests.filter((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))))
+    loads = guests.groupBy("of").agg(F.first("size").alias("size"), F.count("*").alias("guests"))
+    loads = loads.select("of", (F.floor(F.col("size") / HOSTS) + 1).cast("int").alias("blocks"), (F.floor(F.col("guests") / GUESTS) + 1).cast("int").alias("parts"))
+    part = lambda of: F.pmod(F.xxhash64("cid"), F.col(of)).cast("int")
+    many = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asked = members.withColumnRenamed("component", "of").join(loads, "of")
+    sets = cut_lineage(sets_of(asked.select("cid").unionByName(guests.select("cid")).distinct()))
+    hosts = asked.select("of", "cid", part("blocks").alias("block"), "parts").join(sets, "cid").select("of", "block", many("parts").alias("part"), "cid", "shingles")
+    there = guests.select("of", "cid").join(loads, "of").select("of", "cid", part("parts").alias("part"), "blocks").join(sets, "cid")
+    there = there.select(F.col("of").alias("to"), many("blocks").alias("its_block"), F.col("part").alias("its_part"), F.col("cid").alias("guest"), F.col("shingles").alias("own"))
+    return hosts.groupBy("of", "block", "part").cogroup(there.groupBy("to", "its_block", "its_part")).applyInArrow(_block_links(percent), "a bigint, b bigint")
+
+
+def _block_links(percent: int):
+    def links(hosts: pa.Table, guests: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if hosts.num_rows and guests.num_rows:
+            ids, lists = hosts.column("cid").to_numpy(), hosts.column("shingles").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy()
+            order = np.argsort(flat)
+            flat, owner = flat[order], np.repeat(np.arange(len(ids)), sizes)[order]
+            for cid, own in zip(guests.column("guest").to_pylist(), guests.column("own").combine_chunks(), strict=True):
+                own = np.asarray(own.values)
+                first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                runs = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+                common = np.bincount(owner[at], minlength=len(ids))
+                linked = np.flatnonzero(100 * common >= percent * (sizes + len(own) - common))
+                if len(linked):
+                    found.append((cid, int(ids[linked[0]])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return links
+
+
 def near_classes(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Written rows ``(rid, row, sketch)`` and, for each, ``(rid, doc_id, n, component_id, keeper)``."""
     rows = keyed(docs, sketch=_sketch_udf(k)(F.col("row.text")))
