@@ -223,7 +223,7 @@ def node_components(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     placed = cut_lineage(placed.select("key", "cid", "n", "component", "large"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high"))
     open_rows = cut_lineage(placed.join(mixed.select("key"), "key", "left_semi"))
-    more = _between_small(open_rows, nodes, sets_of, percent).unionByName(_with_large(open_rows, nodes, labels, sizes, sets_of, percent))
+    more = _between_small(open_rows, nodes, sets_of, percent).unionByName(_with_large(open_rows, labels, sizes, sets_of, percent))
     more = cut_lineage(more)
     if is_empty(more):
         return labels
@@ -235,34 +235,34 @@ def _sized(a: str, b: str, percent: int):
 
 
 def _between_small(open_rows: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links between nodes of different small components that share a bucket."""
-    left = open_rows.filter(~F.col("large")).select("key", F.col("cid").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("size_a"))
+    """Links between nodes of different small components that share a bucket without a large one."""
+    without = open_rows.join(open_rows.filter("large").select("key").distinct(), "key", "left_anti")
+    left = without.select("key", F.col("cid").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("size_a"))
     right = left.select("key", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("size_a").alias("size_b"))
     across = left.join(right, "key").filter((F.col("of_a") < F.col("of_b")) & _sized("size_a", "size_b", percent))
     across = cut_lineage(_close(across.select("a", "b"), nodes, percent))
     return _confirmed(across, sets_of, percent)
 
 
-def _with_large(open_rows: DataFrame, nodes: DataFrame, labels: DataFrame, sizes: DataFrame, sets_of, percent: int) -> DataFrame:
+def _with_large(open_rows: DataFrame, labels: DataFrame, sizes: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links between large components and other nodes that share a bucket with them.
 
-    Such a node is held against the whole component, both in blocks, and no pair of them becomes a row: a task counts what a block's
-    sets have in common with each node's and gives back one link at most for each node.
+    Such a node, a guest, is held against the whole component and its other guests, in blocks, and no pair of them becomes a row: a
+    task counts what a block's sets have in common with each guest's and gives back its links to guests and one to a member.
     """
-    members = labels.join(sizes.filter(F.col("size") >= LARGE), "component").join(nodes.select(F.col("cid").alias("node"), "n"), "node")
-    members = cut_lineage(members.select("component", F.col("node").alias("cid"), "n"))
-    spans = members.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("size"))
+    members = labels.join(sizes.filter(F.col("size") >= LARGE), "component")
+    members = cut_lineage(members.select(F.col("component").alias("of"), F.col("node").alias("cid"), F.lit(True).alias("member")))
     here = open_rows.filter("large").select("key", F.col("component").alias("of")).distinct()
     guests = open_rows.join(here, "key").filter((F.col("component") != F.col("of")) & (~F.col("large") | (F.col("component") < F.col("of"))))
-    guests = guests.select("of", "cid", "n").distinct().join(spans.withColumnRenamed("component", "of"), "of")
-    guests = cut_lineage(guests.filter((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))))
-    loads = guests.groupBy("of").agg(F.first("size").alias("size"), F.count("*").alias("guests"))
-    loads = loads.select("of", (F.floor(F.col("size") / HOSTS) + 1).cast("int").alias("blocks"), (F.floor(F.col("guests") / GUESTS) + 1).cast("int").alias("parts"))
+    guests = cut_lineage(guests.select("of", "cid").distinct())
+    asked = members.join(guests.select("of").distinct(), "of", "left_semi").unionByName(guests.withColumn("member", F.lit(False)))
+    loads = asked.groupBy("of").agg(F.count("*").alias("hosts"), F.count_if(~F.col("member")).alias("guests"))
+    loads = loads.select("of", (F.floor(F.col("hosts") / HOSTS) + 1).cast("int").alias("blocks"), (F.floor(F.col("guests") / GUESTS) + 1).cast("int").alias("parts"))
     part = lambda of: F.pmod(F.xxhash64("cid"), F.col(of)).cast("int")
     many = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    asked = members.withColumnRenamed("component", "of").join(loads, "of")
-    sets = cut_lineage(sets_of(asked.select("cid").unionByName(guests.select("cid")).distinct()))
-    hosts = asked.select("of", "cid", part("blocks").alias("block"), "parts").join(sets, "cid").select("of", "block", many("parts").alias("part"), "cid", "shingles")
+    sets = cut_lineage(sets_of(asked.select("cid").distinct()))
+    hosts = asked.join(loads, "of").select("of", "cid", "member", part("blocks").alias("block"), "parts").join(sets, "cid")
+    hosts = hosts.select("of", "block", many("parts").alias("part"), "cid", "member", "shingles")
     there = guests.select("of", "cid").join(loads, "of").select("of", "cid", part("parts").alias("part"), "blocks").join(sets, "cid")
     there = there.select(F.col("of").alias("to"), many("blocks").alias("its_block"), F.col("part").alias("its_part"), F.col("cid").alias("guest"), F.col("shingles").alias("own"))
     return hosts.groupBy("of", "block", "part").cogroup(there.groupBy("to", "its_block", "its_part")).applyInArrow(_block_links(percent), "a bigint, b bigint")
@@ -272,7 +272,8 @@ def _block_links(percent: int):
     def links(hosts: pa.Table, guests: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if hosts.num_rows and guests.num_rows:
-            ids, lists = hosts.column("cid").to_numpy(), hosts.column("shingles").combine_chunks()
+            ids, member = hosts.column("cid").to_numpy(), np.array(hosts.column("member").to_pylist())
+            lists = hosts.column("shingles").combine_chunks()
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy()
             order = np.argsort(flat)
@@ -283,9 +284,8 @@ def _block_links(percent: int):
                 runs = last - first
                 at = np.repeat(first - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
                 common = np.bincount(owner[at], minlength=len(ids))
-                linked = np.flatnonzero(100 * common >= percent * (sizes + len(own) - common))
-                if len(linked):
-                    found.append((cid, int(ids[linked[0]])))
+                linked = (100 * common >= percent * (sizes + len(own) - common)) & (ids != cid)
+                found += [(cid, int(x)) for x in [*ids[linked & member][:1], *ids[linked & ~member]]]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return links

@@ -122,14 +122,18 @@ def test_components_of_long_chains(spark, monkeypatch):
 
 
 def test_blocks_find_links():
-    """A block's members against other sets: at most one link for each, and one wherever there is any."""
+    """A block's members and guests against guests: every link to a guest, one to a member wherever there is any."""
     rng = np.random.default_rng(5)
     base = rng.choice(10_000, 60, replace=False)
     vary = lambda n: np.sort(np.concatenate([base[n:], 20_000 + rng.choice(10_000, n, replace=False)])).astype(np.int64)
     hosts = {i: vary(int(rng.integers(0, 8))) for i in range(20)}
     guests = {100 + i: vary(int(rng.integers(0, 16))) for i in range(40)}
     table = lambda d, a, b: pa.table({a: pa.array(list(d)), b: pa.array(list(d.values()), pa.list_(pa.int64()))})
-    found = near._block_links(80)(table(hosts, "cid", "shingles"), table(guests, "guest", "own")).to_pydict()
+    rows = table({**hosts, **guests}, "cid", "shingles").append_column("member", pa.array([True] * 20 + [False] * 40))
+    found = near._block_links(80)(rows, table(guests, "guest", "own")).to_pydict()
     similar = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
-    assert set(found["a"]) == {g for g, x in guests.items() if any(similar(x, h) for h in hosts.values())}
-    assert all(similar(guests[a], hosts[b]) for a, b in zip(found["a"], found["b"], strict=True)) and 0 < len(found["a"]) < 40
+    pairs = list(zip(found["a"], found["b"], strict=True))
+    to_members = [a for a, b in pairs if b in hosts]
+    assert sorted(to_members) == [g for g, x in guests.items() if any(similar(x, h) for h in hosts.values())] and 0 < len(to_members) < 40
+    assert {p for p in pairs if p[1] in guests} == {(a, b) for a in guests for b in guests if a != b and similar(guests[a], guests[b])}
+    assert all(similar(guests[a], {**hosts, **guests}[b]) for a, b in pairs)
