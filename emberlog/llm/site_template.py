@@ -1,10 +1,17 @@
 """Main text of web pages by site template removal.
 
-Each page is read as a tree of elements.  What its markup names as furniture (menus, footers, adverts, forms, scripts,
-comments and the like) goes at once.  Subtrees of the rest are hashed, and Spark counts on how many different pages of a host each
-hash occurs; copies of one page count once.  A subtree on at least ``MIN_PAGES`` pages and ``SHARE`` of a host's pages is part of
-the site's template and is deleted.  Inside an ``article`` or ``main`` element paragraphs, headings and other prose are never deleted by
-count, as quotations recur too.
+Each page is read as a tree of elements.  Subtrees of block elements are hashed, and Spark counts on how many different pages of
+a host each hash occurs; copies of one page count once.  Recurring subtrees are the site's template and are deleted first, wherever
+they stand: on ``MIN_PAGES`` pages and ``SHARE`` of a host's pages, or on ``MANY`` pages, or on all pages of a host with three or four.
+Outside ``article`` and ``main`` of a page that has them, and in what the markup names as furniture, ``MIN_PAGES`` pages are enough.
+Prose (paragraphs, headings, cells) is never deleted by count unless a container around it recurs as a whole, as quotations recur
+too, and inline elements never are; lists and tables are containers outside ``article`` and ``main`` only.
+
+Names decide what counts have left: scripts, forms, menus, adverts, comments and the like go.  ``html``, ``body``, ``main`` and
+``article`` never go by a name, nor does a block that a class, id, role or ``hidden`` names or a form if it holds most of the text that
+is left, or most of that of ``article`` and ``main`` it stands in.  Outside them it goes all the same if they hold a quarter of all, and comments and
+adverts go if they hold any.  Of the rest only ``main`` and ``article`` stay, where they
+hold a quarter of it (a half, if there is no ``main``).
 
 A NULL or empty page has empty text.  Pages are treated by row, so repeated rows and NULL ids are pages of their own; pages
 without a host are counted together.  Unclosed and stray tags are repaired the way browsers do in the common cases; reading
@@ -26,6 +33,10 @@ from emberlog.session import cut_lineage
 
 #: A template subtree is on this many different pages of its host, and on this share of them.
 MIN_PAGES, SHARE = 5, 0.3
+#: A subtree on so many different pages is one whatever their share, as large hosts have sections.
+MANY = 500
+#: Shares of the text left that ``main``, or articles alone, must hold to stand for the page.
+MAIN_SHARE, ARTICLE_SHARE = 0.25, 0.5
 
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,13 +45,24 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table thead tbody tfoot tr td th caption figure figcaption hgroup".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd thead tbody tfoot tr td th caption figure figcaption hgroup address option optgroup".split())
+#: Containers outside ``article`` and ``main``, prose inside.
+LISTS = frozenset("ul ol dl table dir".split())
+#: No name or count removes these.
+WHOLE = frozenset("html body main article".split())
 FURNITURE = frozenset("head nav aside footer form menu dialog button select option search svg canvas object audio video map input label fieldset datalist".split())
-#: Words of ``class``, ``id`` and ``role`` that name furniture.
+#: Whole names in ``class``, ``id`` and ``role`` that name furniture.
 NAMED = frozenset(
     "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar comment comments "
-    "disqus respond replies related recommended share sharing social pagination pager search widget complementary contentinfo dialog hidden".split()
+    "disqus respond replies related recommended share sharing social pagination pager search widget complementary contentinfo dialog hidden header "
+    "ad-box ad-container ad-slot cookie-banner cookie-notice cookie-consent site-header site-footer main-navigation nav-menu navbar-nav social-share "
+    "share-buttons related-posts comment-list comments-area comment-respond".split()
+)
+#: Of these, comments and adverts, which are never the main part where ``article`` or ``main`` has text.
+BESIDE = frozenset(
+    "comment comments disqus respond replies comment-list comments-area comment-respond ad ads advert advertisement advertising adsense banner sponsor sponsored "
+    "promo promotion cookie cookies consent gdpr ad-box ad-container ad-slot cookie-banner cookie-notice cookie-consent".split()
 )
 #: A start tag ends the open element of one of these names, unless one of those stands between.
 ENDS = {
@@ -57,9 +79,13 @@ P_SCOPE = frozenset("table td th caption button object".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 TAG_END = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+")
-PAGE = "struct<text:string,sig:bigint,pieces:array<string>,parts:array<struct<hash:bigint,first:int,last:int,open:boolean>>>"
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+READ_AS = {"class", "id", "role", "hidden"}
+#: Where a piece stands.
+ARTICLE, MAIN, GONE = 1, 2, 4
+#: What names a block: a form or a name of furniture, a name of comments or adverts.
+NAMED_BLOCK, BESIDE_BLOCK = 1, 2
+PAGE = "struct<sig:bigint,parts:array<bigint>>"
 
 
 class Page:
@@ -68,9 +94,10 @@ class Page:
     def __init__(self, source: str):
         self.source = source
         self.pieces: list[str | None] = []
-        self.where: list[int] = []  # 1: in an article, 2: in main, 4: furniture
-        self.subtrees: list[tuple[int, int, int, int, bool]] = []  # hash, first, last, where, prose
-        self.stack: list[list] = []  # name, where, first piece, children
+        self.where: list[int] = []  # ARTICLE, MAIN, GONE (furniture by its element)
+        self.subtrees: list[tuple[int, int, int, int, bool]] = []  # hash, first, last, where, furniture by a name
+        self.names: list[tuple[int, int, int, bool]] = []  # first, last, kind, inside article or main
+        self.stack: list[list] = []  # name, where, first piece, children, kind
         self.open: Counter = Counter()
         self._read()
 
@@ -117,7 +144,7 @@ class Page:
         self.where.append(self.stack[-1][1] if self.stack else 0)
 
     def _text(self, raw: str) -> None:
-        if raw:
+        if raw and not (self.stack and self.stack[-1][0] in RAW):
             text = html.unescape(raw) if "&" in raw else raw
             self._add(text)
             if self.stack:
@@ -146,14 +173,25 @@ class Page:
         if tag in VOID:
             return
         where = self.stack[-1][1] if self.stack else 0
-        names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-        words = {w for key in ("class", "id", "role") for w in SPLIT.split(names.get(key, ""))}
-        if tag in RAW or tag in FURNITURE or words & NAMED or "hidden" in names or (tag == "header" or "header" in words) and not where & 3:
-            where |= 4
-        if not where & 4:
-            where |= (tag == "article") | 2 * (tag == "main" or names.get("role") == "main")
+        names: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attributes):
+            if (key := m[1].lower()) in READ_AS:
+                names.setdefault(key, (m[2] or m[3] or m[4] or "").lower())
+        words = {w for key in ("class", "id", "role") for w in names.get(key, "").split()}
+        kind = 0
+        if tag in WHOLE:
+            where |= ARTICLE * (tag == "article") | MAIN * (tag == "main")
+        else:
+            if tag in RAW or tag in FURNITURE and tag != "form" or tag == "header" and not where & 3:
+                where |= GONE
+            elif "main" in names.get("role", "").split():
+                where |= MAIN
+            elif words & BESIDE:
+                kind = BESIDE_BLOCK
+            elif tag == "form" or "hidden" in names or words & NAMED and not (words & NAMED == {"header"} and where & 3):
+                kind = NAMED_BLOCK
         label = f"{tag} {names.get('class', '')} {names.get('id', '')}"
-        self.stack.append([tag, where, len(self.pieces), [label]])
+        self.stack.append([tag, where, len(self.pieces), [label], kind])
         self.open[tag] += 1
 
     def _end_paragraph(self) -> None:
@@ -183,81 +221,135 @@ class Page:
             self._pop()
 
     def _pop(self) -> None:
-        tag, where, first, children = self.stack.pop()
+        tag, where, first, children, kind = self.stack.pop()
         self.open[tag] -= 1
+        above = self.stack[-1][1] if self.stack else 0
         digest = xxhash.xxh3_64_intdigest("\x1f".join(children))
-        if len(self.pieces) > first and tag not in ("html", "body", "article", "main", "head"):
-            self.subtrees.append((digest, first, len(self.pieces), where, tag in PROSE or tag not in BLOCK))
-        if self.stack:
+        if len(self.pieces) > first:
+            if kind:
+                self.names.append((first, len(self.pieces), kind, bool(above & 3)))
+            named = bool(kind or where & GONE)
+            if tag in BLOCK and tag not in WHOLE and tag != "head" and (tag not in PROSE or named) and not (tag in LISTS and where & 3 and not named):
+                self.subtrees.append((digest, first, len(self.pieces), where, named))
+        if self.stack and tag not in RAW:
             self.stack[-1][3].append(f"{digest:x}")
         if tag in BLOCK:
             self._add(None)
 
-    def region(self) -> int:
-        """1 or 2 if furniture aside there is text in an article or in main, else 0."""
-        filled = {w & 3 for p, w in zip(self.pieces, self.where, strict=True) if p and not w & 4 and not p.isspace()}
-        return 1 if filled & {1, 3} else 2 if 2 in filled else 0
-
-    def kept(self) -> tuple[list[str | None], list[dict]]:
-        """Pieces of the region that is not furniture, and the subtrees; ``open`` to deletion are those inside it but for prose."""
-        region = self.region()
-        chosen = [not w & 4 and (w & region or not region) for w in self.where]
-        place = [0]
-        for c in chosen:
-            place.append(place[-1] + bool(c))
-        pieces = [p for p, c in zip(self.pieces, chosen, strict=True) if c]
-        parts = []
-        for digest, first, last, where, prose in self.subtrees:
-            a, b = place[first], place[last]
-            inside = a < b and not where & 4
-            if inside and not (region and prose) or where & 4 and not prose:
-                parts.append({"hash": digest - (1 << 63), "first": a, "last": b, "open": bool(inside and not (region and prose))})
-        return pieces, parts
-
-
-def joined(pieces: list[str | None], deleted: list[tuple[int, int]] = ()) -> str:
-    """Blocks with single spaces inside, parted by two line feeds; pieces in the ranges ``deleted`` are left out."""
-    gone, reach = set(), 0
+    def parts(self) -> list[dict]:
+        """Subtrees open to deletion by count; ``free`` are those for which few pages suffice."""
+        region = any(w & 3 and not w & GONE and p and not p.isspace() for p, w in zip(self.pieces, self.where, strict=True))
+        return [{"hash": h - (1 << 63), "first": a, "last": b, "free": named or region and not w & 3} for h, a, b, w, named in self.subtrees]
+
+
+def left(pieces: list[str | None], places: list[int], names: list[tuple[int, int, int, bool]], deleted: list[tuple[int, int]] = ()) -> str:
+    """The text of a page without the ranges ``deleted``, what names call furniture and what stands beside its main part."""
+    n = len(pieces)
+    stays = bytearray(not w & GONE for w in places)
+    reach = 0
     for a, b in sorted(deleted):
-        gone.update(range(max(a, reach), b))
-        reach = max(reach, b)
+        if b > reach:
+            stays[max(a, reach) : b] = bytes(b - max(a, reach))
+            reach = b
+
+    def sums(inside: int) -> list[int]:
+        out = [0]
+        for p, w, s in zip(pieces, places, stays, strict=True):
+            out.append(out[-1] + (len("".join(p.split())) if p and s and (w & 3 or not inside) else 0))
+        return out
+
+    everywhere, core = sums(0), sums(3)
+
+    def remove(ranges: list[tuple[int, int, int, bool]]) -> bytearray:
+        out, reach = bytearray(stays), 0
+        for a, b, *_ in sorted(ranges):
+            if b > reach:
+                out[max(a, reach) : b] = bytes(b - max(a, reach))
+                reach = b
+        return out
+
+    if everywhere[n]:
+        unnamed = sum(len("".join(p.split())) for p, w, s in zip(pieces, places, remove(names), strict=True) if p and s and w & 3)
+        most = [
+            2 * (everywhere[b] - everywhere[a]) > everywhere[n] and (inside or unnamed < MAIN_SHARE * everywhere[n]) or inside and 2 * (core[b] - core[a]) > core[n]
+            for a, b, _, inside in names
+        ]
+        if any(most):
+            out = remove([x for x, m in zip(names, most, strict=True) if not m or x[2] == BESIDE_BLOCK])
+            other = any(s and w & 3 and p and not p.isspace() for p, w, s in zip(pieces, places, out, strict=True))
+            removed = [x for x, m in zip(names, most, strict=True) if not m or x[2] == BESIDE_BLOCK and other]
+        else:
+            removed = names
+        all_left = stays
+        stays = remove(removed)
+        everywhere = sums(0)
+        if not everywhere[n]:  # names took everything
+            stays = all_left
+            everywhere = sums(0)
+        core = sums(3)
+        has_main = any(s and w & MAIN and p and not p.isspace() for p, w, s in zip(pieces, places, stays, strict=True))
+        if core[n] and core[n] >= (MAIN_SHARE if has_main else ARTICLE_SHARE) * everywhere[n]:
+            stays = bytearray(s and bool(w & 3) for s, w in zip(stays, places, strict=True))
+    return joined([p for p, s in zip(pieces, stays, strict=True) if s or p is None])
+
+
+def joined(pieces: list[str | None]) -> str:
+    """Blocks with single spaces inside, parted by two line feeds."""
     blocks, held = [], []
-    for i, piece in enumerate([*pieces, None]):
+    for piece in [*pieces, None]:
         if piece is None:
             block = " ".join("".join(held).split())
             if block:
                 blocks.append(block)
             held = []
-        elif i not in gone:
+        else:
             held.append(piece)
     return "\n\n".join(blocks)
 
 
 def read_page(source: str | None) -> dict:
-    pieces, parts = Page(source or "").kept()
-    text = joined(pieces)
-    again = any(p["open"] for p in parts)  # only then can counts change the text
-    return {"text": text, "sig": xxhash.xxh3_64_intdigest(text) - (1 << 63), "pieces": ["\0" if p is None else p for p in pieces] if again else None, "parts": parts}
+    """The text of a page where nothing recurs, its checksum, and the hashes of its parts."""
+    page = Page(source or "")
+    text = left(page.pieces, page.where, page.names)
+    return {"text": text, "sig": xxhash.xxh3_64_intdigest(text) - (1 << 63), "parts": list({p["hash"]: None for p in page.parts()})}
+
+
+def without_template(source: str | None, template: dict[int, bool]) -> str:
+    """The text of a page without the subtrees of ``template``, from a hash to whether it goes from any place."""
+    page = Page(source or "")
+    gone = [(p["first"], p["last"]) for p in page.parts() if p["hash"] in template and (p["free"] or template[p["hash"]])] if template else []
+    return left(page.pieces, page.where, page.names, gone)
 
 
 def _reader():
     @F.arrow_udf(PAGE)
     def read(sources: pa.Array) -> pa.Array:
-        part = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("open", pa.bool_())])
-        kind = pa.struct([("text", pa.string()), ("sig", pa.int64()), ("pieces", pa.list_(pa.string())), ("parts", pa.list_(part))])
+        kind = pa.struct([("sig", pa.int64()), ("parts", pa.list_(pa.int64()))])
         return pa.array([read_page(s.as_py()) for s in sources], kind)
 
     return read
 
 
+def _packer():
+    @F.arrow_udf("binary")
+    def pack(sources: pa.Array) -> pa.Array:
+        out = []
+        for s in sources:
+            raw = (s.as_py() or "").encode()
+            out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True))
+        return pa.array(out, pa.binary())
+
+    return pack
+
+
 def _without():
     @F.arrow_udf("string")
-    def without(pieces: pa.Array, parts: pa.Array, hashes: pa.Array) -> pa.Array:
+    def without(packed: pa.Array, hashes: pa.Array) -> pa.Array:
         out = []
-        for p, q, h in zip(pieces.to_pylist(), parts.to_pylist(), hashes.to_pylist(), strict=True):
-            template = set(h or ())
-            ranges = [(x["first"], x["last"]) for x in q if x["open"] and x["hash"] in template]
-            out.append(joined([None if x == "\0" else x for x in p], ranges))
+        for p, h in zip(packed, hashes, strict=True):
+            p = p.as_py()
+            source = pa.decompress(p[8:], int.from_bytes(p[:8], "little"), "zstd", asbytes=True).decode()
+            out.append(without_template(source, {x["hash"]: x["sure"] for x in h.as_py() or ()}))
         return pa.array(out, pa.string())
 
     return without
@@ -267,26 +359,41 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(read: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``(host, hash)`` of template subtrees among ``read (host, page)``; pages of one text count once."""
+def templates(read: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """``(host, hash, sure)`` of recurring subtrees among ``read (host, page)``; pages of one text count once.
+
+    ``sure`` are those that recur often enough to go from any place, the others go where few pages suffice.
+    """
     pages = read.select("host", F.col("page.sig").alias("sig")).distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
-    found = read.select("host", F.col("page.sig").alias("sig"), F.explode(F.array_distinct(F.transform("page.parts", lambda p: p["hash"]))).alias("hash"))
-    counts = found.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return salted_join(counts, pages, ["host"], F.col("hash"), "inner").filter(F.col("n") >= share * F.col("n_pages")).select("host", "hash")
+    found = read.select("host", F.col("page.sig").alias("sig"), F.explode("page.parts").alias("hash"))
+    n, total = F.col("n"), F.col("n_pages")
+    counts = found.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(n >= F.least(F.lit(3), F.lit(min_pages)))
+    sure = ((n >= min_pages) & (n >= share * total)) | (n >= many) | (n == total)
+    return salted_join(counts, pages, ["host"], F.col("hash"), "inner").filter(sure | (n >= min_pages)).select("host", "hash", sure.alias("sure"))
+
+
+def page_parts(read: DataFrame, found: DataFrame) -> DataFrame:
+    """``(rid, hash, sure)``: the template hashes ``found`` that each page holds."""
+    mine = read.select("rid", "host", F.explode("page.parts").alias("hash"))
+    return salted_join(mine, found, ["host", "hash"], F.col("rid"), "inner").select("rid", "hash", "sure")
+
+
+def _rid() -> Column:
+    """Of a row's content: the pages are read twice rather than written.  Rows that share one share what is deleted if it is in them."""
+    return F.xxhash64(F.col("page_id"), F.col("url"), F.col("html")).alias("rid")
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    return cut_lineage(pages.select(_rid(), host_of(F.col("url")).alias("host"), _reader()(F.col("html")).alias("page")))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars``."""
-    seen = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), _reader()(F.col("html")).alias("page"))
-    read = cut_lineage(seen.select(F.monotonically_increasing_id().alias("rid"), "*"))
-    again = F.col("page.pieces").isNotNull()
-    open_parts = F.filter("page.parts", lambda p: p["open"])
-    mine = read.filter(again).select("rid", "host", F.explode(F.array_distinct(F.transform(open_parts, lambda p: p["hash"]))).alias("hash"))
-    gone = salted_join(mine, templates(read, min_pages, share), ["host", "hash"], F.col("rid"), "inner").groupBy("rid").agg(F.collect_list("hash").alias("hashes"))
-    changed = read.filter(again).join(gone, "rid", "left")
-    changed = changed.select("page_id", "url", _without()("page.pieces", "page.parts", "hashes").alias("text"))
-    plain = read.filter(~again).select("page_id", "url", F.col("page.text").alias("text"))
-    return plain.unionByName(changed).withColumn("n_chars", F.length("text").cast("bigint"))
+    read = read_pages(pages)
+    gone = page_parts(read, templates(read, min_pages, share, many)).groupBy("rid").agg(F.collect_set(F.struct("hash", "sure")).alias("hashes"))
+    rows = pages.select("page_id", "url", _rid(), _packer()(F.col("html")).alias("packed"))
+    text = _without()("packed", "hashes").alias("text")
+    return rows.join(gone, "rid", "left").select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op1_site_template_text(spark, sf_dir: str) -> DataFrame:

@@ -251,3 +251,22 @@ def test_audit_finds_what_differs(spark):
     assert sorted((r["archive"], r["offset"], r["kind"]) for r in found) == [(0, 700, "missing"), (1, 300, "changed"), (1, 90_000, "extra"), (2, 12_300, "changed"), (7, 5, "extra")]
     assert merkle_audit.audit(frame(here), frame(here), span=1000, fan_out=4).count() == 0
     assert merkle_audit.audit(frame(here), frame([])).count() == 600
+
+
+def main_texts(spark, rows, **limits):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in site_template.main_text(frame, **limits).collect()}
+
+
+def test_counts_decide_before_names(spark):
+    """Recurring furniture goes by count, outside an article too, so that what is left of the page decides what names may take."""
+    nav = "<nav><ul><li><a href='/a'>Some way</a><li>or other</ul></nav>"
+    rows = [(i, f"http://h.example.org/{i}", f"{nav}<div class=box><p>{'Every page has these words. ' * 9}</p></div><div class=sidebar><p>Text {i} of this page</p></div><p>End {i}</p>") for i in range(8)]
+    rows += [(20 + i, f"http://a.example.org/{i}", f"{nav}<article><p>Own {i}</p></article><footer>By us</footer>") for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = site_template.read_pages(frame)
+    deleted = site_template.page_parts(read, site_template.templates(read)).groupBy("rid").count().collect()
+    assert len(deleted) == 48 and all(r["count"] >= 2 for r in deleted)
+    found = main_texts(spark, rows)
+    assert [found[i] for i in range(8)] == [f"Text {i} of this page\n\nEnd {i}" for i in range(8)]
+    assert [found[20 + i] for i in range(40)] == [f"Own {i}" for i in range(40)]
