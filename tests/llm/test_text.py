@@ -270,3 +270,25 @@ def test_counts_decide_before_names(spark):
     found = main_texts(spark, rows)
     assert [found[i] for i in range(8)] == [f"Text {i} of this page\n\nEnd {i}" for i in range(8)]
     assert [found[20 + i] for i in range(40)] == [f"Own {i}" for i in range(40)]
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<body class='has-sidebar'><p>a</p></body>", ["a"]),
+        ("<div class='overflow-hidden'><p>a</p></div>", ["a"]),
+        ("<div class='widget Blog'><h1>T</h1><p>long text</p></div><div class=sidebar>s</div>", ["T", "long text"]),
+        ("<article class='post comments-open'><p>a</p></article>", ["a"]),
+        ("<body class=hidden><main class=search><p>a</p></main></body>", ["a"]),
+        ("<form id=aspnetForm><p>the whole page</p></form><p>x</p>", ["the whole page", "x"]),
+        ("<p>see <a href='/hidden-gems'>Gems</a> and <a title='Hidden Figures' class=x/y>Figures</a> <i hidden>no</i></p>", ["see Gems and Figures"]),
+        ("<main><h1>T</h1><article><p>a</p></article></main>", ["T", "a"]),
+        ("<div><p>the long main text of the page</p></div><article>teaser</article>", ["the long main text of the page", "teaser"]),
+        ("<div class=widget>one</div><div class=widget>two</div><div class=widget>six</div>", ["one", "two", "six"]),
+        ("<main><p>short</p><section id=comments><p>many comments, longer</p></section></main>", ["short"]),
+        ("<div class=ad>an advert, longer than the text</div><article><p>short</p></article><div class=menu>a menu</div>", ["short"]),
+        ("<nav>a long menu of a page</nav><article>a</article>", ["a"]),
+    ],
+)
+def test_markup_names_leave_the_main_text(page, blocks):
+    assert site_template.read_page(page)["text"] == "\n\n".join(blocks)
