@@ -292,3 +292,16 @@ def test_counts_decide_before_names(spark):
 )
 def test_markup_names_leave_the_main_text(page, blocks):
     assert site_template.read_page(page)["text"] == "\n\n".join(blocks)
+
+
+def test_prose_stays_unless_its_container_recurs(spark):
+    """Pages without article or main: inline elements and prose stay in place, containers go; rare ones on large hosts go by their number."""
+    rows = [(i, f"http://h.example.org/{i}", f"<h2>News</h2><p><b>Note:</b> {i} in <a>Berlin</a></p><table><tr><td>Price<td>{i}</table><div><p><em>All rights</em> reserved</p></div>") for i in range(8)]
+    section = "<div><p>Section line</p></div>"
+    rows += [(100 + i, f"http://b.example.org/{i}", f"{section if i < 12 else ''}<p>Text {i}</p>") for i in range(60)]
+    rows += [(200 + i, f"http://s.example.org/{i}", f"<p>Text {i}</p><div>Small site</div>") for i in range(3)]
+    found = main_texts(spark, rows, many=12)
+    assert [found[i] for i in range(8)] == [f"News\n\nNote: {i} in Berlin\n\nPrice\n\n{i}" for i in range(8)]
+    assert [found[100 + i] for i in range(60)] == [f"Text {i}" for i in range(60)]
+    assert [found[200 + i] for i in range(3)] == [f"Text {i}" for i in range(3)]
+    assert main_texts(spark, rows, many=13)[100] == "Section line\n\nText 0"
