@@ -26,8 +26,12 @@ from emberlog.operators.timeline import top_k
 PROFILE = 300
 #: More distinct labels than this are an error in the label column, not languages.
 MAX_LANGUAGES = 1000
-#: A document whose best score is below this resembles no learned language; the pipeline drops it.
-MIN_SCORE = 0.15
+#: The pipeline drops documents below the least score of a language's labelled documents by this share of it.
+MARGIN = 0.1
+#: Fewer n-grams say less: limits shrink in proportion below this number, and such documents set none.
+SHORT = 100
+#: The limit of a language with fewer than ``LEAST_DOCS`` labelled documents of some length.
+MIN_SCORE, LEAST_DOCS = 0.15, 20
 UNKNOWN = "und"
 BLANK = 32
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -124,19 +128,20 @@ def distances(grams: np.ndarray, lookup: list[tuple[str, np.ndarray, np.ndarray]
 
 
 def predictor(learned: dict[str, list[int]], size: int = PROFILE):
-    """Column function ``text -> struct<lang, score>``; the score is 1 less the share of the largest possible distance."""
+    """Column function ``text -> struct<lang, score, grams>``; the score is 1 less the share of the largest possible distance."""
     longest = max((len(codes) for codes in learned.values()), default=0)
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,grams:int>")
     def predict(texts: pa.Array) -> pa.Array:
         lookup = []
         for lang, codes in learned.items():
             codes = np.array(codes, np.int64)
             order = np.argsort(codes)
             lookup.append((lang, codes[order], order))
-        langs, scores = [], []
+        langs, scores, sizes = [], [], []
         for text in texts:
             grams = ranked(*gram_counts(text.as_py()), size)
+            sizes.append(len(grams))
             if not len(grams) or not lookup:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
@@ -145,7 +150,7 @@ def predictor(learned: dict[str, list[int]], size: int = PROFILE):
             best = int(np.argmin(found))
             langs.append(lookup[best][0])
             scores.append(1 - found[best] / (len(grams) * longest))
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["lang", "score", "grams"])
 
     return predict
 
@@ -163,16 +168,29 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def limits(labelled: DataFrame, learned: dict[str, list[int]], size: int = PROFILE) -> dict[str, float]:
+    """The least score a document of each language may have: no labelled document is below, held out or not, and ``MARGIN`` less."""
+    found = labelled.filter(F.col("lang").isNotNull()).select(predictor(learned, size)(F.col("text")).alias("found")).select("found.*")
+    least = found.filter((F.col("lang") != UNKNOWN) & (F.col("grams") >= min(SHORT, size))).groupBy("lang").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    return {r["lang"]: (1 - MARGIN) * r["least"] for r in least.filter(F.col("n") >= LEAST_DOCS).collect()}  # at most MAX_LANGUAGES rows
+
+
 def in_known_language(docs: DataFrame, size: int = PROFILE, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` in one of its own languages; those without letters or below ``min_score`` go.
+    """The rows of ``docs`` in one of its own languages; those without letters or below the limit of the language go.
 
-    Where no row names a language there is nothing to compare with, and only rows without letters go.
+    The limit follows from the labelled rows, ``min_score`` stands for it where they are few.  Where no row names a language there is
+    nothing to compare with, and only rows without letters go.
     """
     learned = profiles(docs.filter(~held_out()).select("text", "lang"), size)
     if not learned:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
+    least = limits(docs.select("text", "lang"), learned, size)
     seen = docs.select(F.struct("*").alias("row")).withColumn("found", predictor(learned, size)(F.col("row.text")))
-    return seen.filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= min_score)).select("row.*")
+    limit = F.lit(min_score)
+    if least:
+        limit = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair])[F.col("found.lang")], limit)
+    limit = limit * F.least(F.lit(1.0), F.col("found.grams") / min(SHORT, size))
+    return seen.filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= limit)).select("row.*")
 
 
 def op10_rank_order_language(spark, sf_dir: str) -> DataFrame:

@@ -305,3 +305,19 @@ def test_prose_stays_unless_its_container_recurs(spark):
     assert [found[100 + i] for i in range(60)] == [f"Text {i}" for i in range(60)]
     assert [found[200 + i] for i in range(3)] == [f"Text {i}" for i in range(3)]
     assert main_texts(spark, rows, many=13)[100] == "Section line\n\nText 0"
+
+
+def test_foreign_and_junk_documents_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    random.seed(2)
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era e cosa dura questa selva selvaggia e aspra e forte",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler",
+        "".join(random.choices("abcdefghijklmnopqrstuvwxyz    ", k=2000)),
+    ]
+    short = ["The cat sat on the mat.", "in the", "La casa de las flores"]
+    extra = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(foreign + short)], docs.schema)
+    kept = {r["doc_id"] for r in rank_order.in_known_language(docs.unionByName(extra)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} | {-6, -7, -8}
