@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm import (
+    bitmap_manifest,
     edit_leaks,
     hamming_minhash,
     license_rules,
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": residual_packing.op8_best_fit_packing,
     "op9_merkle_fixity": merkle_audit.op9_merkle_fixity,
     "op10_rank_order_language": rank_order.op10_rank_order_language,
+    "op12_bitmap_rank_manifest": bitmap_manifest.op12_bitmap_rank_manifest,
 }
 ORACLE: dict[str, str] = {
     "op3_list_asof_filter": list_asof.OP3_SQL,
     "op5_license_rules": license_rules.OP5_SQL,
     "op6_exact_dedup": poly_dedup.OP6_SQL,
     "op9_merkle_fixity": merkle_audit.OP9_SQL,
+    "op12_bitmap_rank_manifest": bitmap_manifest.OP12_SQL,
 }
