@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emberlog.llm import (
     bitmap_manifest,
     edit_leaks,
+    feast_whitening,
     hamming_minhash,
     license_rules,
     list_asof,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": residual_packing.op8_best_fit_packing,
     "op9_merkle_fixity": merkle_audit.op9_merkle_fixity,
     "op10_rank_order_language": rank_order.op10_rank_order_language,
+    "op11_feast_whitening": feast_whitening.op11_feast_whitening,
     "op12_bitmap_rank_manifest": bitmap_manifest.op12_bitmap_rank_manifest,
 }
 ORACLE: dict[str, str] = {
