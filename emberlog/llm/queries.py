@@ -19,6 +19,7 @@ from emberlog.llm import (
     residual_packing,
     semi_crf,
     site_template,
+    vertical_jaccard,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rank_order_language": rank_order.op10_rank_order_language,
     "op11_feast_whitening": feast_whitening.op11_feast_whitening,
     "op12_bitmap_rank_manifest": bitmap_manifest.op12_bitmap_rank_manifest,
+    "op13_vertical_jaccard": vertical_jaccard.op13_vertical_jaccard,
 }
 ORACLE: dict[str, str] = {
     "op3_list_asof_filter": list_asof.OP3_SQL,
@@ -41,4 +43,5 @@ ORACLE: dict[str, str] = {
     "op6_exact_dedup": poly_dedup.OP6_SQL,
     "op9_merkle_fixity": merkle_audit.OP9_SQL,
     "op12_bitmap_rank_manifest": bitmap_manifest.OP12_SQL,
+    "op13_vertical_jaccard": vertical_jaccard.OP13_SQL,
 }
