@@ -2,12 +2,17 @@
 
 Each such operator looks back a bounded distance along an axis.  Rows are cut into
 *segments*: maximal runs without a gap larger than the look-back, and runs longer than
-``span`` are cut again every ``span`` axis units.  Different runs cannot influence each
-other, so they need no exchange.  Pieces of one long run do: the live state at the end of a
+a span are cut again into pieces; a crowded key gets shorter pieces than a sparse one.  Different runs cannot
+influence each other, so they need no exchange.  Pieces of one long run do: the live state at the end of a
 piece is the starting state of the next.  The first pass scans all pieces with an empty
-start; pieces whose true starting state turns out different are scanned again until nothing
-changes.  The result equals one sequential pass, no task ever holds more than the stream of
-one piece plus its live state, and short runs (the usual case) need one pass only.
+start; pieces whose true starting state has other content are scanned again until nothing
+changes.
+
+Ids are no part of that content.  A live entry that came in with the starting state is known by its slot there, and a
+row that joins it is given the slot; only afterwards are slots followed from piece to piece to the row that opened the
+entry, doubling the distance in each round.  An entry that lives through a whole session so costs a few scans and a
+logarithm of rounds over tables of a few rows per piece.  The result equals one sequential pass, no task ever holds
+more than the stream of one piece plus its live state, and short runs (the usual case) need one pass only.
 
 A NULL key is a key like any other.  A row without an axis value has no place in the order: it is kept, with
 ``assigned`` NULL, and influences nothing.
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -25,16 +31,22 @@ from emberlog.operators.timeline import islands
 from emberlog.session import cut_lineage
 
 # A rule receives the live list and one row (a tuple of ``fields`` in order) and returns the
-# id assigned to the row, or None.  Live entries are lists: [id, last_axis, *numbers].
+# id assigned to the row, or None.  Live entries are lists: [id, last_axis, *numbers].  A rule that looks at the
+# ids of its entries says so by a true attribute ``reads_ids``; then ids are part of the content handed over.
 Rule = Callable[[list, tuple], "int | None"]
 
-SEG, PIECE, ASSIGNED, STATE, SLOT = "_seg", "_piece", "assigned", "_state", "_slot"
+SEG, PIECE, EDGE, ASSIGNED, STATE, SLOT, REF = "_seg", "_piece", "_edge", "assigned", "_state", "_slot", "_ref"
+
+
+class _Inherited(int):
+    """The slot of an entry in the starting state of a piece, in place of the id."""
 
 
-def _segments(df: DataFrame, keys: list[str], axis: str, window: int, span: int) -> DataFrame:
-    starts = islands(df, keys, axis, window).withColumnRenamed("island_start", SEG)
+def _segments(df: DataFrame, keys: list[str], axis: str, window: int, spans: DataFrame) -> DataFrame:
+    starts = islands(df, keys, axis, window).withColumnRenamed("island_start", SEG).join(spans, keys)
     rows = df.join(starts, [*keys, axis])
-    return rows.withColumn(PIECE, F.floor((F.col(axis) - F.col(SEG)) / F.lit(span)).cast("bigint"))
+    rows = rows.withColumn(PIECE, F.floor((F.col(axis) - F.col(SEG)) / F.col("_span")).cast("bigint"))
+    return rows.withColumn(EDGE, F.col(SEG) + (F.col(PIECE) + 1) * F.col("_span")).drop("_span")
 
 
 def _never_null(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -46,19 +58,18 @@ def _never_null(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return df, [f"{n}{i}" for i in range(len(keys)) for n in ("_key", "_none")]
 
 
-def _piece_span(df: DataFrame, keys: list[str], axis: str, window: int, span: int, rows_per_piece: int) -> tuple[int, bool]:
-    """(span to use, whether every key fits one piece).
+def _piece_spans(df: DataFrame, keys: list[str], axis: str, window: int, span: int, rows_per_piece: int) -> tuple[DataFrame, bool]:
+    """(``_span`` of each key, whether every key fits one piece).
 
-    A crowded key gets shorter pieces: the span shrinks until the densest key holds about
-    ``rows_per_piece`` rows per piece, but never below the look-back.  One combined aggregation;
-    two numbers reach the driver.
+    A key gets pieces of about ``rows_per_piece`` rows or of ``span`` axis units, whichever is less, but never
+    shorter than the look-back.  One flag reaches the driver.
     """
-    extent = df.groupBy(*keys).agg((F.max(axis) - F.min(axis) + 1).alias("_w"), F.count("*").alias("_n"))
-    widest, density = extent.agg(F.max("_w"), F.max(F.col("_n") / F.col("_w"))).first()
-    if widest is None:
-        return span, True
-    span = max(window + 1, min(span, int(rows_per_piece / density)))
-    return span, widest <= span
+    width = (F.max(axis) - F.min(axis) + 1).alias("_width")
+    extent = df.filter(F.col(axis).isNotNull()).groupBy(*keys).agg(width, F.count("*").alias("_n"))
+    fit = F.floor(F.col("_width").cast("bigint") * rows_per_piece / F.col("_n"))
+    spans = extent.select(*keys, F.greatest(F.lit(window + 1), F.least(F.lit(span), fit)).cast("bigint").alias("_span"), "_width")
+    whole = spans.agg(F.max(F.col("_width") > F.col("_span"))).first()[0]
+    return spans.drop("_width"), not whole
 
 
 def _values(column: pa.Array) -> list:
@@ -68,11 +79,12 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def _scanner(keys: list[str], axis: str, fields: list[str], window: int, span: int, rule: Rule, whole: bool):
+def _scanner(keys: list[str], axis: str, fields: list[str], window: int, rule: Rule, whole: bool):
     """Builds the ``mapInArrow`` body: one pass over rows sorted by piece and order.
 
     Columns the rule does not need stay Arrow data and pass through untouched.
     """
+    reads_ids = getattr(rule, "reads_ids", False)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live, edge, last_axis, layout = None, [], None, None, None
@@ -88,25 +100,35 @@ def _scanner(keys: list[str], axis: str, fields: list[str], window: int, span: i
             groups = list(zip(*(_values(batch[c]) for c in [*keys, SEG, PIECE])))
             rows = list(zip(*(_values(batch[c]) for c in fields)))
             axes, slots = _values(batch[axis]), _values(batch[SLOT])
+            edges = None if whole else _values(batch[EDGE])
             resumed = max(slots, default=-1) >= 0
             states, owners = (batch[STATE].to_pylist(), _values(batch[ASSIGNED])) if resumed else (None, None)
-            assigned, keep, carries = [], [], []
+            found, keep, carries = [], [], []
             for i, group in enumerate(groups):
                 if group != current:
                     carries.extend(closing())
                     current, live, last_axis = group, [], None
-                    edge = group[-2] + (group[-1] + 1) * span
                 if slots[i] >= 0:
-                    live.append([owners[i], *json.loads(states[i])])
+                    live.append([owners[i] if reads_ids else _Inherited(slots[i]), *json.loads(states[i])])
                     continue
+                keep.append(i)
                 now = axes[i]
+                if now is None:
+                    found.append(None)
+                    continue
                 if now != last_axis:
                     live[:] = [e for e in live if now - e[1] <= window]
                     last_axis = now
-                assigned.append(rule(live, rows[i]))
-                keep.append(i)
+                    edge = None if whole else edges[i]
+                found.append(rule(live, rows[i]))
             out = batch.take(pa.array(keep, pa.int64())) if resumed else batch
-            yield out.set_column(layout.get_field_index(ASSIGNED), layout.field(ASSIGNED), pa.array(assigned, pa.int64()))
+            if whole:
+                ids, refs = found, None
+            else:
+                ids = [None if type(x) is _Inherited else x for x in found]
+                refs = [int(x) if type(x) is _Inherited else None for x in found]
+            out = out.set_column(layout.get_field_index(ASSIGNED), layout.field(ASSIGNED), pa.array(ids, pa.int64()))
+            yield out if whole else out.set_column(layout.get_field_index(REF), layout.field(REF), pa.array(refs, pa.int32()))
             if carries:
                 yield _carry_batch(carries, keys, layout)
         tail = closing()
@@ -121,11 +143,30 @@ def _carry_batch(carries: list[tuple], keys: list[str], layout: pa.Schema) -> pa
     for n, (group, slot, entry) in enumerate(carries):
         for c, v in zip([*keys, SEG, PIECE], group):
             data[c][n] = v
-        data[ASSIGNED][n], data[SLOT][n] = entry[0], slot
+        data[SLOT][n] = slot
+        data[REF if type(entry[0]) is _Inherited else ASSIGNED][n] = int(entry[0])
         data[STATE][n] = json.dumps(entry[1:])
     return pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) for f in layout], schema=layout)
 
 
+def _opened_by(states: DataFrame, piece: list[str]) -> DataFrame:
+    """``(piece, _slot, _id)``: the row that opened each entry of the starting states.
+
+    An entry that its piece inherited as well points to a slot of the piece before.  Each round replaces a pointer by the
+    pointer it leads to, so the distance doubles.
+    """
+    *run, at = piece
+    up_at, up_slot = "_up_piece", "_up_slot"
+    nodes = states.select(*piece, SLOT, F.col(ASSIGNED).alias("_id"), F.when(F.col(ASSIGNED).isNull(), F.col(at) - 1).alias(up_at), F.col(REF).alias(up_slot))
+    nodes = cut_lineage(nodes)
+    while not nodes.filter(F.col("_id").isNull()).isEmpty():
+        over = nodes.select(*run, F.col(at).alias(up_at), F.col(SLOT).alias(up_slot), F.col("_id").alias("_their_id"), F.col(up_at).alias("_their_piece"), F.col(up_slot).alias("_their_slot"))
+        moved = nodes.filter(F.col("_id").isNull()).join(over, [*run, up_at, up_slot])
+        moved = moved.select(*piece, SLOT, F.col("_their_id").alias("_id"), F.col("_their_piece").alias(up_at), F.col("_their_slot").alias(up_slot))
+        nodes = cut_lineage(nodes.filter(F.col("_id").isNotNull()).unionByName(moved))
+    return nodes.select(*piece, SLOT, "_id")
+
+
 def chained_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -143,21 +184,20 @@ def chained_scan(
     rule sees; ``axis`` must be an integer column.
     """
     fields, base = list(fields), df.columns
-    unplaced = df.filter(F.col(axis).isNull()).withColumn(ASSIGNED, F.lit(None).cast("bigint"))
-    df, keys = _never_null(df.filter(F.col(axis).isNotNull()), list(keys))
+    df, keys = _never_null(df, list(keys))
     # Keys that span less than one piece need neither runs nor exchange: the key is the piece.
-    span, whole = _piece_span(df, keys, axis, window, span, rows_per_piece)
-    first_axis = F.lit(0).cast("bigint")
-    cut = df.withColumn(SEG, first_axis).withColumn(PIECE, first_axis) if whole else _segments(df, keys, axis, window, span)
-    prepared = (
-        cut.withColumn(ASSIGNED, F.lit(None).cast("bigint"))
-        .withColumn(SLOT, F.lit(-1))
-        .withColumn(STATE, F.lit(None).cast("string"))  # JSON; a nested column would slow every row
-    )
-    columns = [*df.columns, SEG, PIECE, ASSIGNED, SLOT, STATE]
+    spans, whole = _piece_spans(df, keys, axis, window, span, rows_per_piece)
+    nothing = {ASSIGNED: F.lit(None).cast("bigint"), STATE: F.lit(None).cast("string"), SLOT: F.lit(-1)}  # state as JSON: a nested column would slow every row
+    if whole:
+        zero = F.lit(0).cast("bigint")
+        prepared = df.withColumns({SEG: zero, PIECE: zero, **nothing})
+    else:
+        prepared = _segments(df, keys, axis, window, spans).withColumns({**nothing, REF: F.lit(None).cast("int")})
+    columns = [*df.columns, *[c for c in (SEG, PIECE, EDGE, ASSIGNED, STATE, SLOT, REF) if c in prepared.columns]]
     prepared = prepared.select(*columns)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in prepared.schema.fields])
-    scan = _scanner(keys, axis, fields, window, span, rule, whole)
+    scan = _scanner(keys, axis, fields, window, rule, whole)
+    piece = [*keys, SEG, PIECE]
 
     # A fixed count: pieces of Python work should not be merged because their bytes are few.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -166,15 +206,17 @@ def chained_scan(
         # ``axis`` is NULL on carried state, so it sorts before the rows of its piece.
         return (
             rows.select(*columns)  # Arrow output is matched by position
-            .repartition(parts, *[F.col(c) for c in [*keys, SEG, PIECE]])
-            .sortWithinPartitions(*keys, SEG, PIECE, F.col(axis).asc_nulls_first(), SLOT, *order)
+            .repartition(parts, *[F.col(c) for c in piece])
+            .sortWithinPartitions(*piece, F.col(axis).asc_nulls_first(), SLOT, *order)
             .mapInArrow(scan, schema)
         )
 
-    if whole or not prepared.agg(F.max(PIECE)).first()[0]:
+    if whole:
+        return run(prepared).select(*base, ASSIGNED)
+    unplaced = df.filter(F.col(axis).isNull()).select(*base, nothing[ASSIGNED].alias(ASSIGNED))
+    if not prepared.agg(F.max(PIECE)).first()[0]:
         return run(prepared).select(*base, ASSIGNED).unionByName(unplaced)
 
-    piece = [*keys, SEG, PIECE]
     rows = cut_lineage(prepared)
     later = rows.filter(F.col(PIECE) > 0)
     existing = later.select(*piece).distinct()
@@ -184,30 +226,33 @@ def chained_scan(
         ends = scanned.filter(F.col(SLOT) >= 0).withColumn(PIECE, F.col(PIECE) + 1)
         return ends.join(existing, piece, "left_semi").select(*columns)
 
-    def fingerprint(states: DataFrame) -> DataFrame:
-        total = F.sum(F.xxhash64(ASSIGNED, SLOT, STATE).cast("decimal(38,0)"))
-        return states.groupBy(*piece).agg(total.alias("_print"))
+    def content(states: DataFrame) -> DataFrame:
+        seen = [ASSIGNED, SLOT, STATE] if getattr(rule, "reads_ids", False) else [SLOT, STATE]
+        return states.groupBy(*piece).agg(F.sum(F.xxhash64(*seen).cast("decimal(38,0)")).alias("_print"))
 
-    scans = [cut_lineage(run(rows))]
-    replaced: list[DataFrame] = []
+    scans = [cut_lineage(run(rows)).withColumn("_round", F.lit(0))]
     states = cut_lineage(handed_over(scans[0]))  # a few rows per piece
-    changed = states.select(*piece).distinct()
+    changed = cut_lineage(states.select(*piece).distinct())
+    redone: list[DataFrame] = []
     # Each round settles at least one more piece of every run, so this ends.  Only the pieces
     # whose starting state changed are scanned and written again.
     while not changed.isEmpty():
         again = later.join(changed, piece, "left_semi").unionByName(states.join(changed, piece, "left_semi"))
         fresh = cut_lineage(run(again))
-        scans.append(fresh)
-        replaced.append(changed)
+        redone.append(changed.withColumn("_last", F.lit(len(scans))))
+        scans.append(fresh.withColumn("_round", F.lit(len(scans))))
         # A piece scanned again hands its new closing state to its successor.
         successors = changed.withColumn(PIECE, F.col(PIECE) + 1)
         updated = cut_lineage(states.join(successors, piece, "left_anti").unionByName(handed_over(fresh)))
-        old = fingerprint(states).withColumnRenamed("_print", "_old")
-        differing = fingerprint(updated).join(old, piece, "full").filter(~F.col("_print").eqNullSafe(F.col("_old")))
+        old = content(states).withColumnRenamed("_print", "_old")
+        differing = content(updated).join(old, piece, "full").filter(~F.col("_print").eqNullSafe(F.col("_old")))
         changed, states = cut_lineage(differing.select(*piece)), updated
 
-    # Of every piece, the rows of its last scan.
-    result = scans[0]
-    for redone, fresh in zip(replaced, scans[1:]):
-        result = result.join(redone, piece, "left_anti").unionByName(fresh)
-    return result.filter(F.col(SLOT) < 0).select(*base, ASSIGNED).unionByName(unplaced)
+    scanned = reduce(DataFrame.unionByName, scans).filter(F.col(SLOT) < 0)
+    if redone:  # of every piece, the rows of its last scan
+        last = reduce(DataFrame.unionByName, redone).groupBy(*piece).agg(F.max("_last").alias("_last"))
+        scanned = scanned.join(last, piece, "left").filter(F.col("_round") == F.coalesce("_last", F.lit(0)))
+    opened = _opened_by(states, piece).withColumnRenamed(SLOT, REF)
+    own = scanned.filter(F.col(REF).isNull()).select(*base, ASSIGNED)
+    inherited = scanned.filter(F.col(REF).isNotNull()).join(opened, [*piece, REF]).select(*base, F.col("_id").alias(ASSIGNED))
+    return own.unionByName(inherited).unionByName(unplaced)

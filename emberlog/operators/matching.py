@@ -70,6 +70,8 @@ class _Match:
     takes.  A live entry is [ordinal, arrival, frame, value, x, y].
     """
 
+    reads_ids = True
+
     def __init__(self, frames: int, share: float, reach: float) -> None:
         self.frames, self.share, self.reach = frames, share, reach
 
@@ -122,9 +124,9 @@ def match_counts(matched: DataFrame, truth: DataFrame, keys: list[str]) -> DataF
     return both.withColumn("fn", F.col("_truths") - F.col("tp")).drop("_truths")
 
 
-def frame_metrics(detections: DataFrame, truth: DataFrame, share: float = 0.1, reach: float = 70.0, keys: list[str] = SESSION) -> DataFrame:
+def frame_metrics(detections: DataFrame, truth: DataFrame, share: float = 0.1, reach: float = 70.0, keys: list[str] = SESSION, span: int = 16384) -> DataFrame:
     """Matching inside each exact frame; frames of either side appear."""
-    matched = match_truth(detections, truth, frames=0, share=share, reach=reach, keys=keys)
+    matched = match_truth(detections, truth, frames=0, share=share, reach=reach, keys=keys, span=span)
     t = truth.withColumn("frame", F.col("frame").cast("bigint"))
     return with_rates(match_counts(matched, t, [*keys, "frame"]))
 

@@ -344,10 +344,10 @@ class _Lines:
         return overlap >= 0.15 or drift <= max(avg_h, h) * 0.7 or punctuation
 
 
-def line_ids(boxes: DataFrame, max_w: int = 380, max_h: int = 130, max_members: int = 15, keys: list[str] = ["session_id", "frame_index"]) -> DataFrame:  # noqa: B006
+def line_ids(boxes: DataFrame, max_w: int = 380, max_h: int = 130, max_members: int = 15, keys: list[str] = ["session_id", "frame_index"], span: int = 65536) -> DataFrame:  # noqa: B006
     """Adds ``line_id``: the ordinal of the first box of the line."""
     fields = ["ordinal", "left", "top", "right", "bottom"]
-    rows = chained_scan(boxes, keys, "top", ["left", "ordinal"], fields, max_h - 1, _Lines(max_w, max_h, max_members), span=65536)
+    rows = chained_scan(boxes, keys, "top", ["left", "ordinal"], fields, max_h - 1, _Lines(max_w, max_h, max_members), span)
     return rows.withColumnRenamed("assigned", "line_id")
 
 

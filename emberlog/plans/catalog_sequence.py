@@ -13,7 +13,7 @@ from emberlog.plans import adapters as ad
 from emberlog.plans.catalog_stats import DAY, HOUR, RATES_SQL
 from emberlog.plans.catalog_text import BATCH_READY_SQL, LINE_SCORE_SQL
 from emberlog.functions import geometry as geo
-from emberlog.plans.registry import query
+from emberlog.plans.registry import ORACLE, query
 
 _ENTRY = "STRUCT(id BIGINT, f BIGINT, v BIGINT, c DOUBLE, x DOUBLE, y DOUBLE)"
 
@@ -366,3 +366,48 @@ LINES_SQL = f"""(SELECT *, "right" - "left" + 1 AS width, bottom - top + 1 AS he
 @query("c8_group_lines", f"SELECT * FROM {LINES_SQL}", ["boxes"])
 def _(spark, sf):
     return sq.group_lines(ad.boxes(spark, sf))
+
+
+# --- long sessions -------------------------------------------------------------------------
+# The same operators with pieces of a day (or as short as the look-back allows), so that every session is cut
+# many times and live entries are handed from piece to piece.
+
+SHORT = 24
+
+
+@query("k2_stable_hits_short_pieces", ORACLE["k2_stable_hits"])
+def _(spark, sf):
+    return sq.stable_hits(ad.hits(spark, sf), span=SHORT)
+
+
+@query("k3_live_unique_short_pieces", ORACLE["k3_live_unique"])
+def _(spark, sf):
+    return sq.live_unique(ad.hits(spark, sf), span=SHORT).select("session_id", "ordinal", "frame_index", "parsed_value")
+
+
+@query("k4_vote_tracks_short_pieces", ORACLE["k4_vote_tracks"])
+def _(spark, sf):
+    return sq.vote_tracks(ad.hits(spark, sf), span=SHORT).select("session_id", "ordinal", "track_id")
+
+
+@query("k6_enemies_short_pieces", ORACLE["k6_enemies"])
+def _(spark, sf):
+    return sq.enemies(sq.enemy_ids(ad.damage(spark, sf), span=SHORT))
+
+
+@query("j3_match_truth_short_pieces", ORACLE["j3_match_truth"])
+def _(spark, sf):
+    return mt.match_truth(ad.detections(spark, sf), ad.truth(spark, sf), span=SHORT).select("session_id", "ordinal", "truth_ordinal")
+
+
+@query("a12_frame_metrics_short_pieces", ORACLE["a12_frame_metrics"])
+def _(spark, sf):
+    return mt.frame_metrics(ad.detections(spark, sf), ad.truth(spark, sf), span=SHORT)
+
+
+FLAT = 40
+
+
+@query("c8_group_lines_short_pieces", f"SELECT * FROM {LINES_SQL.replace(' + 1 <= 130', f' + 1 <= {FLAT}')}", ["boxes"])
+def _(spark, sf):
+    return sq.group_lines(ad.boxes(spark, sf), max_h=FLAT, span=SHORT)

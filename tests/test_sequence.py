@@ -158,10 +158,11 @@ def test_lines(spark):
 
 def test_crowded_session_is_cut(spark, data):
     """A low row target per piece shortens the pieces; the answer stays the same."""
-    from emberlog.operators.chained import _piece_span, chained_scan
+    from emberlog.operators.chained import _piece_spans, chained_scan
     from emberlog.operators.sequence import _Nearby
 
-    assert _piece_span(data, ["session_id"], "frame_index", 5, 16384, 20)[1] is False
+    spans, whole = _piece_spans(data, ["session_id"], "frame_index", 5, 16384, 20)
+    assert whole is False and spans.agg(F.max("_span")).first()[0] < 100
     fields = ["ordinal", "frame_index", "parsed_value", "confidence", "center_x", "center_y"]
     cut = chained_scan(data, ["session_id"], "frame_index", ["ordinal"], fields, 5, _Nearby("track", 70.0), rows_per_piece=20)
     assert ids(cut, "assigned") == ids(sq.vote_tracks(data), "track_id")
@@ -175,3 +176,22 @@ def test_nulls_are_treated_alike_whatever_the_span(spark):
     found = [sorted(((x.ordinal, x.track_id) for x in sq.vote_tracks(frame, window=3, span=span).collect()), key=lambda p: p[0]) for span in (16384, 12)]
     assert len(found[0]) == 200 and found[0] == found[1]
     assert all((track is None) == (ordinal % 17 == 0) for ordinal, track in found[0])
+
+
+@pytest.mark.parametrize("pieces", [20, 200, 2000])
+def test_an_enemy_that_outlives_all_pieces(spark, monkeypatch, pieces):
+    """One enemy hit in every frame beside short-lived ones: rounds grow with the logarithm of the pieces."""
+    from emberlog.operators import chained
+
+    written = []
+    cut = chained.cut_lineage
+    monkeypatch.setattr(chained, "cut_lineage", lambda df: written.append(1) or cut(df))
+    frames = pieces * 8
+    hits = spark.range(frames).select(F.lit(1).alias("session_id"), F.col("id").cast("int").alias("frame"), (F.col("id") * 2).alias("ordinal"), F.lit(10.0).alias("center_x"))
+    others = spark.range(0, frames, 50).select(F.lit(1).alias("session_id"), F.col("id").cast("int").alias("frame"), (F.col("id") * 2 + 1).alias("ordinal"), (F.col("id") + 1000.0).alias("center_x"))
+    rows = hits.unionByName(others).withColumns({"value": F.lit(5).cast("bigint"), "center_y": F.lit(0.0)})
+    found = sq.enemy_ids(rows, window=7, span=8)
+    n, one, least = found.agg(F.count("*"), F.count_if(F.col("enemy_id") == 0), F.min(F.col("enemy_id") == F.when(F.col("ordinal") % 2 == 0, 0).otherwise(F.col("ordinal")))).first()
+    assert n == frames + -(-frames // 50) and one == frames and least
+    scans_and_tables = 2 + 3 * 2 + 1  # rows, first scan and states, two rounds of three tables
+    assert len(written) <= scans_and_tables + math.log2(pieces) + 3
