@@ -5,8 +5,9 @@ their counts.  Any order gives right results, so slots bound the memory of the c
 equally many occurrences, and a document's set into as many segments.
 
 1. Rows with equal sets are one node.  A node is listed under the n-grams of its prefix: two sets that reach the similarity share one there.
-2. In every list each node meets the least and the greatest node.  A pair is kept if the sizes, and the places of the shared n-gram in both sets,
-   allow enough overlap.  For each fragment the two segments are counted against each other; the sums per pair decide.  Links form components.
+2. In every list all nodes meet one of them, taken by a hash of list and node; in the next rounds the nodes outside a list's largest component meet
+   another one of that component.  A pair is kept if the sizes, the places of the shared n-gram in both sets, and the overlap of both prefixes allow enough overlap.  For each fragment the two segments are counted against each other; the sums per pair
+   decide.  Links form components.
 3. In lists that still hold several components, all pairs across them are tested the same way, so no link between components is lost.
    Nodes outside a list's largest component meet the whole list in blocks, and only pairs that pass the tests of size and place become rows.
 
@@ -29,14 +30,16 @@ from emberlog.llm.hamming_minhash import shingle_sets
 from emberlog.session import cut_lineage
 
 #: Bits of an n-gram's slot; slots of a block of counts; fragments of the global order.
-SLOT_BITS, SLOT_BLOCK, FRAGMENTS = 18, 1 << 14, 8
+SLOT_BITS, SLOT_BLOCK, FRAGMENTS = 20, 1 << 14, 4
 SLOTS = 1 << SLOT_BITS
+#: Rounds in which lists meet single nodes, before all pairs across components are tested.
+ROUNDS = 2
 #: Nodes of a list that are compared in one block, as hosts and as guests.
 HOSTS, GUESTS = 512, 512
+#: Bits of the filter that keeps n-grams of a single prefix out of a shuffle.
+FILTER_BITS = 24
 #: Fingerprints of sets that a task remembers to leave out repeats.
 SEEN = 1 << 18
-#: Rows of a batch given back.
-ROWS = 1 << 16
 SKETCH = "struct<n:bigint,s1:bigint,s2:bigint,counts:binary>"
 SEED = 20_250_613
 
@@ -110,7 +113,7 @@ class Order:
 
 
 def _prefixes(order, k: int, percent: int):
-    """Of each set that the task has not met the n-grams of its prefix: ``(gram, cid, n, pos)``."""
+    """Of each set that the task has not met its prefix in the global order: ``(cid, n, last, grams)``, ``last`` the rank where it ends."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -123,28 +126,67 @@ def _prefixes(order, k: int, percent: int):
                     seen.add(own)
                     new.append(i)
             batch = batch.take(pa.array(new, pa.int64()))
-            out: list[tuple[np.ndarray, int, int]] = []
-            size = 0
-            for cid, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(3), k), strict=True):
+            sizes, ends, found = [], [], [np.zeros(0, np.uint64)]
+            for grams in shingle_sets(batch.column(3), k):
                 n = len(grams)
-                first = order.value.sort(grams)[0][: n - -(-percent * n // 100) + 1]
-                out.append((first, cid, n))
-                size += len(first)
-                if size >= ROWS:
-                    yield _listed(out)
-                    out, size = [], 0
-            if out:
-                yield _listed(out)
+                ordered, rank = order.value.sort(grams)
+                first = n - -(-percent * n // 100) + 1
+                sizes.append(n)
+                ends.append(int(rank[first - 1]))
+                found.append(ordered[:first])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ends, pa.int64()), _lists_of(found[1:])], ["cid", "n", "last", "grams"])
 
     return prefixes
 
 
-def _listed(found: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-    sizes = np.array([len(f) for f, _, _ in found])
-    grams = np.concatenate([f for f, _, _ in found]).view(np.int64)
-    cids, ns = (np.repeat(np.array([f[i] for f in found], np.int64), sizes) for i in (1, 2))
-    pos = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(cids), pa.array(ns), pa.array(pos.astype(np.int64))], ["gram", "cid", "n", "pos"])
+def _lists_of(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+
+def _bit(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter bits of a task's n-grams, in blocks that are not empty."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_bit(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = True
+    parts = np.packbits(bits).reshape(-1, SLOT_BLOCK)
+    at = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([parts[i].tobytes() for i in at], pa.binary())], ["block", "bits"])
+
+
+def _either(parts: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(c.as_buffer(), np.uint8) for c in parts.column("bits")])
+    return pa.table({"block": parts.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _filter(shared: DataFrame):
+    """A bit for every n-gram of ``shared``, sent to all tasks: ``1 << FILTER_BITS`` bits whatever their number."""
+    bits = np.zeros(((1 << FILTER_BITS) // 8 // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
+    for r in shared.mapInArrow(_marked, "block int, bits binary").groupBy("block").applyInArrow(_either, "block int, bits binary").collect():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return shared.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def _passed(bits):
+    """The n-grams of prefixes that pass the filter: ``(gram, cid, n, last, pos)``."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            grams = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            offsets -= offsets[0]
+            at = _bit(grams.view(np.uint64))
+            keep = np.flatnonzero((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            row = np.searchsorted(offsets, keep, "right") - 1
+            took = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep]), *[batch.column(i).take(took) for i in range(3)], pa.array(keep - offsets[row])], ["gram", "cid", "n", "last", "pos"])
+
+    return passed
 
 
 def _segments(order, k: int):
@@ -174,11 +216,21 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes, and the places of a shared n-gram that is the first one shared, leave room for enough overlap."""
-    n_a, n_b, p_a, p_b = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"pos_{a}"), F.col(f"pos_{b}")
-    most = F.least(n_a - p_a, n_b - p_b)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * most >= percent * (n_a + n_b))
+def _may_link(percent: int) -> Column:
+    """Whether two nodes of a list may link, by what is known of each alone.
+
+    Sizes must be near each other, and the places of the shared n-gram, if it is the first one shared, must leave room for enough overlap.
+    Up to the rank where the first of the two prefixes ends, all that the sets share stands in both prefixes and so in lists: that set
+    can share no more than ``most``, its listed n-grams and all beyond its prefix.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    after = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
+    first = F.when(F.col("last_a") < F.col("last_b"), F.col("most_a")).when(F.col("last_a") > F.col("last_b"), F.col("most_b")).otherwise(F.greatest("most_a", "most_b"))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * F.least(after, first) >= percent * (n_a + n_b))
+
+
+def _as(end: str) -> list[Column]:
+    return [F.col("cid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "pos", "last", "most")]]
 
 
 def _each_once(pairs: DataFrame) -> DataFrame:
@@ -198,19 +250,31 @@ def confirmed(pairs: DataFrame, texts, order, k: int, percent: int) -> DataFrame
     return whole.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def _stars(lists: DataFrame, percent: int) -> DataFrame:
-    """Every node of a list with its least and greatest node."""
-    member = F.struct(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    ends = lists.groupBy("gram").agg(F.min(member).alias("low"), F.max(member).alias("high"))
-    own = lists.select("gram", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    met = own.join(ends, "gram").select("a", "n_a", "pos_a", F.explode(F.array("low", "high")).alias("end")).select("a", "n_a", "pos_a", "end.*")
-    return _each_once(met.filter((F.col("a") != F.col("b")) & _may_link("a", "b", percent)))
+def _placed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``lists`` with the ``component`` of each node, its own name if it has no link yet."""
+    if labels is None:
+        return lists.withColumn("component", F.col("cid"))
+    return lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
-def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """In lists of several components, the nodes outside the largest with one node of it.
+
+    First with the node that has the fewest n-grams of its own, as others are the likeliest to link with it; then with any.
+    """
+    chance = F.xxhash64(F.lit(turn), "gram", "cid")
+    order = [F.col("most") / F.col("n"), chance] if turn == 0 else [chance]
+    pivot = F.max(F.struct(F.struct(*order).alias("order"), F.struct(*_as("b")).alias("end"))).alias("pivot")
+    parts = placed.groupBy("gram", "component").agg(F.count("*").alias("size"), pivot)
+    top = F.max(F.struct("size", "pivot", "component")).alias("top")
+    tops = parts.groupBy("gram").agg(top, F.count("*").alias("parts")).filter(F.col("parts") > 1)
+    tops = tops.select("gram", F.col("top.component").alias("of_b"), "top.pivot.end.*")
+    met = placed.select("gram", *_as("a"), F.col("component").alias("of_a")).join(tops, "gram")
+    return _each_once(met.filter((F.col("of_a") != F.col("of_b")) & _may_link(percent)))
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
     """The pairs of nodes of different components that share a list and may link."""
-    placed = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    placed = cut_lineage(placed)
     sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("size"))
     sizes = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("hosts"), F.count("*").alias("components")).filter(F.col("components") > 1)
     loads = sizes.select(
@@ -223,36 +287,61 @@ def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         """A node's own share, and a copy for each share of the other side."""
         return [F.pmod(F.xxhash64("cid"), F.col(own) + 1).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other))).alias(other)]
 
-    host = here.select("gram", *dealt("blocks", "parts"), F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("of_a"), (F.col("component") == F.col("top")).alias("top_a"))
+    host = here.select("gram", *dealt("blocks", "parts"), *_as("a"), F.col("component").alias("of_a"), (F.col("component") == F.col("top")).alias("top_a"))
     guest = here.filter(F.col("component") != F.col("top"))
-    guest = guest.select("gram", *dealt("parts", "blocks"), F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("of_b"))
+    guest = guest.select("gram", *dealt("parts", "blocks"), *_as("b"), F.col("component").alias("of_b"))
     same = [host[c] == guest[c] for c in ("gram", "blocks", "parts")]
     # Two guests meet once, as the one of the lesser component is the host; hosts of the largest component meet every guest.
     apart = (F.col("of_a") != F.col("of_b")) & (F.col("top_a") | (F.col("of_a") < F.col("of_b")))
-    met = host.join(guest, same[0] & same[1] & same[2] & apart & _may_link("a", "b", percent))
+    met = host.join(guest, same[0] & same[1] & same[2] & apart & _may_link(percent))
     return _each_once(met.select("a", "b", "n_a", "n_b"))
 
 
 def _lists(held: DataFrame, copies: DataFrame) -> DataFrame:
-    """Written ``(gram, cid, n, pos)`` of the n-grams that several nodes hold in their prefixes."""
-    slot = F.pmod("gram", F.lit(SLOTS)).cast("int").alias("slot")
+    """Written ``(gram, cid, n, last, pos, listed)`` of the n-grams that several nodes hold in their prefixes; ``listed`` counts a node's lists."""
     several = F.count("*").alias("members")
-    shared = cut_lineage(held.groupBy("gram").agg(several).filter(F.col("members") > 1).select("gram"))
-    near = held.withColumn("slot", slot).join(F.broadcast(shared.select(slot).distinct()), "slot", "left_semi").drop("slot")  # at most SLOTS integers
-    met = near.join(shared.hint("merge"), "gram").join(copies.withColumnRenamed("rid", "cid"), "cid", "left")
-    met = cut_lineage(met.select("gram", F.coalesce("node", "cid").alias("cid"), "n", "pos").distinct())
-    shared = met.groupBy("gram").agg(several).filter(F.col("members") > 1).select("gram")
-    return cut_lineage(met.join(shared, "gram"))
+    shared = held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(several).filter(F.col("members") > 1).select("gram")
+    shared = cut_lineage(shared)
+    near = held.mapInArrow(_passed(_filter(shared)), "gram bigint, cid bigint, n bigint, last bigint, pos bigint")
+    met = near.join(shared, "gram").join(copies.withColumnRenamed("rid", "cid"), "cid", "left")
+    met = cut_lineage(met.select("gram", F.coalesce("node", "cid").alias("cid"), "n", "last", "pos").distinct())
+    met = cut_lineage(met.join(met.groupBy("gram").agg(several).filter(F.col("members") > 1).select("gram"), "gram"))
+    return cut_lineage(met.join(met.groupBy("cid").agg(F.count("*").alias("listed")), "cid"))
+
+
+def _alike(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Written ``pairs (a, b, n_a, n_b)`` whose prefixes have enough in common.
+
+    Up to the rank where the first of the two prefixes ends, all that the sets share stands in both prefixes; beyond it at most the
+    rest of that set can be shared.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(profiles.select(F.col("cid").alias(end), F.col("last").alias(f"last_{end}"), F.col("grams").alias(f"grams_{end}")), end)
+    rest = {end: F.ceil(F.lit(percent) * F.col(f"n_{end}") / 100) - 1 for end in ("a", "b")}
+    beyond = F.when(F.col("last_a") < F.col("last_b"), rest["a"]).when(F.col("last_a") > F.col("last_b"), rest["b"]).otherwise(F.greatest(rest["a"], rest["b"]))
+    most = F.size(F.array_intersect("grams_a", "grams_b")) + beyond
+    enough = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    return cut_lineage(pairs.filter(enough).select("a", "b", "n_a", "n_b"))
 
 
 def _node_components(lists: DataFrame, texts, order, k: int, percent: int) -> DataFrame:
     """``(node, component)`` for every node that has a link."""
-    found = cut_lineage(confirmed(cut_lineage(_stars(lists, percent)), texts, order, k, percent))
-    labels = cut_lineage(components(found))
-    more = cut_lineage(confirmed(cut_lineage(_across(lists, labels, percent)), texts, order, k, percent))
-    if is_empty(more):
-        return labels
-    return cut_lineage(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    lists = lists.withColumn("most", F.col("listed") + F.ceil(F.lit(percent) * F.col("n") / 100) - 1)
+    profiles = cut_lineage(lists.groupBy("cid").agg(F.first("last").alias("last"), F.collect_list("gram").alias("grams")))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(confirmed(_alike(pairs, profiles, percent), texts, order, k, percent))
+
+    labels = None
+    for turn in range(ROUNDS + 1):
+        placed = cut_lineage(_placed(lists, labels))
+        more = links(_stars(placed, turn, percent) if turn < ROUNDS else _across(placed, percent))
+        if labels is not None:
+            if is_empty(more):
+                continue
+            more = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = cut_lineage(components(more))
+    return labels
 
 
 def gram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -267,7 +356,7 @@ def gram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     copies = salted_join(flat, several, ["n", "s1", "s2"], F.col("rid"), "inner").filter(F.col("rid") != F.col("node"))
     copies = cut_lineage(copies.select("rid", "node"))
     held = rows.filter(F.col("sketch.n") > 0).select("rid", "sketch.s1", "sketch.s2", F.col("row.text").alias("text"))
-    held = cut_lineage(held.mapInArrow(_prefixes(order, k, percent), "gram bigint, cid bigint, n bigint, pos bigint"))
+    held = cut_lineage(held.mapInArrow(_prefixes(order, k, percent), "cid bigint, n bigint, last bigint, grams array<bigint>"))
 
     def texts(ids: DataFrame) -> DataFrame:
         return rows_with(rows.select("rid", F.col("row.text").alias("text")), ids)
