@@ -204,11 +204,16 @@ def voting_hits(tracked: DataFrame, window: int = 5, min_votes: int = 2, boost:
 # --- kills ---------------------------------------------------------------------------------
 
 
+def nearby_enemy(reach: float = 100.0) -> _Nearby:
+    """The rule by which damage joins a live enemy."""
+    return _Nearby("enemy", reach)
+
+
 def enemy_ids(damage: DataFrame, window: int = 60, reach: float = 100.0, keys: list[str] = SESSION, span: int = 16384) -> DataFrame:
     """Adds ``enemy_id``: the ordinal of the first damage dealt to the enemy."""
     rows = damage.withColumn("confidence", F.lit(0.0)) if "confidence" not in damage.columns else damage
     fields = ["ordinal", "frame", "value", "confidence", "center_x", "center_y"]
-    out = chained_scan(rows, keys, "frame", ["ordinal"], fields, window - 1, _Nearby("enemy", reach), span)
+    out = chained_scan(rows, keys, "frame", ["ordinal"], fields, window - 1, nearby_enemy(reach), span)
     return out.select(*damage.columns, F.col("assigned").alias("enemy_id"))
 
 
@@ -248,15 +253,18 @@ def kills(enemy: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: float
     first = F.min_by(F.struct("cue_type", "cue_ms", "cue_frame"), F.struct("cue_ms", "cue_ordinal"))
     facts = ["total_damage", "hits", "final_hit", "x", "y"]
     won = cue_pairs(enemy, cues, within_ms, reach, keys).groupBy(*keys, "enemy_id", *facts).agg(first.alias("c"))
-    kind = F.when(F.col("c.cue_type").isin(*SIGNAL_CONFIDENCE), F.col("c.cue_type")).otherwise("damage_cessation")
+    return kill_scores(won.select(*keys, "enemy_id", F.col("c.cue_ms").alias("timestamp_ms"), F.col("c.cue_frame").alias("frame_index"), *facts, "c.cue_type"), min_damage)
+
+
+def kill_scores(won: DataFrame, min_damage: int = 100) -> DataFrame:
+    """Kills with the kind of their signal and its confidence, in place of the cue."""
+    kind = F.when(F.col("cue_type").isin(*SIGNAL_CONFIDENCE), F.col("cue_type")).otherwise("damage_cessation")
     base = F.lit(0.5)
     for name, conf in SIGNAL_CONFIDENCE.items():
         base = F.when(F.col("kill_signal") == name, conf).otherwise(base)
     base = F.when(F.col("total_damage") < min_damage, base * 0.5).otherwise(base)
     conf = F.when(F.col("hits") >= 3, F.least(base + 0.05, F.lit(1.0))).otherwise(base)
-    return won.withColumn("kill_signal", kind).select(
-        *keys, "enemy_id", F.col("c.cue_ms").alias("timestamp_ms"), F.col("c.cue_frame").alias("frame_index"), *facts, "kill_signal", F.round(conf, 6).alias("confidence")
-    )
+    return won.withColumn("kill_signal", kind).withColumn("confidence", F.round(conf, 6)).drop("cue_type")
 
 
 def kill_statistics(kill: DataFrame, damage: DataFrame, keys: list[str] = SESSION) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from emberlog.operators import stats as st
+from emberlog.operators import sequence as sq, stats as st
 from emberlog.plans import adapters as ad
-from emberlog.plans.catalog_sequence import LIVE_IDS
+from emberlog.plans.catalog_sequence import KILL_MS, LIVE_IDS
 from emberlog.plans.catalog_stats import HOUR
-from emberlog.plans.registry import query
+from emberlog.plans.registry import ORACLE, query
 from emberlog.session import work_folder
 from emberlog.sources import io
 from emberlog.streaming import live
@@ -40,19 +40,25 @@ def stream(spark, sf, adapter, late="10 minutes"):
     return live.with_event_time(started(adapter(_Streamed(spark), sf)), late=late)
 
 
-def in_steps(spark, sf, folder, run):
-    """Writes the hits in three steps of session time and calls ``run`` with the stream of files after each."""
+def in_steps(spark, sf, folder, run, mixed=0):
+    """Writes the hits in three steps of session time and calls ``run`` with the stream of files after each.
+
+    With ``mixed``, every third hit of the last frames of a step only comes with the next one.
+    """
     rows = started(ad.hits(spark, sf)).select(*live.LIVE_COLUMNS, "started_at_ms")
-    for n, part in enumerate(("frame_index < 240", "frame_index >= 240 and frame_index < 480", "frame_index >= 480")):
-        rows.filter(part).write.json(f"{folder}/in/{n}")
+    rows = rows.withColumn("at", F.col("frame_index") + F.when(F.col("ordinal") % 3 == 0, mixed).otherwise(0))
+    for n, part in enumerate(("at < 240", "at >= 240 and at < 480", "at >= 480")):
+        rows.filter(part).drop("at").write.json(f"{folder}/in/{n}")
         out = run(live.read_hits(spark, f"{folder}/in/*"))
     return out
 
 
 @query("t1_live_unique", f"SELECT h.session_id, ordinal, frame_index, parsed_value FROM hits h JOIN {LIVE_IDS} USING (session_id, ordinal) WHERE assigned = ordinal", ["hits"])
 def _(spark, sf):
+    """Rows come up to five frames out of order; none is lost, and the answer is that of the batch operator."""
     folder = work_folder(spark, "t1")
-    table = in_steps(spark, sf, folder, lambda hits: live.run_unique(live.with_event_time(hits, late="1 day"), f"{folder}/table", f"{folder}/state"))
+    in_steps(spark, sf, folder, lambda hits: live.run_unique(live.with_event_time(hits, late="1 day"), f"{folder}/table", f"{folder}/state", late_ms=24 * HOUR), mixed=5)
+    table = live.finish_unique(spark, f"{folder}/table", late_ms=24 * HOUR)
     return table.select("session_id", "ordinal", "frame_index", "parsed_value")
 
 
@@ -64,10 +70,29 @@ def _(spark, sf):
     ["hits"],
 )
 def _(spark, sf):
+    latest = stats_at_end(spark, sf)
+    return latest.select("session_id", "s.timestamp_ms", "s.total_damage", "s.hit_count", "s.peak_hit", "s.last_hit", "s.rolling_damage", "s.rolling_dps")
+
+
+def stats_at_end(spark, sf):
+    """The last state of every session after three steps."""
     folder = work_folder(spark, "t2")
-    table = live.run_to_table(live.session_stats(stream(spark, sf, ad.hits), window_ms=6 * HOUR), f"{folder}/table", f"{folder}/state", mode="update")
-    latest = table.groupBy("session_id").agg(F.max_by(F.struct("timestamp_ms", "total_damage", "hit_count", "peak_hit", "last_hit", "rolling_damage", "rolling_dps"), "hit_count").alias("s"))
-    return latest.select("session_id", "s.*")
+    run = lambda hits: live.run_to_table(live.session_stats(live.with_event_time(hits, late="1 day"), window_ms=6 * HOUR, idle_ms=400 * 24 * HOUR), f"{folder}/table", f"{folder}/state", mode="update")
+    table = in_steps(spark, sf, folder, run)
+    facts = [c for c in table.columns if c not in ("session_id", "epoch")]
+    return table.groupBy("session_id").agg(F.max_by(F.struct(*facts), "hit_count").alias("s"))
+
+
+@query(
+    "t2_hit_log",
+    """SELECT session_id, ordinal, parsed_value, row_number() OVER w AS age FROM hits WINDOW w AS (PARTITION BY session_id ORDER BY timestamp_ms DESC, frame_index DESC, ordinal DESC)
+       QUALIFY row_number() OVER w <= 50""",
+    ["hits"],
+)
+def _(spark, sf):
+    """The log of the last 50 hits that the state keeps, newest first."""
+    log = stats_at_end(spark, sf).select("session_id", F.posexplode(F.reverse("s.log")).alias("at", "hit"))
+    return log.select("session_id", "hit.ordinal", "hit.parsed_value", (F.col("at") + 1).cast("bigint").alias("age"))
 
 
 @query(
@@ -109,6 +134,23 @@ def _(spark, sf):
     return live.run_to_table(pairs, f"{folder}/table", f"{folder}/state")
 
 
+@query("t7_kill_events", ORACLE["k7_kills"])
+def _(spark, sf):
+    """Damage and cues come in three steps, cues half a day late; then a far later row of no session moves the watermark past all of them."""
+    folder = work_folder(spark, "t7k")
+    sides = {"damage": (started(ad.damage(spark, sf)), 0), "cues": (started(ad.cues(spark, sf)), 12)}
+    for n, (low, high) in enumerate(((None, 240), (240, 480), (480, None), (None, None))):
+        for name, (rows, behind) in sides.items():
+            at = F.col("frame") + behind
+            part = rows.filter(F.lit(low is None) | (at >= F.lit(low))).filter(F.lit(high is None) | (at < F.lit(high)))
+            if n == 3:
+                part = rows.limit(1).withColumns({"session_id": F.lit(-1).cast("bigint"), "started_at_ms": F.lit(1_704_067_200_000 + 1000 * 24 * HOUR)})
+            part.write.parquet(f"{folder}/in/{name}/{n}")
+        streams = [live.with_event_time(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/{name}/*"), late="1 day") for name, (rows, _) in sides.items()]
+        table = live.run_to_table(live.kill_events(*streams, within_ms=KILL_MS), f"{folder}/table", f"{folder}/state")
+    return sq.kill_scores(table)
+
+
 # --- files written from the tables and read back -----------------------------------------------
 
 

@@ -9,14 +9,15 @@ operator needs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import hypot
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberlog import schemas
-from emberlog.operators.sequence import live_unique
+from emberlog.operators.sequence import live_unique, nearby_enemy
 from emberlog.session import cut_lineage
 
 LATE = "10 minutes"
@@ -38,48 +39,57 @@ def with_event_time(hits: DataFrame, ms: str = "timestamp_ms", late: str = LATE,
 LIVE_COLUMNS = ["session_id", "frame_index", "timestamp_ms", "ordinal", "parsed_value", "confidence", "center_x", "center_y"]
 
 
-def unique_hits(folder: str, window: int = 1, reach: float = 45.0, idle_ms: int = 86_400_000, key: str = "session_id"):
-    """``foreachBatch`` body: appends the hits of a batch that do not repeat an accepted one.
+def unique_hits(folder: str, window: int = 1, reach: float = 45.0, late_ms: int = 600_000, idle_ms: int = 86_400_000, key: str = "session_id", drain: bool = False):
+    """``foreachBatch`` body: appends the hits that do not repeat an accepted one, in the order of frames whatever the order of arrival.
 
-    The batch runs through the batch operator together with the accepted hits of the last
-    ``window`` frames of each session.  Those are accepted again (they never were duplicates of
-    each other), so the answer is that of one pass over all rows, and a crowded session is cut
-    into pieces like any other.  Accepted hits go to ``hits/epoch=n``, the ones still in reach to
-    ``recent/epoch=n``, how far each session has come to ``progress/epoch=n``; repeating a batch rewrites its own folders.
+    Rows wait until the watermark, ``late_ms`` of wall-clock time behind the newest row, has passed a later frame of their
+    session; only then no row of their frame or an earlier one can still come in time.  Released frames run through the batch
+    operator together with the accepted hits of the last ``window`` frames of each session.  Those are accepted again (they never
+    were duplicates of each other), so the answer is that of one pass over all rows, and a crowded session is cut
+    into pieces like any other.  A session whose newest row is ``idle_ms`` older than the newest row of all is released to its
+    end and forgotten; with ``drain`` every session is.
 
-    What is in reach is decided by a session's own frames, never by another session's.  A row of a frame that its session
-    has left behind can no longer be judged: it is dropped and counted in ``late/epoch=n``.  A session whose last row
-    is ``idle_ms`` of wall-clock time older than the newest row is forgotten.
+    Accepted hits go to ``hits/epoch=n``, the ones still in reach to ``recent/epoch=n``, rows not released to ``waiting/epoch=n`` and how far each
+    session has come to ``progress/epoch=n``; repeating a batch rewrites its own folders.  A row of a frame that its session has
+    released, which only a row below the watermark can be, is dropped and counted in ``late/epoch=n``.
     """
     columns = [key, *LIVE_COLUMNS[1:]]
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = cut_lineage(batch.select(*columns, F.unix_millis("event_time").alias("_event")))
-        schema = rows.drop("_event").schema
-        mine = rows.groupBy(key).agg(F.max("frame_index").alias("_frame"), F.max("_event").alias("_event"))
-        fresh, late = rows.drop("_event"), rows.sparkSession.createDataFrame([(0,)], "late bigint")
+        rows = batch.select(*columns, F.unix_millis("event_time").alias("_event"))
+        kind = rows.schema
+        progress = spark.createDataFrame([], rows.select(key, F.col("frame_index").alias("_reached"), F.col("_event").alias("_newest")).schema)
         if epoch > 0:
-            progress = spark.read.schema(mine.schema).parquet(f"{folder}/progress/epoch={epoch - 1}")
-            reached = progress.select(F.col(key).alias("_k"), F.col("_frame").alias("_reached"))
-            marked = rows.drop("_event").join(reached, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
-            behind = F.coalesce(F.col("frame_index") < F.col("_reached"), F.lit(False))
-            late = marked.agg(F.count_if(behind).alias("late"))
-            fresh = marked.filter(~behind).drop("_reached")
-            mine = mine.unionByName(progress).groupBy(key).agg(F.max("_frame").alias("_frame"), F.max("_event").alias("_event"))
-        newest = mine.agg(F.max("_event")).first()[0]
-        mine = cut_lineage(mine.filter(F.col("_event") >= F.lit(newest) - idle_ms))
-        rows = fresh.withColumn("_old", F.lit(False))
+            progress = spark.read.schema(progress.schema).parquet(f"{folder}/progress/epoch={epoch - 1}")
+        known = progress.select(F.col(key).alias("_k"), "_reached", "_newest")
+        rows = cut_lineage(rows.join(known, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k"))
+        behind = F.coalesce(F.col("frame_index") < F.col("_reached"), F.lit(False))
+        rows.agg(F.count_if(behind).alias("late")).write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
+        rows = rows.filter(~behind).select(kind.names)
+        old = spark.createDataFrame([], batch.select(*columns).schema)
         if epoch > 0:
-            old = spark.read.schema(schema).parquet(f"{folder}/recent/epoch={epoch - 1}")
-            rows = rows.unionByName(old.withColumn("_old", F.lit(True)))
-        kept = cut_lineage(live_unique(rows, window=window, reach=reach, keys=[key]))
+            rows = rows.unionByName(spark.read.schema(kind).parquet(f"{folder}/waiting/epoch={epoch - 1}"))
+            old = spark.read.schema(old.schema).parquet(f"{folder}/recent/epoch={epoch - 1}")
+        seen = rows.groupBy(key).agg(F.max("_event").alias("_newest")).unionByName(progress.select(key, "_newest"))
+        newest = seen.agg(F.max("_newest")).first()[0]
+        mark = F.lit(newest) - late_ms
+        front = rows.groupBy(key).agg(F.max(F.when(F.col("_event") < mark, F.col("frame_index"))).alias("_front")).unionByName(progress.select(key, F.col("_reached").alias("_front")))
+        state = seen.groupBy(key).agg(F.max("_newest").alias("_newest")).withColumnRenamed(key, "_k")
+        state = state.join(front.groupBy(key).agg(F.max("_front").alias("_front")), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+        over = F.lit(True) if drain else F.col("_newest") < F.lit(newest) - idle_ms
+        state = cut_lineage(state.withColumn("_over", F.coalesce(over, F.lit(False))))
+        rows = rows.join(state.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")))
+        ready = F.col("_over") | F.coalesce(F.col("frame_index") < F.col("_front"), F.lit(False))
+        rows = cut_lineage(rows.select(*kind.names, ready.alias("_ready")))
+        rows.filter("not _ready").select(kind.names).write.mode("overwrite").parquet(f"{folder}/waiting/epoch={epoch}")
+        judged = rows.filter("_ready").select(*columns, F.lit(False).alias("_old")).unionByName(old.withColumn("_old", F.lit(True)))
+        kept = cut_lineage(live_unique(judged, window=window, reach=reach, keys=[key]))
         kept.filter("not _old").select(*columns).write.mode("overwrite").parquet(f"{folder}/hits/epoch={epoch}")
-        known = mine.select(F.col(key).alias("_k"), "_frame")
-        recent = kept.join(known, F.col(key).eqNullSafe(F.col("_k"))).filter(F.col("frame_index") >= F.col("_frame") - window)
+        going = state.filter(~F.col("_over")).select(F.col(key).alias("_k"), F.col("_front").alias("_reached"), "_newest")
+        recent = kept.join(going, F.col(key).eqNullSafe(F.col("_k"))).filter(F.col("frame_index") >= F.col("_reached") - window)
         recent.select(*columns).write.mode("overwrite").parquet(f"{folder}/recent/epoch={epoch}")
-        mine.write.mode("overwrite").parquet(f"{folder}/progress/epoch={epoch}")
-        late.write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
+        going.withColumnRenamed("_k", key).write.mode("overwrite").parquet(f"{folder}/progress/epoch={epoch}")
 
     return run
 
@@ -91,54 +101,107 @@ def run_unique(stream: DataFrame, folder: str, checkpoint: str, **params) -> Dat
     return stream.sparkSession.read.parquet(f"{folder}/hits").select(*LIVE_COLUMNS)
 
 
-_PARTIAL = (
-    "session_id bigint, total bigint, hits bigint, peak bigint, last_ms bigint, last_ordinal bigint, last_value bigint, ts array<bigint>, vals array<bigint>"
+def finish_unique(spark: SparkSession, folder: str, schema: str = schemas.LIVE_HIT, **params) -> DataFrame:
+    """Releases what still waits when no more rows will come, and returns the table of accepted hits."""
+    last = spark.read.parquet(f"{folder}/progress").agg(F.max("epoch")).first()[0]
+    if last is None:  # no session is open: look at the folders of rows that wait
+        last = spark.read.parquet(f"{folder}/late").agg(F.max("epoch")).first()[0]
+    nothing = spark.createDataFrame([], schema).withColumn("event_time", F.lit(None).cast("timestamp"))
+    unique_hits(folder, drain=True, **params)(nothing, last + 1)
+    return spark.read.parquet(f"{folder}/hits").select(*LIVE_COLUMNS)
+
+
+#: Hits of a session's log.
+LOG = 50
+_PARTIAL = "total bigint, hits bigint, peak bigint, last_ms bigint, last_ordinal bigint, last_value bigint"
+_ENTRY = "timestamp_ms bigint, frame_index bigint, ordinal bigint, parsed_value bigint"
+_INSTANT = "timestamp_ms bigint, damage bigint"
+_STATS_OUT = (
+    "session_id bigint, timestamp_ms bigint, total_damage bigint, hit_count bigint, peak_hit bigint, last_hit bigint, rolling_damage bigint, rolling_dps double, "
+    f"log array<struct<{', '.join(':'.join(c.split()) for c in _ENTRY.split(', '))}>>"
 )
-_STATS_STATE = _PARTIAL.split(", ", 1)[1]
-_STATS_OUT = "session_id bigint, timestamp_ms bigint, total_damage bigint, hit_count bigint, peak_hit bigint, last_hit bigint, rolling_damage bigint, rolling_dps double"
 
 
-def _merge_partials(a: tuple | None, b: tuple, window_ms: int) -> tuple:
-    """Adds two session summaries; only the trailing window of the newer one is kept."""
-    if a is None:
-        return b
-    newest = max(a[3:6], b[3:6])
-    window: dict[int, int] = {}
-    for t, v in [*zip(a[6], a[7]), *zip(b[6], b[7])]:
-        if newest[0] - t <= window_ms:
-            window[int(t)] = window.get(int(t), 0) + int(v)
-    return (a[0] + b[0], a[1] + b[1], max(a[2], b[2]), *newest, list(window), list(window.values()))
-
-
-def session_stats(hits: DataFrame, window_ms: int = 5000, key: str = "session_id") -> DataFrame:
-    """Session state after each batch: totals, peak, last hit and the trailing window.
-
-    Every Arrow batch is reduced to one summary per session *before* the shuffle: totals plus the
-    per-instant sums of its trailing window (older rows cannot be in the final window).  A crowded
-    session thus sends one row per ten thousand; state keeps one summary per session.
+def use_rocksdb(spark: SparkSession) -> None:
+    """State with timers and lists needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _SessionStats(StatefulProcessor):
+    """Totals, trailing window and log of each session; all of it goes when the watermark is ``idle_ms`` past the session's newest row."""
+
+    def __init__(self, window_ms: int, idle_ms: int, log: int) -> None:
+        self.window_ms, self.idle_ms, self.size = window_ms, idle_ms, log
+        self.names = [c.split()[0] for c in _ENTRY.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", f"{_PARTIAL}, newest bigint")
+        self.window = handle.getListState("window", _INSTANT)
+        self.log = handle.getListState("log", _ENTRY)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        known = self.totals.exists()
+        total, hits, peak, ms, ordinal, value, newest = self.totals.get() if known else (0, 0, None, None, None, None, None)
+        window = dict(tuple(r) for r in self.window.get()) if known else {}
+        log = [tuple(r) for r in self.log.get()] if known else []
+        for r in rows:
+            total, hits, peak = total + r.total, hits + r.hits, r.peak if peak is None else max(peak, r.peak)
+            if ms is None or (r.last_ms, r.last_ordinal) > (ms, ordinal):
+                ms, ordinal, value = r.last_ms, r.last_ordinal, r.last_value
+            newest = r.newest if newest is None else max(newest, r.newest)
+            for x in r.window:  # nested rows arrive as dictionaries
+                window[x["timestamp_ms"]] = window.get(x["timestamp_ms"], 0) + x["damage"]
+            log += [tuple(x[name] for name in self.names) for x in r.log]
+        window = {t: d for t, d in window.items() if ms - t <= self.window_ms}
+        log = sorted(log)[-self.size :]
+        self.totals.update((total, hits, peak, ms, ordinal, value, newest))
+        self.window.put(sorted(window.items()))
+        self.log.put(log)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(newest + self.idle_ms)
+        rolling = sum(window.values())
+        yield Row(session_id=key[0], timestamp_ms=ms, total_damage=total, hit_count=hits, peak_hit=peak, last_hit=value, rolling_damage=rolling, rolling_dps=rolling / (self.window_ms / 1000), log=[Row(**dict(zip(self.names, x))) for x in log])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        for state in (self.totals, self.window, self.log):
+            state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def session_stats(hits: DataFrame, window_ms: int = 5000, key: str = "session_id", idle_ms: int = 86_400_000, log: int = LOG) -> DataFrame:
+    """Session state after each batch, for update mode: totals, peak, last hit, the trailing window and the last ``log`` hits, oldest first.
+
+    Every Arrow batch is reduced to one summary per session *before* the shuffle: totals, the per-instant sums of its trailing
+    window and its last hits (older rows cannot be in the final ones).  A crowded session thus sends one row per ten
+    thousand; state keeps one summary per session and ends by an event-time timer.  A NULL session is a session.
     """
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for sid, g in pdf.groupby(key):
+            for sid, g in pdf.groupby(key, dropna=False):
+                g = g.sort_values(["timestamp_ms", "frame_index", "ordinal"])
                 last = g.iloc[np.lexsort((g["ordinal"].to_numpy(), g["timestamp_ms"].to_numpy()))[-1]]
                 recent = g[g["timestamp_ms"] >= last["timestamp_ms"] - window_ms].groupby("timestamp_ms")["parsed_value"].sum()
                 v = g["parsed_value"]
-                out.append((sid, int(v.sum()), len(v), int(v.max()), int(last["timestamp_ms"]), int(last["ordinal"]), int(last["parsed_value"]), recent.index.tolist(), recent.tolist()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTIAL.split(", ")])
+                latest = g[["timestamp_ms", "frame_index", "ordinal", "parsed_value"]].tail(log)
+                out.append((
+                    None if pd.isna(sid) else int(sid), int(v.sum()), len(v), int(v.max()), int(last["timestamp_ms"]), int(last["ordinal"]), int(last["parsed_value"]), int(g["_event"].max()),
+                    [{"timestamp_ms": int(a), "damage": int(b)} for a, b in recent.items()], [{k: int(x) for k, x in r.items()} for r in latest.to_dict("records")],
+                ))
+            frame = pd.DataFrame(out, columns=[key, *[c.split()[0] for c in _PARTIAL.split(", ")], "newest", "window", "log"])
+            yield frame.astype({key: "Int64"})
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                now = _merge_partials(now, tuple(row)[1:], window_ms)
-        state.update(tuple([int(x) for x in c] if i >= 6 else int(c) for i, c in enumerate(now)))
-        rolling = int(sum(now[7]))
-        yield pd.DataFrame([(group[0], now[3], now[0], now[1], now[2], now[5], rolling, rolling / (window_ms / 1000))], columns=[c.split()[0] for c in _STATS_OUT.split(", ")])
-
-    rows = hits.select(key, "timestamp_ms", "ordinal", "parsed_value").mapInPandas(combine, _PARTIAL)
-    return rows.groupBy(key).applyInPandasWithState(step, _STATS_OUT, _STATS_STATE, "update", GroupStateTimeout.NoTimeout)
+    lists = ", ".join(f"{name} array<struct<{', '.join(':'.join(c.split()) for c in kind.split(', '))}>>" for name, kind in (("window", _INSTANT), ("log", _ENTRY)))
+    use_rocksdb(hits.sparkSession)
+    rows = hits.select(key, "timestamp_ms", "frame_index", "ordinal", "parsed_value", F.unix_millis("event_time").alias("_event"))
+    rows = rows.mapInPandas(combine, f"{key} bigint, {_PARTIAL}, newest bigint, {lists}")
+    return rows.groupBy(key).transformWithState(_SessionStats(window_ms, idle_ms, log), _STATS_OUT, "update", "EventTime")
 
 
 def dps_timeline(hits: DataFrame, bucket_ms: int = 1000, late: str = LATE, key: str = "session_id") -> DataFrame:
@@ -181,6 +244,100 @@ def confirmed_damage(damage: DataFrame, cues: DataFrame, within_ms: int = 2000,
     )
 
 
+_MOMENT = "is_cue boolean, frame bigint, timestamp_ms bigint, ordinal bigint, value bigint, center_x double, center_y double, cue_type string, wall bigint"
+_LIVE = "enemy_id bigint, frame bigint, value bigint, confidence double, x double, y double"
+_FACTS = (
+    "enemy_id bigint, total_damage bigint, hits bigint, last_frame bigint, last_ms bigint, final_hit bigint, x double, y double, cue_ms bigint, cue_ordinal bigint, cue_frame bigint, cue_type string"
+)
+_KILL = "session_id bigint, enemy_id bigint, timestamp_ms bigint, frame_index int, total_damage bigint, hits bigint, final_hit bigint, x double, y double, cue_type string"
+
+
+class _Enemies(StatefulProcessor):
+    """The enemies of one session, and which of them a cue after their last damage has confirmed as killed.
+
+    Moments wait until the watermark has passed a later frame, so frames are worked off whole and in order: first the damage of
+    a frame joins its enemies or opens new ones, then its cues are held against every enemy's last damage.  Later damage to an
+    enemy voids its cue.  An enemy is settled once no later damage can reach it and every cue in time has been seen; a
+    timer settles all when the session stays silent for ``idle_ms``.
+    """
+
+    def __init__(self, within_ms: int, reach: float, window: int, radius: float, idle_ms: int) -> None:
+        self.within_ms, self.reach, self.window, self.radius, self.idle_ms = within_ms, reach, window, radius, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _MOMENT)
+        self.live = handle.getListState("live", _LIVE)
+        self.facts = handle.getListState("facts", _FACTS)
+
+    def _work_off(self, key, waiting: list[tuple], mark: int | None):
+        """Takes the frames that are complete (all, if ``mark`` is None) and yields the kills that are certain."""
+        front = max((m[1] for m in waiting if m[8] < mark), default=None) if mark is not None else None
+        ready = [m for m in waiting if mark is None or (front is not None and m[1] < front)]
+        rest = [m for m in waiting if mark is not None and (front is None or m[1] >= front)]
+        live = [list(r) for r in self.live.get()]
+        facts = {r[0]: list(r) for r in self.facts.get()}
+        joins = nearby_enemy(self.radius)
+        for is_cue, frame, ms, ordinal, value, x, y, cue_type, _ in sorted(ready, key=lambda m: (m[1], m[0], m[2] if m[0] else 0, m[3])):
+            if is_cue:
+                for f in facts.values():
+                    if f[4] < ms <= f[4] + self.within_ms and hypot(f[6] - x, f[7] - y) < self.reach and (f[8] is None or (ms, ordinal) < (f[8], f[9])):
+                        f[8:] = [ms, ordinal, frame, cue_type]
+                continue
+            live[:] = [e for e in live if frame - e[1] < self.window]
+            enemy = joins(live, (ordinal, frame, value, 0.0, x, y))
+            f = facts.setdefault(enemy, [enemy, 0, 0, *[None] * 9])
+            f[1:8] = [f[1] + value, f[2] + 1, frame, ms, value, x, y]
+            if f[8] is not None and f[8] <= ms:
+                f[8:] = [None] * 4
+        begun = min((m[2] for m in rest if m[1] == front), default=None)
+        for enemy, f in list(facts.items()):
+            if mark is None or (front is not None and front - f[3] >= self.window and begun > f[4] + self.within_ms):
+                del facts[enemy]
+                if f[8] is not None:
+                    yield Row(session_id=key[0], enemy_id=enemy, timestamp_ms=f[8], frame_index=f[10], total_damage=f[1], hits=f[2], final_hit=f[5], x=f[6], y=f[7], cue_type=f[11])
+        for state, rows in ((self.waiting, rest), (self.live, live), (self.facts, list(facts.values()))):
+            if rows:
+                state.put([tuple(r) for r in rows])
+            else:  # an empty list cannot be stored
+                state.clear()
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        waiting = [tuple(r) for r in self.waiting.get()] + [tuple(r)[1:] for r in rows]
+        newest = max(m[8] for m in waiting)
+        for at in list(self.handle.listTimers()):
+            newest = max(newest, at - self.idle_ms)
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(newest + self.idle_ms)
+        yield from self._work_off(key, waiting, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield from self._work_off(key, [tuple(r) for r in self.waiting.get()], None)
+        for state in (self.waiting, self.live, self.facts):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def kill_events(
+    damage: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: float = 50.0, window: int = 60, radius: float = 100.0, idle_ms: int = 86_400_000, key: str = "session_id"
+) -> DataFrame:
+    """Kills as they become certain, from two streams of one watermark: damage and cues, each with ``event_time``.
+
+    Session time must not fall from one frame to the next.  The rows are those of the batch operator, before its scores (``kill_scores``).
+    """
+    use_rocksdb(damage.sparkSession)
+    wall = F.unix_millis("event_time").alias("wall")
+    place = [F.col("center_x").cast("double").alias("center_x"), F.col("center_y").cast("double").alias("center_y")]
+    moments = [F.col(key).cast("bigint").alias(key), F.col("frame").cast("bigint").alias("frame"), "timestamp_ms", F.col("ordinal").cast("bigint").alias("ordinal")]
+    none = F.lit(None)
+    hit = damage.select(*moments, F.lit(False).alias("is_cue"), F.col("value").cast("bigint").alias("value"), *place, none.cast("string").alias("cue_type"), wall)
+    cue = cues.select(*moments, F.lit(True).alias("is_cue"), none.cast("bigint").alias("value"), *place, "cue_type", wall)
+    rows = hit.unionByName(cue).select(key, *[c.split()[0] for c in _MOMENT.split(", ")])
+    return rows.groupBy(key).transformWithState(_Enemies(within_ms, reach, window, radius, idle_ms), _KILL, "append", "EventTime")
+
+
 def refresh_sessions(source: DataFrame, analyse, target: str, key: str = "session_id"):
     """``foreachBatch`` body: re-analyses the sessions seen in a batch from the full ``source``
     table and replaces exactly their partitions.  Running a batch twice gives the same table."""
