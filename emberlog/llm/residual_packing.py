@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from emberlog.llm.common import table
+from emberlog.llm.common import blocks, lower_ascii, table, texts_of
 from emberlog.session import cut_lineage
 
 CAPACITY = 4096
@@ -31,13 +32,16 @@ SLACK = 8
 FAN_IN = 8
 #: Items that one task packs together.
 AT_ONCE = 200_000
-#: Entries of each of the two generations of the word cache.
-CACHE = 250_000
+#: Entries of each of the two generations of the word cache, and bytes of text whose words are looked up together.
+CACHE, BYTES = 250_000, 1 << 22
+#: Signs that may close a word.
+SIGNS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+IS_SIGN = np.isin(np.arange(256), list(SIGNS))
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint"
 
 
 class WordIds:
-    """Token ids of text as little-endian bytes, word by word from a bounded cache.
+    """Token ids of whole columns of texts, each distinct word looked up once in a bounded cache.
 
     White space always ends a token here and case is folded, so a text's ids are those of its words in a row.  Runs of
     letters, and a sign after them, are words of their own to the tokenizer and end in a token that says so.
@@ -55,14 +59,52 @@ class WordIds:
     def _ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        raw = (text or "").encode()
-        if b"<|" in raw:  # may name a special token, whose case counts
-            return self._ids(text)
-        words = raw.lower().split()
+    def __call__(self, texts: pa.Array) -> Iterator[memoryview]:
+        """The ids of each text as little-endian bytes; a NULL has none."""
+        data, at = texts_of(texts)
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)  # may name a token whose case counts
+        for lo, hi in blocks(at[1:] - at[:-1], BYTES):
+            ids, bounds = self._of_words(lower_ascii(data[at[lo] : at[hi]]), at[lo : hi + 1] - at[lo])
+            view = memoryview(ids.tobytes())
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), lo):
+                yield memoryview(self._ids(texts[i].as_py())) if special[i] else view[4 * a : 4 * b]
+
+    def _of_words(self, low: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a block, and where each text's begin."""
+        word = ~((low == 32) | ((low >= 9) & (low <= 13)))
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        inner = bounds[:-1][bounds[:-1] < len(word)]
+        first[inner] = word[inner]
+        first[self._tails(low, word)] = True
+        letters = np.concatenate([[0], np.cumsum(word)])
+        starts = np.flatnonzero(first)
+        offsets = np.concatenate([letters[starts], letters[-1:]]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(low[word]))])
+        words = words.dictionary_encode()
+        which = words.indices.to_numpy()
+        known = self._look_up(words.dictionary.to_pylist())
+        sizes = np.array([len(k) for k in known], np.int64) // 4
+        flat = np.frombuffer(b"".join(known) or bytes(4), "<u4")
+        counts = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        shift = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        ids = flat[np.repeat(shift, counts) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(starts, bounds)]
+
+    @staticmethod
+    def _tails(low: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where signs begin that close a word after a plain letter or digit: they are a word of their own to the tokenizer."""
+        last = np.flatnonzero(word & np.concatenate([~word[1:], [True]])) if len(word) else np.zeros(0, np.int64)
+        solid = np.where(IS_SIGN[low] | ~word, 0, np.arange(1, len(low) + 1, dtype=np.int32))
+        tail = np.maximum.accumulate(solid)[last] if len(last) else last
+        tail = tail[(tail <= last) & (tail > 0)]
+        return tail[word[tail - 1] & (low[tail - 1] < 128)]
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
         new, old = self.new, self.old
         missing = []
-        for word in set(words):
+        for word in words:
             if word not in new:
                 if word in old:
                     new[word] = old[word]
@@ -70,21 +112,26 @@ class WordIds:
                     missing.append(word)
         if missing:
             self._learn(missing)
-        out = b"".join([new[w] for w in words])
+        out = [new[w] for w in words]
         if len(new) > self.size:
             self.old, self.new = new, {}
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        """Tokenises words not seen lately; words of letters alone, with a closing sign or not, go together."""
-        ends = {w: w[-1:] if w[-1:] in (b".", b",") else b"" for w in words}
-        bare = {w[: len(w) - len(e)] for w, e in ends.items()}
-        plain = [w for w in bare if w.decode().isalpha()]
+        """Tokenises words not seen lately.  Words of letters alone, with closing signs or not, go together: signs in a row are a word too."""
+        cores = {w: w if w.isalpha() else w.rstrip(SIGNS) for w in words}
+        plain = [c for c in set(cores.values()) if c.isalpha() or (not c.isascii() and c.decode().isalpha() and c.decode().lower().isalpha())]
         found = dict(zip(plain, self._together(plain), strict=True))
-        signs = {b"": b"", b".": self._ids("."), b",": self._ids(",")}
-        for w, e in ends.items():
-            core = found.get(w[: len(w) - len(e)])
-            self.new[w] = self._ids(w.decode()) if core is None else core + signs[e]
+        tails = {b"": b""}
+        for w, core in cores.items():
+            ids = found.get(core)
+            if ids is None:
+                self.new[w] = self._ids(w.decode())
+                continue
+            tail = w[len(core) :]
+            if tail not in tails:
+                tails[tail] = self._ids(tail.decode())
+            self.new[w] = ids + tails[tail]
 
     def _together(self, words: list[bytes]) -> list[bytes]:
         ids = np.array(self.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids, "<u4")
@@ -145,13 +192,14 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, at_once: int):
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = ids_of(text.as_py()) + end
-                doc = doc.as_py()
-                view = memoryview(ids)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = view[at : at + 4 * capacity]
-                    for c, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1)), strict=True):
+                n = len(ids) // 4 + 1
+                for piece, at in enumerate(range(0, n, capacity)):
+                    size = min(capacity, n - at)
+                    crc = zlib.crc32(ids[4 * at : 4 * (at + size)])
+                    if at + size == n:
+                        crc = zlib.crc32(end, crc)
+                    for c, v in zip(cols, (doc, piece, at, size, crc), strict=True):
                         c.append(v)
                 if len(cols[0]) >= at_once:
                     yield packed()
