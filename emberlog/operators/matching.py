@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from emberlog.functions import text as tx
 from emberlog.functions.scoring import VALUE_RANGES, within_share
 from emberlog.operators.chained import chained_scan
+from emberlog.operators.places import CROWD, by_cell
 from emberlog.operators.stats import with_rates
 from emberlog.operators.timeline import near_frames, top_k
 
 SESSION = ["session_id"]
 
 
-def temporal_support(lines: DataFrame, window: int = 2, reach: float = 80.0, keys: list[str] = SESSION) -> DataFrame:
+def temporal_support(lines: DataFrame, window: int = 2, reach: float = 80.0, keys: list[str] = SESSION, crowd: int = CROWD) -> DataFrame:
     """Adds ``support``: closeness-weighted count of lines in neighbouring frames.
 
     Support depends only on frame and position, so equal positions are merged with a weight
     before the join: a frame then holds at most as many points as it has pixels, however
-    many copies of a line there are.  Frames are matched by equality on shifted copies.
+    many copies of a line there are.  Frames are matched by equality on shifted copies, crowded ones cell by cell.
     """
     place = [*keys, "frame_index", "center_x", "center_y"]
     # The filter is what the joins below imply for each side; stating it once lets them share one shuffle.
@@ -31,7 +32,8 @@ def temporal_support(lines: DataFrame, window: int = 2, reach: float = 80.0, key
     targets = F.array(*[F.col("frame_index") + d for d in range(-window, window + 1) if d])
     other = points.select(*keys, F.explode(targets).alias("frame_index"), F.col("center_x").alias("_x"), F.col("center_y").alias("_y"), F.col("_w").alias("_ow"))
     d = F.hypot(F.col("center_x") - F.col("_x"), F.col("center_y") - F.col("_y"))
-    pairs = points.join(other, [*keys, "frame_index"]).filter(d <= reach)
+    points, other, cells = by_cell(points, other, [*keys, "frame_index"], ["center_x", "center_y"], ["_x", "_y"], reach, crowd)
+    pairs = points.join(other, [*keys, "frame_index", *cells]).filter(d <= reach)
     support = pairs.groupBy(*keys, "frame_index", "center_x", "center_y").agg(F.sum(F.col("_ow") * (1.0 - d / reach * 0.5)).alias("support"))
     return lines.join(support, [*keys, "frame_index", "center_x", "center_y"], "left").na.fill(0.0, ["support"])
 
@@ -148,17 +150,20 @@ def range_metrics(detections: DataFrame, truth: DataFrame, keys: list[str] = SES
     return with_rates(match_counts(match_truth(d, t, keys=k, **tolerances), t, k))
 
 
-def label_by_truth(results: DataFrame, truth: DataFrame, frames: int = 3, share: float = 0.1, reach: float = 70.0, keys: list[str] = SESSION) -> DataFrame:
+def label_by_truth(
+    results: DataFrame, truth: DataFrame, frames: int = 3, share: float = 0.1, reach: float = 70.0, keys: list[str] = SESSION, crowd: int = CROWD
+) -> DataFrame:
     """Adds ``label`` 1 where any truth is close in frame, value and place (not one-to-one)."""
     t = truth.select(*keys, F.col("frame").alias("_f"), F.col("value").alias("_v"), F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
     t = near_frames(t, "_f", frames, "frame").drop("_f").distinct()
     close = F.hypot(F.col("d.center_x") - F.col("t._x"), F.col("d.center_y") - F.col("t._y")) <= reach
     value_ok = (F.col("t._v") <= 0) | within_share(F.col("d.value"), F.col("t._v"), share)
-    same = [F.col(f"d.{k}") == F.col(f"t.{k}") for k in [*keys, "frame"]]
+    placed, t, cells = by_cell(results, t, [*keys, "frame"], ["center_x", "center_y"], ["_x", "_y"], reach, crowd)
+    same = [F.col(f"d.{k}") == F.col(f"t.{k}") for k in [*keys, "frame", *cells]]
     cond = close & value_ok
     for s in same:
         cond = cond & s
-    d = results.alias("d")
+    d = placed.alias("d")
     hit = d.join(t.alias("t"), cond, "left_semi").select(*keys, "ordinal").withColumn("_hit", F.lit(1))
     return results.join(hit, [*keys, "ordinal"], "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
@@ -169,7 +174,7 @@ def truth_near(frames: DataFrame, truth: DataFrame, tolerance: int = 0, keys: li
     return frames.select(*keys, "frame").distinct().join(near, [*keys, "frame"])
 
 
-def suffix_hints(lines: DataFrame, max_w: int = 200, max_h: int = 120, max_gap: int = 120, drift: float = 0.55, keys: list[str] = ["session_id", "frame_index"]) -> DataFrame:  # noqa: B006
+def suffix_hints(lines: DataFrame, max_w: int = 200, max_h: int = 120, max_gap: int = 120, drift: float = 0.55, keys: list[str] = ["session_id", "frame_index"], crowd: int = CROWD) -> DataFrame:  # noqa: B006
     """Completes plain numbers with the nearest K / M / B line to their right in the frame.
 
     Only suffix-like lines are on the probed side, merged by place and text.
@@ -180,11 +185,11 @@ def suffix_hints(lines: DataFrame, max_w: int = 200, max_h: int = 120, max_gap:
     hint = base.filter(F.col("normalized").isin("K", "M", "B") & small).groupBy(
         *keys, F.col("left").alias("h_left"), F.col("top").alias("h_top"), F.col("bottom").alias("h_bottom"), F.col("normalized").alias("hint")
     ).agg(F.min("ordinal").alias("h_ordinal"))
-    plain = base.filter(number)
+    plain, hint, cells = by_cell(base.filter(number), hint, keys, ["right"], ["h_left"], max_gap + 1, crowd)
     gap = F.col("h_left") - F.col("right") - 1
     tall = F.greatest(F.col("bottom") - F.col("top") + 1, F.col("h_bottom") - F.col("h_top") + 1)
     off = F.abs((F.col("top") + F.col("bottom")) / 2 - (F.col("h_top") + F.col("h_bottom")) / 2)
-    pairs = plain.join(hint, keys).withColumn("gap", gap).filter((F.col("gap") >= 0) & (F.col("gap") <= max_gap) & (off <= tall * drift))
+    pairs = plain.join(hint, [*keys, *cells]).withColumn("gap", gap).filter((F.col("gap") >= 0) & (F.col("gap") <= max_gap) & (off <= tall * drift))
     best = pairs.groupBy(*keys, "ordinal").agg(F.min_by("hint", F.struct("gap", "h_ordinal")).alias("hint"))
     out = base.join(best, [*keys, "ordinal"], "left")
     return out.withColumn("completed", F.when(F.col("hint").isNotNull(), F.concat("normalized", "hint")).otherwise(F.col("normalized")))

@@ -12,6 +12,7 @@ from math import hypot
 from pyspark.sql import DataFrame, functions as F
 
 from emberlog.operators.chained import chained_scan
+from emberlog.operators.places import CROWD, by_cell
 from emberlog.operators.timeline import previous_row, running
 
 SESSION = ["session_id"]
@@ -232,12 +233,12 @@ def enemies(tracked: DataFrame, keys: list[str] = SESSION) -> DataFrame:
 SIGNAL_CONFIDENCE = {"xp_orb": 0.95, "gold_drop": 0.90, "item_drop": 0.85, "death_animation": 0.90, "health_bar": 0.95, "damage_cessation": 0.60}
 
 
-def cue_pairs(enemy: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: float = 50.0, keys: list[str] = SESSION) -> DataFrame:
+def cue_pairs(enemy: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: float = 50.0, keys: list[str] = SESSION, crowd: int = CROWD) -> DataFrame:
     """Enemies with every distinct cue soon after, and close to, their last damage.
 
     An interval join: each enemy looks into its own time bucket and the next, so the join key
-    is ``(session, bucket)`` and the rest is a residual test.  Cues equal in time, type and
-    place are merged first.
+    is ``(session, bucket)``, with a cell of the screen where many cues share it, and the rest is a residual test.  Cues equal
+    in time, type and place are merged first.
     """
     width = within_ms + 1
     cue = cues.groupBy(*keys, "cue_type", "timestamp_ms", "center_x", "center_y").agg(F.min("ordinal").alias("cue_ordinal"), F.min("frame").alias("cue_frame"))
@@ -245,7 +246,8 @@ def cue_pairs(enemy: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: f
     reachable = enemy.withColumn("_b", F.explode(F.array(F.floor(F.col("last_ms") / width), F.floor(F.col("last_ms") / width) + 1)))
     near = F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y")) < reach
     soon = (F.col("cue_ms") > F.col("last_ms")) & (F.col("cue_ms") <= F.col("last_ms") + within_ms)
-    return reachable.join(cue, [*keys, "_b"]).filter(soon & near).drop("_b", "center_x", "center_y")
+    reachable, cue, cells = by_cell(reachable, cue, [*keys, "_b"], ["x", "y"], ["center_x", "center_y"], reach, crowd)
+    return reachable.join(cue, [*keys, "_b", *cells]).filter(soon & near).drop("_b", "center_x", "center_y", *cells)
 
 
 def kills(enemy: DataFrame, cues: DataFrame, within_ms: int = 2000, reach: float = 50.0, min_damage: int = 100, keys: list[str] = SESSION) -> DataFrame:

@@ -254,11 +254,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     from emberlog.functions.scoring import within_share
+    from emberlog.operators.places import by_cell
     from emberlog.operators.timeline import near_frames
 
     d = ad.detections(spark, sf)
     t = ad.truth(spark, sf).groupBy("session_id", F.col("frame").alias("tf"), F.col("value").alias("tv"), "x", "y").agg(F.count("*").alias("copies"))
-    pairs = d.join(near_frames(t, "tf", 3, "frame"), ["session_id", "frame"]).filter(
+    d, near, cells = by_cell(d, near_frames(t, "tf", 3, "frame"), ["session_id", "frame"], ["center_x", "center_y"], ["x", "y"], 70)
+    pairs = d.join(near, ["session_id", "frame", *cells]).filter(
         within_share(F.col("value"), F.col("tv"), 0.1) & (F.hypot(F.col("center_x") - F.col("x"), F.col("center_y") - F.col("y")) <= 70)
     )
     return pairs.groupBy("session_id", "ordinal").agg(F.sum("copies").alias("candidates"))
@@ -411,3 +413,27 @@ FLAT = 40
 @query("c8_group_lines_short_pieces", f"SELECT * FROM {LINES_SQL.replace(' + 1 <= 130', f' + 1 <= {FLAT}')}", ["boxes"])
 def _(spark, sf):
     return sq.group_lines(ad.boxes(spark, sf), max_h=FLAT, span=SHORT)
+
+
+# --- crowded frames ------------------------------------------------------------------------
+# The distance joins with every frame of more than one point cut into cells.
+
+
+@query("j1_temporal_support_in_cells", ORACLE["j1_temporal_support"])
+def _(spark, sf):
+    return mt.temporal_support(ad.hits(spark, sf), crowd=1).select("session_id", "ordinal", F.round("support", 6).alias("support"))
+
+
+@query("j4_label_by_truth_in_cells", ORACLE["j4_label_by_truth"])
+def _(spark, sf):
+    return mt.label_by_truth(ad.detections(spark, sf), ad.truth(spark, sf), crowd=1).select("session_id", "ordinal", "label")
+
+
+@query("j8_cue_pairs_in_cells", ORACLE["j8_cue_pairs"])
+def _(spark, sf):
+    return sq.cue_pairs(enemy(spark, sf), ad.cues(spark, sf), within_ms=KILL_MS, crowd=1).select("session_id", "enemy_id", "cue_type", "cue_ms", "cue_ordinal")
+
+
+@query("c10_suffix_hints_in_cells", ORACLE["c10_suffix_hints"])
+def _(spark, sf):
+    return mt.suffix_hints(text_lines(spark, sf), crowd=1).select("session_id", "frame_index", "ordinal", "completed")

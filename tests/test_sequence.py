@@ -195,3 +195,18 @@ def test_an_enemy_that_outlives_all_pieces(spark, monkeypatch, pieces):
     assert n == frames + -(-frames // 50) and one == frames and least
     scans_and_tables = 2 + 3 * 2 + 1  # rows, first scan and states, two rounds of three tables
     assert len(written) <= scans_and_tables + math.log2(pieces) + 3
+
+
+def test_a_frame_of_a_hundred_thousand_points(spark):
+    """Pairs in reach only: without cells the frames' points would make ten thousand million."""
+    n = 100_000
+    points = spark.range(n).select(F.lit(1).alias("session_id"), (F.col("id") % 2).cast("int").alias("frame_index"), F.col("id").alias("ordinal"))
+    place = lambda seed: (F.pmod(F.xxhash64(F.lit(seed), "ordinal"), F.lit(20_000))).cast("double")
+    rows = points.withColumns({"center_x": place(1), "center_y": place(2)})
+    found = mt.temporal_support(rows, reach=80.0).toPandas().set_index("ordinal")
+    import numpy as np
+
+    a, b = (found[found.frame_index == f] for f in (0, 1))
+    for r in a.iloc[:: len(a) // 20].itertuples():
+        d = np.hypot(b.center_x - r.center_x, b.center_y - r.center_y)
+        assert abs(r.support - (1 - d[d <= 80] / 160).sum()) < 1e-9
