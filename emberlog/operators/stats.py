@@ -117,7 +117,10 @@ def top_unknown(candidates: DataFrame, keys: list[str], k: int = 5) -> DataFrame
 
 
 def session_metrics(frames: DataFrame, key: str = "session_id") -> DataFrame:
-    """Totals of a per-frame log; mean confidence is over hits, mean time over frames."""
+    """Totals of a per-frame log; mean confidence is over hits, mean time over frames.
+
+    The duration is the time spent on all frames, and the frame rate what follows from it (0 without any time).
+    """
     base = frames.groupBy(key).agg(
         F.count("*").alias("total_frames"),
         F.sum("candidates").alias("total_candidates"),
@@ -127,6 +130,7 @@ def session_metrics(frames: DataFrame, key: str = "session_id") -> DataFrame:
         F.max(F.when(F.col("hits") > 0, F.col("damage"))).alias("_biggest"),
         F.sum(F.col("max_confidence") * F.col("hits")).alias("_conf"),
         F.avg("processing_time_ms").alias("avg_processing_time_ms"),
+        (F.coalesce(F.sum("processing_time_ms"), F.lit(0.0)) / 1000).alias("_seconds"),
     )
 
     def ratio(a: str, b: str) -> Column:
@@ -139,6 +143,8 @@ def session_metrics(frames: DataFrame, key: str = "session_id") -> DataFrame:
         F.round(ratio("_conf", "total_hits"), 6).alias("avg_confidence"),
         F.round(ratio("total_hits", "total_candidates"), 6).alias("acceptance_rate"),
         F.round("avg_processing_time_ms", 6).alias("avg_processing_time_ms"),
+        F.round("_seconds", 6).alias("duration_seconds"),
+        F.round(ratio("total_frames", "_seconds"), 6).alias("fps_achieved"),
     )
 
 
@@ -189,21 +195,36 @@ def stage_profile(timings: DataFrame, keys: list[str], value: str = "elapsed_ms"
     return basic.join(quantiles(timings, keys, value, STAGE_QUANTILES), keys)
 
 
-def stage_findings(profile: DataFrame, frame_time: DataFrame, key: str = "session_id") -> DataFrame:
-    """Bottlenecks per session from its stage profiles (a handful of rows per session)."""
-    names = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("stage")))), ",")
+def stage_findings(profile: DataFrame, frame_time: DataFrame, key: str = "session_id", fps_target: float = 30.0) -> DataFrame:
+    """Bottlenecks and recommendations per session from its stage profiles (a handful of rows per session) and frame times.
+
+    The frame rate follows from the frame times; below nine tenths of the target it is a finding.
+    """
+    stages = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("stage"))))
     slowest = F.max_by("stage", F.struct("total", "stage"))
     per = profile.groupBy(key).agg(
         slowest.alias("slowest_stage"), F.max("total").alias("_top"), F.sum("total").alias("pipeline_ms"),
-        names(F.col("sd") > F.col("mean") * 0.5).alias("high_variance"), names(F.col("p99") > F.col("mean") * 3).alias("p99_spikes"),
+        stages(F.col("sd") > F.col("mean") * 0.5).alias("_varied"), stages(F.col("p99") > F.col("mean") * 3).alias("_spikes"),
+    )
+    spent = frame_time.groupBy(key).agg(F.sum("frame_ms").alias("_frames"), F.count("frame_ms").alias("_n"))
+    top = F.col("_top") > F.col("pipeline_ms") * 0.5
+    per = per.join(spent, key, "left").withColumn("_fps", F.when(F.col("_frames") > 0, F.col("_n") * 1000 / F.col("_frames")).otherwise(0.0))
+    slow = F.col("_fps") < fps_target * 0.9
+
+    def advice(cond: Column, text: Column) -> Column:
+        return F.when(cond, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    recommendations = F.concat(
+        advice(top, F.concat(F.lit("Optimize "), "slowest_stage")), F.transform("_varied", lambda s: F.concat(F.lit("Reduce variance in "), s)),
+        advice(slow, F.lit(f"Raise the frame rate to {fps_target:g}")), F.transform("_spikes", lambda s: F.concat(F.lit("Investigate P99 spikes of "), s)),
     )
-    spent = frame_time.groupBy(key).agg(F.sum("frame_ms").alias("_frames"))
-    return per.join(spent, key, "left").select(
+    return per.select(
         key, "slowest_stage",
         F.round(F.col("_top") / F.col("pipeline_ms") * 100, 4).alias("slowest_percent"),
-        (F.col("_top") > F.col("pipeline_ms") * 0.5).alias("is_bottleneck"),
-        "high_variance", "p99_spikes",
+        top.alias("is_bottleneck"),
+        F.array_join("_varied", ",").alias("high_variance"), F.array_join("_spikes", ",").alias("p99_spikes"),
         F.round(F.greatest(F.lit(0.0), F.coalesce("_frames", F.lit(0.0)) - F.col("pipeline_ms")), 4).alias("overhead_ms"),
+        F.round("_fps", 4).alias("fps_achieved"), slow.alias("fps_below_target"), F.array_join(recommendations, "; ").alias("recommendations"),
     )
 
 

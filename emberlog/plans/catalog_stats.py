@@ -150,7 +150,8 @@ def _(spark, sf):
        coalesce(max(damage) FILTER (hits > 0), 0) AS biggest_hit,
        round(CASE WHEN sum(hits) > 0 THEN sum(max_confidence * hits) / sum(hits) ELSE 0 END, 6) AS avg_confidence,
        round(CASE WHEN sum(candidates) > 0 THEN sum(hits) / sum(candidates) ELSE 0 END, 6) AS acceptance_rate,
-       round(avg(processing_time_ms), 6) AS avg_processing_time_ms FROM frame_log GROUP BY 1""",
+       round(avg(processing_time_ms), 6) AS avg_processing_time_ms, round(sum(processing_time_ms) / 1000, 6) AS duration_seconds,
+       round(CASE WHEN sum(processing_time_ms) > 0 THEN count(*) / (sum(processing_time_ms) / 1000) ELSE 0 END, 6) AS fps_achieved FROM frame_log GROUP BY 1""",
     ["frame_log"],
 )
 def _(spark, sf):
@@ -236,10 +237,13 @@ def _(spark, sf):
 @query(
     "a15_bottlenecks",
     """WITH p AS (SELECT session_id, stage, sum(elapsed_ms) AS total, avg(elapsed_ms) AS mean, stddev_pop(elapsed_ms) AS sd, quantile_cont(elapsed_ms, 0.99) AS p99 FROM stage_timings GROUP BY 1, 2),
-       f AS (SELECT l_suppkey AS session_id, sum(l_quantity + l_discount * 100 + l_tax * 100) AS spent FROM lineitem GROUP BY 1)
+       f AS (SELECT l_suppkey AS session_id, sum(l_quantity + l_discount * 100 + l_tax * 100) AS spent, count(*) * 1000 / sum(l_quantity + l_discount * 100 + l_tax * 100) AS fps FROM lineitem GROUP BY 1)
        SELECT session_id, arg_max(stage, (total, stage)) AS slowest_stage, round(max(total) / sum(total) * 100, 4) AS slowest_percent, max(total) > sum(total) * 0.5 AS is_bottleneck,
        coalesce(string_agg(stage, ',' ORDER BY stage) FILTER (sd > mean * 0.5), '') AS high_variance, coalesce(string_agg(stage, ',' ORDER BY stage) FILTER (p99 > mean * 3), '') AS p99_spikes,
-       round(greatest(0, max(spent) - sum(total)), 4) AS overhead_ms FROM p JOIN f USING (session_id) GROUP BY 1""",
+       round(greatest(0, max(spent) - sum(total)), 4) AS overhead_ms, round(max(fps), 4) AS fps_achieved, max(fps) < 27 AS fps_below_target,
+       concat_ws('; ', CASE WHEN max(total) > sum(total) * 0.5 THEN 'Optimize ' || arg_max(stage, (total, stage)) END, string_agg('Reduce variance in ' || stage, '; ' ORDER BY stage) FILTER (sd > mean * 0.5),
+         CASE WHEN max(fps) < 27 THEN 'Raise the frame rate to 30' END, string_agg('Investigate P99 spikes of ' || stage, '; ' ORDER BY stage) FILTER (p99 > mean * 3)) AS recommendations
+       FROM p JOIN f USING (session_id) GROUP BY 1""",
     ["stage_timings"],
 )
 def _(spark, sf):
