@@ -5,7 +5,7 @@ tokens into segments, scores each candidate segment as a whole (character classe
 word before it, what stands beside it), and dynamic programming over segments of at most ``LONGEST`` tokens chooses
 boundaries and kinds together.  A token outside all segments scores nothing, so stretches far from any digit or ``@`` need no work
 and whole texts are covered.  The weights are trained here, by the averaged structured perceptron, on at most
-``SAMPLE`` documents of the corpus whose labels are the rules and a few sure forms of credentials.
+``SAMPLE`` texts of the corpus, of fewer than ``MOST`` characters each, whose labels are the rules and a few sure forms of credentials.
 
 NULL and empty texts have no span.  Rows are treated one by one, so repeated rows and NULL ids need no care.  Spans are
 code points, end exclusive.
@@ -27,9 +27,9 @@ MORE_KINDS = ("access_key", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 #: Tokens in a segment.
 LONGEST = 24
-#: Documents the weights are trained on.
-SAMPLE = 400
-#: Tokens of a stretch used in training.
+#: Texts the weights are trained on, and characters of such a text.
+SAMPLE, MOST = 400, 20_000
+#: Characters of a stretch used in training.
 TRAINED = 400
 EPOCHS = 4
 
@@ -254,10 +254,15 @@ def find(text: str, weights: dict[str, float]) -> list[tuple[str, int, int]]:
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from a fixed number of documents with a digit or ``@``, chosen by checksum of the text."""
-    useful = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select(F.col("text").cast("string").alias("text"))
-    picked = useful.orderBy(F.crc32("text"), "text").limit(sample).collect()
-    return train([r["text"] for r in picked])
+    """Weights from a fixed number of texts with a digit or ``@`` and below ``MOST`` characters: those of the least checksums.
+
+    Tasks hand over checksums only; then the few texts that have them are fetched, one for each.
+    """
+    useful = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") < MOST))
+    crc = F.crc32("text").alias("crc")
+    least = [r["crc"] for r in useful.select(crc).distinct().orderBy("crc").limit(sample).collect()]
+    picked = useful.select(crc, "text").filter(F.col("crc").isin(least)).groupBy("crc").agg(F.min("text").alias("text"))
+    return train([r["text"] for r in sorted(picked.collect(), key=lambda r: r["crc"])])
 
 
 def recogniser(weights: dict[str, float]):
