@@ -101,15 +101,21 @@ def logistic(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+# Two readings merge below the first limit by their gap, below the second and from there on by its share.
+MERGE_LIMITS = (1_000, 1_000_000)
+MERGE_GAP = 5
+MERGE_SHARES = (0.015, 0.03)
+
+
 def values_merge(a: Column, b: Column) -> Column:
     """Whether two readings can be the same number."""
     big, small = F.greatest(a, b), F.least(a, b)
     gap = big - small
     return (
         F.when(a == b, True)
-        .when(big < 1000, gap <= 5)
-        .when(big >= 1_000_000, gap / big <= 0.03)
-        .otherwise(gap / big <= 0.015)
+        .when(big < MERGE_LIMITS[0], gap <= MERGE_GAP)
+        .when(big >= MERGE_LIMITS[1], gap / big <= MERGE_SHARES[1])
+        .otherwise(gap / big <= MERGE_SHARES[0])
     )
 
 

@@ -11,6 +11,7 @@ from math import hypot
 
 from pyspark.sql import DataFrame, functions as F
 
+from emberlog.functions.scoring import MERGE_GAP, MERGE_LIMITS, MERGE_SHARES
 from emberlog.operators.chained import chained_scan
 from emberlog.operators.places import CROWD, by_cell
 from emberlog.operators.timeline import previous_row, running
@@ -19,13 +20,11 @@ SESSION = ["session_id"]
 
 
 def _mergeable(a: int, b: int) -> bool:
-    if a == b:
-        return True
-    big = max(a, b)
-    gap = abs(a - b)
-    if big < 1_000:
-        return gap <= 5
-    return gap / big <= (0.03 if big >= 1_000_000 else 0.015)
+    """``scoring.values_merge`` for the numbers of a scan."""
+    big, gap = max(a, b), abs(a - b)
+    if big < MERGE_LIMITS[0]:
+        return gap <= MERGE_GAP
+    return gap == 0 or gap / big <= MERGE_SHARES[big >= MERGE_LIMITS[1]]
 
 
 # --- keep-every-window filter -------------------------------------------------------------
@@ -310,6 +309,22 @@ def spawn_region(rows: DataFrame, spawns: DataFrame, size: tuple[int, int] = (19
 # --- boxes to lines ------------------------------------------------------------------------
 
 
+# When a box may join a line.
+LEFT_SLACK = 6  # pixels a box may start left of the line
+GAP_WIDTHS = 3.0  # mean widths between box and line
+LEAST_GAP = 15  # pixels always allowed between them
+MARK_WIDTH = 40  # a mark at the foot of the line: its width,
+MARK_HEIGHT = 60  # height,
+MARK_SHARE = 0.8  # share of the mean height
+MARK_GAP = 30  # and gap
+SUFFIX_WIDTH = 100  # a closing letter: its width,
+SUFFIX_HEIGHT = 120  # height,
+SUFFIX_GAP = 40  # gap
+SUFFIX_DRIFT = 0.4  # and distance of the middles, in heights
+SHARED_HEIGHT = 0.15  # share of the lesser height in common, or else
+MIDDLE_DRIFT = 0.7  # distance of the middles, in heights
+
+
 class _Lines:
     """Puts a box into the live line with the smallest horizontal gap that may take it.
 
@@ -337,21 +352,19 @@ class _Lines:
 
     def _accepts(self, e: list, left: int, top: int, right: int, bottom: int, gap: int) -> bool:
         _, _, g_left, g_top, g_right, g_bottom, members, sum_w, sum_h = e
-        if members >= self.max_members or left < g_left - 6:
+        if members >= self.max_members or left < g_left - LEFT_SLACK:
             return False
         if max(g_right, right) - min(g_left, left) + 1 > self.max_w or max(g_bottom, bottom) - min(g_top, top) + 1 > self.max_h:
             return False
-        w, h, avg_w, avg_h = right - left + 1, bottom - top + 1, sum_w / members, sum_h / members
-        g_height = g_bottom - g_top + 1
-        mid, g_mid = (top + bottom) / 2, (g_top + g_bottom) / 2
+        w, h, g_height, mean_h = right - left + 1, bottom - top + 1, g_bottom - g_top + 1, sum_h / members
+        mid, g_mid, tall = (top + bottom) / 2, (g_top + g_bottom) / 2, max(mean_h, h)
         drift = abs(mid - g_mid)
-        punctuation = w <= 40 and h <= 60 and h <= avg_h * 0.8 and gap <= 30 and mid >= g_top + g_height / 2
-        suffix = w <= 100 and h <= 120 and gap <= 40 and drift <= max(avg_h, h) * 0.4
-        if gap > max(int(avg_w * 3.0), 15) and not (punctuation or suffix):
+        mark = w <= MARK_WIDTH and h <= MARK_HEIGHT and h <= mean_h * MARK_SHARE and gap <= MARK_GAP and mid >= g_top + g_height / 2
+        suffix = w <= SUFFIX_WIDTH and h <= SUFFIX_HEIGHT and gap <= SUFFIX_GAP and drift <= tall * SUFFIX_DRIFT
+        if not (mark or suffix or gap <= max(int(sum_w / members * GAP_WIDTHS), LEAST_GAP)):
             return False
-        shared = min(bottom, g_bottom) - max(top, g_top) + 1
-        overlap = max(shared, 0) / max(min(h, g_height), 1)
-        return overlap >= 0.15 or drift <= max(avg_h, h) * 0.7 or punctuation
+        shared = max(min(bottom, g_bottom) - max(top, g_top) + 1, 0)
+        return mark or drift <= tall * MIDDLE_DRIFT or shared / max(min(h, g_height), 1) >= SHARED_HEIGHT
 
 
 def line_ids(boxes: DataFrame, max_w: int = 380, max_h: int = 130, max_members: int = 15, keys: list[str] = ["session_id", "frame_index"], span: int = 65536) -> DataFrame:  # noqa: B006
