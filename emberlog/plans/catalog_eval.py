@@ -11,7 +11,8 @@ from emberlog.plans import adapters as ad
 from emberlog.plans.catalog_sequence import ACC_SQL, MATCH_SQL, STABLE_SQL, _FRAME_DET, _FRAME_TRUTH, counts_sql, match_sql
 from emberlog.plans.catalog_stats import RATES_SQL
 from emberlog.plans.catalog_text import FEATURES_SQL, featured
-from emberlog.plans.registry import query
+from emberlog.plans.registry import ORACLE, query
+from emberlog.session import work_folder
 from emberlog.sources import io
 
 # --- before / after -------------------------------------------------------------------------
@@ -179,6 +180,18 @@ def _(spark, sf):
     return out.select("session_id", "baseline_f1_score", F.col("baseline_f1_score").isNull().alias("is_new"))
 
 
+@query("s12_baseline_files", ORACLE["s12_baseline_lookup"], [])
+def _(spark, sf):
+    """Baselines saved in two steps, the second of which replaces some, and loaded again."""
+    path = work_folder(spark, "s12")
+    known = side(spark, sf, "F").filter("session_id % 5 <> 0")
+    io.save_baselines(known.withColumn("f1_score", F.lit(0.0)), path)
+    io.save_baselines(known, path)
+    saved = io.load_baselines(spark, path).withColumn("session_id", F.col("session_id").cast("bigint"))
+    out = ev.against_baseline(side(spark, sf, "O"), saved)
+    return out.select("session_id", "baseline_f1_score", F.col("baseline_f1_score").isNull().alias("is_new"))
+
+
 @query(
     "s13_unprocessed",
     "SELECT DISTINCT c_custkey // 8 AS session_id FROM customer WHERE c_custkey // 8 NOT IN (SELECT session_id FROM hits)",

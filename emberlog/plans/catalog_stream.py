@@ -11,7 +11,7 @@ from emberlog.plans.catalog_sequence import KILL_MS, LIVE_IDS
 from emberlog.plans.catalog_stats import HOUR
 from emberlog.plans.registry import ORACLE, query
 from emberlog.session import work_folder
-from emberlog.sources import io
+from emberlog.sources import buckets, io
 from emberlog.streaming import live
 
 
@@ -101,12 +101,17 @@ def _(spark, sf):
     ["hits"],
 )
 def _(spark, sf):
+    """The hits arrive in two steps; the second replaces the sessions it touches."""
     folder = work_folder(spark, "t3")
-    run = live.refresh_sessions(ad.hits(spark, sf), st.session_totals, f"{folder}/table")
-    q = stream(spark, sf, ad.hits).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    rows = ad.hits(spark, sf)
     schema = "session_id bigint, total_damage bigint, hit_count bigint, biggest_hit bigint, average_hit double"
-    return spark.read.schema(schema).parquet(f"{folder}/table")
+    run = live.refresh_sessions(f"{folder}/hits", rows.schema, st.session_totals, f"{folder}/table")
+    for n, part in enumerate((rows.filter("frame_index < 360"), rows.filter("session_id % 3 = 0 or frame_index >= 360"))):
+        buckets.replace_rows(part if n == 0 else rows, f"{folder}/hits", "session_id")
+        part.write.parquet(f"{folder}/in/{n}")
+        news = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*")
+        news.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return buckets.load_rows(spark, f"{folder}/table", schema)
 
 
 @query(

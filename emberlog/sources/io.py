@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import schemas
 from emberlog.functions.text import frame_number
+from emberlog.sources.buckets import load_rows, replace_rows
 
 FRAMES_PER_PART = 4096
 
@@ -139,12 +140,12 @@ def unnest_frame_metrics(documents: DataFrame, key: str = "session_id") -> DataF
 
 def save_baselines(results: DataFrame, path: str) -> None:
     """Replaces the baselines of the given sessions only."""
-    rows = results.select(F.col("session_id").cast("string").alias("session_id"), "f1_score", "precision", "recall", "fps")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+    rows = results.select(F.col("session_id").cast("string").alias("session_id"), *[F.col(c).cast("double").alias(c) for c in ("f1_score", "precision", "recall", "fps")])
+    replace_rows(rows, path, "session_id")
 
 
 def load_baselines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.BASELINE).parquet(path)
+    return load_rows(spark, path, schemas.BASELINE)
 
 
 def unprocessed(sessions: DataFrame, processed: DataFrame, force: bool = False, key: str = "session_id") -> DataFrame:

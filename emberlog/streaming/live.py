@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from emberlog import schemas
 from emberlog.operators.sequence import live_unique, nearby_enemy
 from emberlog.session import cut_lineage
+from emberlog.sources.buckets import load_rows, replace_rows, touched_buckets
 
 LATE = "10 minutes"
 # Where no start is known: a fresh watermark stands at the epoch and would drop that instant as late.
@@ -338,14 +339,17 @@ def kill_events(
     return rows.groupBy(key).transformWithState(_Enemies(within_ms, reach, window, radius, idle_ms), _KILL, "append", "EventTime")
 
 
-def refresh_sessions(source: DataFrame, analyse, target: str, key: str = "session_id"):
-    """``foreachBatch`` body: re-analyses the sessions seen in a batch from the full ``source``
-    table and replaces exactly their partitions.  Running a batch twice gives the same table."""
+def refresh_sessions(source: str, schema, analyse, target: str, key: str = "session_id"):
+    """``foreachBatch`` body: re-analyses the sessions seen in a batch and replaces exactly their rows.
+
+    ``source`` and ``target`` are tables of hashed buckets; of both a batch touches the buckets of its sessions only.  Running a
+    batch twice gives the same table.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        touched = batch.select(key).distinct()
-        fresh = analyse(source.join(touched, key, "left_semi"))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(target)
+        touched = cut_lineage(batch.select(F.col(key).alias("_key")).distinct())
+        rows = load_rows(batch.sparkSession, source, schema, touched_buckets(touched, "_key"))
+        replace_rows(analyse(rows.join(touched, F.col(key).eqNullSafe(F.col("_key")), "left_semi")), target, key)
 
     return run
 

@@ -121,3 +121,18 @@ def test_inventory_and_skip(spark):
     assert out == {"a": (290, 1, 107, 29), "b": (10, 0, 3, 1), None: (300, 1, 110, 30)}
     assert [r[0] for r in io.unprocessed(frames, done).collect()] == ["b"]
     assert io.unprocessed(frames, done, force=True).count() == 2
+
+
+def test_bucket_tables_are_replaced_by_key(spark, tmp_path):
+    """NULL keys, keys that come and go, several versions; files follow the buckets, not the keys."""
+    from emberlog.sources import buckets
+
+    schema = "k string, v long"
+    folder = str(tmp_path / "t")
+    assert buckets.load_rows(spark, folder, schema).count() == 0
+    buckets.replace_rows(spark.createDataFrame([(f"s{i}", i) for i in range(500)] + [(None, -1)], schema), folder, "k")
+    buckets.replace_rows(spark.createDataFrame([("s3", 30), ("s3", 31), ("new", 7), (None, -2)], schema), folder, "k")
+    buckets.replace_rows(spark.createDataFrame([], schema), folder, "k")
+    found = sorted(((r.k, r.v) for r in buckets.load_rows(spark, folder, schema).collect()), key=str)
+    assert found == sorted([(f"s{i}", i) for i in range(500) if i != 3] + [("s3", 30), ("s3", 31), ("new", 7), (None, -2)], key=str)
+    assert len(list((tmp_path / "t/data/version=1").glob("bucket=*"))) <= 3
