@@ -20,12 +20,12 @@ CROWD = 256
 def by_cell(left: DataFrame, right: DataFrame, keys: list[str], own: list[str], other: list[str], reach: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of a join on ``keys`` whose rows pair up only if no coordinate of ``own`` and ``other`` differs by more than ``reach``.
 
-    Returns them with further key columns (none if no key is crowded).  Keys are counted once; the answer, crowded keys, is a table.
+    Returns them with further key columns (none if no key is crowded).  Keys are counted first; the crowded ones are a table.
     """
-    crowded = cut_lineage(right.groupBy(*keys).agg(F.count("*").alias("_points")).filter(F.col("_points") > crowd).select(*keys))
-    if crowded.isEmpty():
+    points = right.groupBy(*keys).agg(F.count("*").alias("_points"))
+    if (points.agg(F.max("_points")).first()[0] or 0) <= crowd:
         return left, right, []
-    mark = crowded.withColumn("_crowded", F.lit(True))
+    mark = cut_lineage(points.filter(F.col("_points") > crowd).select(*keys, F.lit(True).alias("_crowded")))
     names = [f"_cell{i}" for i in range(len(own))]
 
     def cell(column: str) -> Column:
