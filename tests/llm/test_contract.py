@@ -63,8 +63,9 @@ def odd(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("odd")
     clash = ", 'x' AS rid, 1 AS kept, 'y' AS row, 2 AS lang_pred, 3 AS keeper, 'z' AS _salt, 4 AS component_id, 5 AS bin, 6 AS host, 7 AS page, 8 AS found, 9 AS sketch"
     long = " ".join(f"word{i % 977}" for i in range(60_000))
+    clash_docs = clash + ", CAST(NULL AS STRING) AS source, CAST(NULL AS BIGINT) AS n_chars, 'z' AS grp, 'z' AS leaf, 3 AS gram, 4 AS cid"
     texts = ["NULL", "''", "' '", "'One two three four five six.'", "'one two three four five six.'", "'MIT License a@b.c 1.2.3.4'", f"'{long}'", f"'{long}'"]
-    rows = [f"SELECT CAST({i if i % 4 else 'NULL'} AS BIGINT) AS doc_id, {t} AS text, CAST({'NULL' if i % 3 else repr('en')} AS STRING) AS lang{clash}" for i, t in enumerate(texts)]
+    rows = [f"SELECT CAST({i if i % 4 else 'NULL'} AS BIGINT) AS doc_id, {t} AS text, CAST({'NULL' if i % 3 else repr('en')} AS STRING) AS lang{clash_docs}" for i, t in enumerate(texts)]
     spark.sql(" UNION ALL ".join([*rows, rows[3], rows[3]])).write.parquet(f"{folder}/documents.parquet")
     html = ["NULL", "''", "'<article><p>a &amp; b</article>'", "'<p>x'"]
     rows = [f"SELECT CAST({i if i % 4 else 'NULL'} AS BIGINT) AS page_id, {'NULL' if i == 1 else repr('http://h.example.org/a')} AS url, {t} AS html{clash}" for i, t in enumerate(html)]
