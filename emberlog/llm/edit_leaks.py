@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -73,6 +74,17 @@ def myers(peq: dict[str, int], m: int, text: str, anchored: bool = False) -> tup
     return best, end
 
 
+def whole_words(text: str, pattern: str, lo: int, hi: int) -> Iterator[int]:
+    """Where ``pattern`` stands in ``text[lo:hi]`` with no letter or digit next to its own first or last."""
+    at = text.find(pattern, lo, hi)
+    while at >= 0:
+        end = at + len(pattern)
+        inside = (at > 0 and text[at - 1].isalnum() and pattern[0].isalnum()) or (end < len(text) and text[end].isalnum() and pattern[-1].isalnum())
+        if not inside:
+            yield at
+        at = text.find(pattern, at + 1, hi)
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
@@ -117,6 +129,9 @@ class Matcher:
         for n, ranges in self.windows(text).items():
             item, pattern, budget, peq, reverse = self.items[n]
             best = None
+            if not budget:  # a short item counts as words of the text only
+                at = next((s for lo, hi in ranges for s in whole_words(text, pattern, lo, hi)), None)
+                ranges, best = [], at if at is None else (0, at, at + len(pattern))
             for lo, hi in ranges:
                 distance, end = myers(peq, len(pattern), text[lo:hi])
                 if distance <= budget and (best is None or distance < best[0]):

@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -196,9 +197,11 @@ def test_gram_counts_of_long_texts(monkeypatch):
 def test_word_ids_are_the_tokenizers():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode, own = Tokenizer.from_file(path).encode, residual_packing.WordIds(path, 50)
-    texts = ["The cat, the dog. THE end", "İx Σας, ΣΑΣ. it's DON'T.", "<|endoftext|>A <|STARTOFTEXT|> é É.", "a\x0bb\x1cc a\xa0b　c  ., .. , 12,3 ½.", "", None, "a., b.,"]
-    for text in texts * 2:
-        assert own(text) == np.array(encode(text or "", add_special_tokens=False).ids, "<u4").tobytes(), text
+    texts = ["The cat, the dog. THE end", "İx Σας, ΣΑΣ. it's DON'T.", "<|endoftext|>A <|STARTOFTEXT|> é É.", "a\x0bb\x1cc a\xa0b　c  ., .. , 12,3 ½.", "", None, "a., b.,", "end!! now$$$ é&&&, don't'' x's\" it'' _a_ b__ c-d-- ['q']"]
+    wanted = [np.array(encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    for lo, hi in ((0, len(texts)), (2, 5), (4, 6), (0, len(texts))):
+        assert [bytes(ids) for ids in own(pa.array(texts).slice(lo, hi - lo))] == wanted[lo:hi]
+    assert list(own(pa.array([], pa.string()))) == []
 
 
 def test_packing_is_whole_and_tight(spark):
@@ -307,6 +310,24 @@ def test_prose_stays_unless_its_container_recurs(spark):
     assert main_texts(spark, rows, many=13)[100] == "Section line\n\nText 0"
 
 
+def test_only_letters_count():
+    assert all(len(rank_order.gram_counts(text)[0]) == 0 for text in ("½ ² ① 12 _ Ⅷ", "", None, "١٢"))
+    assert len(rank_order.gram_counts("a½b")[0]) == len(rank_order.gram_counts("a b")[0])
+
+
+def test_mixed_documents_go_from_the_sample_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    gone = docs.select("doc_id").subtract(rank_order.in_known_language(docs).select("doc_id")).collect()
+    assert 1 <= len(gone) <= 0.001 * docs.count() and (1699,) in [tuple(r) for r in gone]
+
+
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "We concatenate it"), (2, "I know nothing"), (3, "A cat. And"), (4, "no!"), (5, "the (cat)")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "cat"), (2, "no")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in edit_leaks.leaks(docs, items).collect()) == [(3, 1), (4, 2), (5, 1)]
+    assert {r.doc_id for r in edit_leaks.without_leaks(docs, items).collect()} == {1, 2}
+
+
 def test_foreign_and_junk_documents_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     random.seed(2)
