@@ -11,30 +11,30 @@ Ties between languages go to the alphabetically first, ties between n-grams to t
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from emberlog.llm.common import table
+from emberlog.llm.common import keyed, table
 from emberlog.operators.timeline import top_k
 
 #: n-grams kept for each language and each document.
 PROFILE = 300
 #: More distinct labels than this are an error in the label column, not languages.
 MAX_LANGUAGES = 1000
-#: The pipeline drops documents below the least score of a language's labelled documents by this share of it.
-MARGIN = 0.1
-#: Fewer n-grams say less: limits shrink in proportion below this number, and such documents set none.
+#: The pipeline drops documents whose two best languages are closer than ``MIN_GAP`` (a share of the largest distance), and those whose score lies
+#: ``FENCE`` interquartile ranges below the lower quartile of the documents labelled with a language, or below ``MIN_SCORE`` where none is.
+MIN_GAP, FENCE, MIN_SCORE = 0.05, 2.0, 0.15
+#: Fewer n-grams say less: the limit of the score shrinks in proportion below this number, that of the gap below a full profile, and such
+#: documents set none.
 SHORT = 100
-#: The limit of a language with fewer than ``LEAST_DOCS`` labelled documents of some length.
-MIN_SCORE, LEAST_DOCS = 0.15, 20
 UNKNOWN = "und"
 BLANK = 32
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: Characters counted at once; longer texts are counted in parts and summed.
 AT_ONCE = 1 << 19
 
@@ -128,29 +128,34 @@ def distances(grams: np.ndarray, lookup: list[tuple[str, np.ndarray, np.ndarray]
 
 
 def predictor(learned: dict[str, list[int]], size: int = PROFILE):
-    """Column function ``text -> struct<lang, score, grams>``; the score is 1 less the share of the largest possible distance."""
+    """Column function ``text -> struct<lang, score, gap, grams>``.
+
+    The score is 1 less the share of the largest possible distance, the gap how much further the second language is (1 where there is one only).
+    """
     longest = max((len(codes) for codes in learned.values()), default=0)
 
-    @F.arrow_udf("struct<lang:string,score:double,grams:int>")
+    @F.arrow_udf("struct<lang:string,score:double,gap:double,grams:int>")
     def predict(texts: pa.Array) -> pa.Array:
         lookup = []
         for lang, codes in learned.items():
             codes = np.array(codes, np.int64)
             order = np.argsort(codes)
             lookup.append((lang, codes[order], order))
-        langs, scores, sizes = [], [], []
+        langs, scores, gaps, sizes = [], [], [], []
         for text in texts:
             grams = ranked(*gram_counts(text.as_py()), size)
             sizes.append(len(grams))
             if not len(grams) or not lookup:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
+                gaps.append(0.0)
                 continue
             found = distances(grams, lookup, longest)
             best = int(np.argmin(found))
             langs.append(lookup[best][0])
             scores.append(1 - found[best] / (len(grams) * longest))
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["lang", "score", "grams"])
+            gaps.append((sorted(found)[1] - found[best]) / (len(grams) * longest) if len(found) > 1 else 1.0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gaps, pa.float64()), pa.array(sizes, pa.int32())], ["lang", "score", "gap", "grams"])
 
     return predict
 
@@ -168,29 +173,29 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
-def limits(labelled: DataFrame, learned: dict[str, list[int]], size: int = PROFILE) -> dict[str, float]:
-    """The least score a document of each language may have: no labelled document is below, held out or not, and ``MARGIN`` less."""
-    found = labelled.filter(F.col("lang").isNotNull()).select(predictor(learned, size)(F.col("text")).alias("found")).select("found.*")
-    least = found.filter((F.col("lang") != UNKNOWN) & (F.col("grams") >= min(SHORT, size))).groupBy("lang").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    return {r["lang"]: (1 - MARGIN) * r["least"] for r in least.filter(F.col("n") >= LEAST_DOCS).collect()}  # at most MAX_LANGUAGES rows
+def limits(scored: DataFrame, size: int = PROFILE) -> dict[str, float]:
+    """The least score of a document of each language, from ``scored (row, found)``: quartiles, so a few odd labelled rows move nothing."""
+    found = scored.filter(F.col("row.lang").isNotNull() & (F.col("found.grams") >= min(SHORT, size))).select("found.lang", "found.score")
+    quartiles = found.groupBy("lang").agg(F.percentile_approx("score", [0.25, 0.75]).alias("q"))
+    return {r["lang"]: r["q"][0] - FENCE * (r["q"][1] - r["q"][0]) for r in quartiles.collect()}  # at most MAX_LANGUAGES rows
 
 
-def in_known_language(docs: DataFrame, size: int = PROFILE, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` in one of its own languages; those without letters or below the limit of the language go.
+def in_known_language(docs: DataFrame, size: int = PROFILE, min_score: float = MIN_SCORE, min_gap: float = MIN_GAP) -> DataFrame:
+    """The rows of ``docs`` in one of its own languages; those without letters, unlike their language, or as near to another go.
 
-    The limit follows from the labelled rows, ``min_score`` stands for it where they are few.  Where no row names a language there is
-    nothing to compare with, and only rows without letters go.
+    A text in an unlearned language, of random letters, or of several languages in equal parts is far from the best language, or about as far from
+    the second.  Where no row names a language there is nothing to compare with, and only rows without letters go.
     """
     learned = profiles(docs.filter(~held_out()).select("text", "lang"), size)
     if not learned:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    least = limits(docs.select("text", "lang"), learned, size)
-    seen = docs.select(F.struct("*").alias("row")).withColumn("found", predictor(learned, size)(F.col("row.text")))
+    scored = keyed(docs, found=predictor(learned, size)(F.col("row.text")))
     limit = F.lit(min_score)
-    if least:
+    if least := limits(scored, size):
         limit = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair])[F.col("found.lang")], limit)
-    limit = limit * F.least(F.lit(1.0), F.col("found.grams") / min(SHORT, size))
-    return seen.filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= limit)).select("row.*")
+    share = lambda enough: F.least(F.lit(1.0), F.col("found.grams") / enough)
+    clear = (F.col("found.score") >= limit * share(min(SHORT, size))) & (F.col("found.gap") >= F.lit(min_gap) * share(size))
+    return scored.filter((F.col("found.lang") != UNKNOWN) & clear).select("row.*")
 
 
 def op10_rank_order_language(spark, sf_dir: str) -> DataFrame:
