@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from math import hypot
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -114,6 +114,8 @@ def finish_unique(spark: SparkSession, folder: str, schema: str = schemas.LIVE_H
 
 #: Hits of a session's log.
 LOG = 50
+#: Rows of a task that are reduced together.
+_BUFFER = 1 << 18
 _PARTIAL = "total bigint, hits bigint, peak bigint, last_ms bigint, last_ordinal bigint, last_value bigint"
 _ENTRY = "timestamp_ms bigint, frame_index bigint, ordinal bigint, parsed_value bigint"
 _INSTANT = "timestamp_ms bigint, damage bigint"
@@ -174,34 +176,68 @@ class _SessionStats(StatefulProcessor):
         pass
 
 
+def _summaries(batches: list[pa.RecordBatch], key: str, window_ms: int, log: int) -> pa.RecordBatch:
+    """One row per session of the batches: totals, last hit, newest wall-clock time, sums by instant of the trailing window, last hits."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        return column.cast(pa.int64()).combine_chunks().to_numpy()
+
+    none = table[key].is_null().combine_chunks().to_numpy(zero_copy_only=False)
+    sid, ts, frame, ordinal = numbers(table[key].fill_null(0)), *(numbers(table[c]) for c in ("timestamp_ms", "frame_index", "ordinal"))
+    value, event = numbers(table["parsed_value"].fill_null(0)), numbers(table["_event"])
+    newest_last = np.lexsort((ordinal, ts, sid, none))
+    order = np.lexsort((ordinal, frame, ts, sid, none))
+    at, who = ts[order], np.stack((sid[order], none[order]))
+    first = np.concatenate(([True], (who[:, 1:] != who[:, :-1]).any(axis=0)))
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(order))
+    hits, last, amount = ends - starts, newest_last[ends - 1], value[order]
+    inside = at >= np.repeat(ts[last] - window_ms, hits)
+    instant = inside & (first | ~np.append(False, inside[:-1]) | np.append(True, at[1:] != at[:-1]))
+    opens = np.flatnonzero(instant)
+    recent = {"timestamp_ms": at[opens], "damage": np.add.reduceat(np.where(inside, amount, 0), opens)}
+    kept = order[np.arange(len(order)) >= np.repeat(ends - log, hits)]
+    latest = {"timestamp_ms": ts[kept], "frame_index": frame[kept], "ordinal": ordinal[kept], "parsed_value": value[kept]}
+
+    def lists(fields: dict[str, np.ndarray], sizes: np.ndarray) -> pa.Array:
+        ends_at = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        return pa.ListArray.from_arrays(ends_at, pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))
+
+    columns = {
+        key: pa.array(sid[last], pa.int64(), mask=none[last]),
+        "total": pa.array(np.add.reduceat(amount, starts)), "hits": pa.array(hits, pa.int64()), "peak": pa.array(np.maximum.reduceat(amount, starts)),
+        "last_ms": pa.array(ts[last]), "last_ordinal": pa.array(ordinal[last]), "last_value": pa.array(value[last]),
+        "newest": pa.array(np.maximum.reduceat(event[order], starts)),
+        "window": lists(recent, np.add.reduceat(instant.astype(np.int64), starts)), "log": lists(latest, np.minimum(hits, log)),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def session_stats(hits: DataFrame, window_ms: int = 5000, key: str = "session_id", idle_ms: int = 86_400_000, log: int = LOG) -> DataFrame:
     """Session state after each batch, for update mode: totals, peak, last hit, the trailing window and the last ``log`` hits, oldest first.
 
-    Every Arrow batch is reduced to one summary per session *before* the shuffle: totals, the per-instant sums of its trailing
-    window and its last hits (older rows cannot be in the final ones).  A crowded session thus sends one row per ten
-    thousand; state keeps one summary per session and ends by an event-time timer.  A NULL session is a session.
+    Every task reduces ``_BUFFER`` rows at a time to one summary per session *before* the shuffle: totals, the per-instant sums of its
+    trailing window and its last hits (older rows cannot be in the final ones).  All sessions of a buffer are reduced together,
+    so its cost follows its rows however many sessions share it, and a crowded session sends one row per buffer; state keeps one
+    summary per session and ends by an event-time timer.  A NULL session is a session; a hit without a value adds no damage.
     """
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for sid, g in pdf.groupby(key, dropna=False):
-                g = g.sort_values(["timestamp_ms", "frame_index", "ordinal"])
-                last = g.iloc[np.lexsort((g["ordinal"].to_numpy(), g["timestamp_ms"].to_numpy()))[-1]]
-                recent = g[g["timestamp_ms"] >= last["timestamp_ms"] - window_ms].groupby("timestamp_ms")["parsed_value"].sum()
-                v = g["parsed_value"]
-                latest = g[["timestamp_ms", "frame_index", "ordinal", "parsed_value"]].tail(log)
-                out.append((
-                    None if pd.isna(sid) else int(sid), int(v.sum()), len(v), int(v.max()), int(last["timestamp_ms"]), int(last["ordinal"]), int(last["parsed_value"]), int(g["_event"].max()),
-                    [{"timestamp_ms": int(a), "damage": int(b)} for a, b in recent.items()], [{k: int(x) for k, x in r.items()} for r in latest.to_dict("records")],
-                ))
-            frame = pd.DataFrame(out, columns=[key, *[c.split()[0] for c in _PARTIAL.split(", ")], "newest", "window", "log"])
-            yield frame.astype({key: "Int64"})
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= _BUFFER:
+                yield _summaries(held, key, window_ms, log)
+                held, size = [], 0
+        if size:
+            yield _summaries(held, key, window_ms, log)
 
     lists = ", ".join(f"{name} array<struct<{', '.join(':'.join(c.split()) for c in kind.split(', '))}>>" for name, kind in (("window", _INSTANT), ("log", _ENTRY)))
     use_rocksdb(hits.sparkSession)
     rows = hits.select(key, "timestamp_ms", "frame_index", "ordinal", "parsed_value", F.unix_millis("event_time").alias("_event"))
-    rows = rows.mapInPandas(combine, f"{key} bigint, {_PARTIAL}, newest bigint, {lists}")
+    rows = rows.mapInArrow(combine, f"{key} bigint, {_PARTIAL}, newest bigint, {lists}")
     return rows.groupBy(key).transformWithState(_SessionStats(window_ms, idle_ms, log), _STATS_OUT, "update", "EventTime")
 
 

@@ -137,3 +137,34 @@ def test_kills_wait_for_late_cues_and_later_damage(spark, tmp_path):
         table = live.run_to_table(live.kill_events(*streams, idle_ms=60_000), f"{tmp_path}/out", f"{tmp_path}/ck")
     found = sorted((r.enemy_id, r.frame_index, r.total_damage, r.hits, r.cue_type) for r in table.collect())
     assert found == [(0, 30, 130, 3, "gold_drop"), (2, 20, 500, 1, "sparkle")]
+
+
+def test_summaries_of_many_sessions_at_once():
+    """A buffer of 20,000 sessions is one reduction; the rows are those of a pass over each session."""
+    import random
+    import time
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, s % 20_000, 0]), rng.randrange(90), rng.randrange(5), n, rng.randrange(1, 9), rng.randrange(99)) for n, s in enumerate(range(60_000))]
+    names = ["session_id", "timestamp_ms", "frame_index", "ordinal", "parsed_value", "_event"]
+    batches = [pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(names, zip(*rows[at : at + 10_000]))}) for at in range(0, len(rows), 10_000)]
+    began = time.time()
+    found = {r["session_id"]: r for r in live._summaries(batches, "session_id", 40, 3).to_pylist()}
+    assert time.time() - began < 5
+    want = defaultdict(list)
+    for r in rows:
+        want[r[0]].append(r)
+    assert found.keys() == want.keys()
+    for sid, own in want.items():
+        r, last = found[sid], max(own, key=lambda x: (x[1], x[3]))
+        assert (r["total"], r["hits"], r["peak"], r["newest"]) == (sum(x[4] for x in own), len(own), max(x[4] for x in own), max(x[5] for x in own))
+        assert (r["last_ms"], r["last_ordinal"], r["last_value"]) == (last[1], last[3], last[4])
+        assert [tuple(x.values()) for x in r["log"]] == [x[1:5] for x in sorted(own, key=lambda x: x[1:4])[-3:]]
+        recent = defaultdict(int)
+        for x in own:
+            if x[1] >= last[1] - 40:
+                recent[x[1]] += x[4]
+        assert [(x["timestamp_ms"], x["damage"]) for x in r["window"]] == sorted(recent.items())
