@@ -99,11 +99,12 @@ def candidate_kinds(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def token_kinds(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Kinds of all whitespace-separated tokens.  Equal tokens are counted first (combined before
     the shuffle), so the pattern matching runs once per distinct token and spreads over the
-    shuffle partitions."""
+    shuffle partitions.  ``damage`` is exact, a decimal, as a few thousand long numbers add up to more than a long holds."""
     tokens = texts.select(*keys, F.explode(F.split("text", r"\s+")).alias("text")).groupBy(*keys, "text").agg(F.count("*").alias("n"))
     kind = tx.classify(F.col("text"))
-    damage = F.when(kind == "damage", tx.parse_value(F.col("text"))) * F.col("n")
-    return tokens.groupBy(*keys, kind.alias("kind")).agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(damage), F.lit(0)).alias("damage"))
+    damage = F.when(kind == "damage", tx.parse_value(F.col("text"))).cast("decimal(19,0)") * F.col("n").cast("decimal(18,0)")
+    total = F.coalesce(F.sum(damage.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    return tokens.groupBy(*keys, kind.alias("kind")).agg(F.sum("n").alias("tokens"), total.alias("damage"))
 
 
 def top_unknown(candidates: DataFrame, keys: list[str], k: int = 5) -> DataFrame:

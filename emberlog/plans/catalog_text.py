@@ -8,6 +8,7 @@ from emberlog.functions import geometry as geo, scoring as sc, text as tx
 from emberlog.operators.stats import token_kinds
 from emberlog.plans import adapters as ad
 from emberlog.plans.registry import query
+from emberlog.session import cut_lineage
 
 
 def text_sql(source: str, col: str) -> str:
@@ -78,7 +79,10 @@ def _(spark, sf):
             TOKENS_SQL, 'text')})) GROUP BY ALL""",
 )
 def _(spark, sf):
-    return token_kinds(ad.table(spark, sf, "documents"), ["lang"])
+    """``damage`` is a bigint as in the SQL, whose sum fails beyond; there it is the exact decimal instead."""
+    kinds = cut_lineage(token_kinds(ad.table(spark, sf, "documents"), ["lang"]))  # a row per language and kind
+    fits = kinds.filter(F.col("damage") > F.lit(2**63 - 1)).isEmpty()
+    return kinds.withColumn("damage", F.col("damage").cast("bigint")) if fits else kinds
 
 
 @query(

@@ -55,3 +55,13 @@ def test_top_frame_count(spark):
 def test_values_merge(spark, a, b, same):
     row = spark.range(1).select(sc.values_merge(F.lit(a), F.lit(b)), sc.values_merge(F.lit(b), F.lit(a))).first()
     assert tuple(row) == (same, same)
+
+
+def test_damage_beyond_a_long_is_exact(spark, tmp_path):
+    """Long numbers add up to more than a long holds: by one token's count, and by the sum."""
+    from emberlog.plans.catalog import QUERIES
+
+    rows = [(1, "9000000000000000000 9000000000000000000 1K", "en", "s", 1), (2, "8000000000000000000 5 ab", "en", "s", 1), (3, "7", "de", "s", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.lang, r.kind): (r.tokens, int(r.damage)) for r in QUERIES["p5_classify_documents"](spark, str(tmp_path)).collect()}
+    assert found == {("en", "damage"): (5, 26_000_000_000_000_001_005), ("en", "item"): (1, 0), ("de", "damage"): (1, 7)}
