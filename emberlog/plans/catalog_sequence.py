@@ -365,7 +365,20 @@ LINES_SQL = f"""(SELECT *, "right" - "left" + 1 AS width, bottom - top + 1 AS he
     CAST(sum(pixel_count) AS BIGINT) AS pixel_count, count(*) AS member_count FROM boxes b JOIN {_LINE_IDS} i ON i.session_id = b.session_id AND i.frame_index = b.frame_index AND i.ordinal = b.ordinal GROUP BY 1, 2, 3))"""
 
 
-@query("c8_group_lines", f"SELECT * FROM {LINES_SQL}", ["boxes"])
+# The same fold, with every box in exactly one line even where boxes share an ordinal: the order is total but for equal boxes, lines
+# are known by their place in the list, and the boxes come out of the fold instead of being looked up by ordinal.
+_BOX_ORDER = 'ORDER BY top, "left", ordinal, "right", bottom, pixel_count'
+_EACH_BOX = (
+    _LINE_IDS.replace('ORDER BY top, "left", ordinal', _BOX_ORDER)
+    .replace("unnest(ids) AS ordinal, unnest(z.o) AS line_id", "unnest(ids) AS box, unnest(z.o) AS line, generate_subscripts(ids, 1) AS place")
+    .replace("list(ordinal ORDER", """list({'ordinal': ordinal, 'left': "left", 'top': top, 'right': "right", 'bottom': bottom, 'pixel_count': pixel_count} ORDER""")
+    .replace("list_append(a.o, n.r.id)", "list_append(a.o, len(a.st) + 1)").replace("list_append(a.o, a.st[i].id)", "list_append(a.o, i)")
+)
+BOX_LINES_SQL = f"""(SELECT * EXCLUDE (line), "right" - "left" + 1 AS width, bottom - top + 1 AS height FROM (SELECT session_id, frame_index, line, arg_min(box.ordinal, place) AS line_id, min(box."left") AS "left", min(box.top) AS top,
+    max(box."right") AS "right", max(box.bottom) AS bottom, CAST(sum(box.pixel_count) AS BIGINT) AS pixel_count, count(*) AS member_count FROM {_EACH_BOX} GROUP BY 1, 2, 3))"""
+
+
+@query("c8_group_lines", f"SELECT * FROM {BOX_LINES_SQL}", ["boxes"])
 def _(spark, sf):
     return sq.group_lines(ad.boxes(spark, sf))
 
@@ -410,7 +423,7 @@ def _(spark, sf):
 FLAT = 40
 
 
-@query("c8_group_lines_short_pieces", f"SELECT * FROM {LINES_SQL.replace(' + 1 <= 130', f' + 1 <= {FLAT}')}", ["boxes"])
+@query("c8_group_lines_short_pieces", f"SELECT * FROM {BOX_LINES_SQL.replace(' + 1 <= 130', f' + 1 <= {FLAT}')}", ["boxes"])
 def _(spark, sf):
     return sq.group_lines(ad.boxes(spark, sf), max_h=FLAT, span=SHORT)
 

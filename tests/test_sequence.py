@@ -210,3 +210,22 @@ def test_a_frame_of_a_hundred_thousand_points(spark):
     for r in a.iloc[:: len(a) // 20].itertuples():
         d = np.hypot(b.center_x - r.center_x, b.center_y - r.center_y)
         assert abs(r.support - (1 - d[d <= 80] / 160).sum()) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["c8_group_lines", "c8_group_lines_short_pieces"])
+def test_boxes_of_one_ordinal_are_boxes_of_their_own(spark, tmp_path, name):
+    """Two boxes of a frame share order, line number and price, and so the ordinal; each is in one line, which is its own."""
+    import __spark_entry__ as entry
+    from tests.oracle_check import compare, connect
+
+    rows = [(1, 10, 5, 2, 10.0, 99.5), (1, 40, 5, 2, 20.0, 99.5), (1, 12, 5, 3, 5.0, 7.0), (1, 10, 5, 4, 1.0, 7.5), (2, 10, 5, 2, 10.0, 99.5), (2, 10, 5, 2, 10.0, 99.5)]
+    table = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double")
+    table.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    out = entry.queries()[name](spark, str(tmp_path))
+    found = out.collect()
+    assert sum(r.member_count for r in found) == 6 and sum(r.pixel_count for r in found) == 40 * 56
+    assert sorted(r.line_id for r in found if r.frame_index == 1).count(10 * 10**8 + 9950) == 2
+    ok, note = compare(out, con, entry.oracle_sql()[name])
+    assert ok, note
