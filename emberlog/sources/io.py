@@ -106,8 +106,12 @@ def analysis_hits(analyses: DataFrame) -> DataFrame:
 
 
 def write_detection_log(log: DataFrame, path: str, key: str = "session_id") -> None:
-    """True JSON lines, one row per frame, in session folders."""
-    log.write.mode("append").partitionBy(key).json(path)
+    """True JSON lines, one row per frame, in session folders.
+
+    The rows of a session are brought together first, so files grow in number with the sessions and not with sessions times
+    tasks; a crowded session is split by its size into several files.
+    """
+    log.hint("rebalance", key).write.mode("append").partitionBy(key).json(path)
 
 
 def read_detection_log(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -136,3 +136,11 @@ def test_bucket_tables_are_replaced_by_key(spark, tmp_path):
     found = sorted(((r.k, r.v) for r in buckets.load_rows(spark, folder, schema).collect()), key=str)
     assert found == sorted([(f"s{i}", i) for i in range(500) if i != 3] + [("s3", 30), ("s3", 31), ("new", 7), (None, -2)], key=str)
     assert len(list((tmp_path / "t/data/version=1").glob("bucket=*"))) <= 3
+
+
+def test_detection_log_has_files_by_session_not_by_task(spark, tmp_path):
+    log = spark.range(4000, numPartitions=8).selectExpr("id % 5 as session_id", "id as frame_index", "array(named_struct('reasons', array('r'))) as rejected")
+    io.write_detection_log(log, str(tmp_path / "log"))
+    assert [len(list(tmp_path.glob(f"log/session_id={s}/*.json"))) for s in range(5)] == [1] * 5
+    back = io.read_detection_log(spark, str(tmp_path / "log"), log.schema)
+    assert sorted(r.frame_index for r in back.collect()) == list(range(4000))
