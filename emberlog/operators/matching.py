@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import sqrt
 from operator import and_
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlog.functions import text as tx
 from emberlog.functions.scoring import VALUE_RANGES, within_share
@@ -14,6 +15,7 @@ from emberlog.operators.chained import chained_scan
 from emberlog.operators.places import CROWD, by_cell
 from emberlog.operators.stats import with_rates
 from emberlog.operators.timeline import near_frames, top_k
+from emberlog.session import cut_lineage
 
 SESSION = ["session_id"]
 
@@ -177,24 +179,55 @@ def truth_near(frames: DataFrame, truth: DataFrame, tolerance: int = 0, keys: li
 def suffix_hints(lines: DataFrame, max_w: int = 200, max_h: int = 120, max_gap: int = 120, drift: float = 0.55, keys: list[str] = ["session_id", "frame_index"], crowd: int = CROWD) -> DataFrame:  # noqa: B006
     """Completes plain numbers with the nearest K / M / B line to their right in the frame.
 
-    Only suffix-like lines are on the probed side, merged by place and text.
+    The lines of a frame are brought together once, and each number looks its suffix up in the list of the frame's suffix-like lines.  Where a frame has
+    more than ``crowd`` of those, no list is built: both sides meet cell by cell.
     """
     base = tx.read_texts(lines)
-    number = F.col("normalized").rlike("[0-9]$") & F.col("parsed_value").isNotNull()
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
     small = (F.col("right") - F.col("left") + 1 <= max_w) & (F.col("bottom") - F.col("top") + 1 <= max_h)
-    hint = base.filter(F.col("normalized").isin("K", "M", "B") & small).groupBy(
-        *keys, F.col("left").alias("h_left"), F.col("top").alias("h_top"), F.col("bottom").alias("h_bottom"), F.col("normalized").alias("hint")
-    ).agg(F.min("ordinal").alias("h_ordinal"))
-    plain, hint, cells = by_cell(base.filter(number), hint, keys, ["right"], ["h_left"], max_gap + 1, crowd)
-    gap = F.col("h_left") - F.col("right") - 1
-    tall = F.greatest(F.col("bottom") - F.col("top") + 1, F.col("h_bottom") - F.col("h_top") + 1)
-    off = F.abs((F.col("top") + F.col("bottom")) / 2 - (F.col("h_top") + F.col("h_bottom")) / 2)
-    pairs = plain.join(hint, [*keys, *cells]).withColumn("gap", gap).filter((F.col("gap") >= 0) & (F.col("gap") <= max_gap) & (off <= tall * drift))
-    best = pairs.groupBy(*keys, "ordinal").agg(F.min_by("hint", F.struct("gap", "h_ordinal")).alias("hint"))
-    out = base.join(best, [*keys, "ordinal"], "left")
+    number = F.col("normalized").rlike("[0-9]$") & F.col("parsed_value").isNotNull()
+    flags = {"_number": known & number, "_suffix": known & small & F.col("normalized").isin("K", "M", "B")}
+    base = base.withColumns({n: F.coalesce(f, F.lit(False)) for n, f in flags.items()})
+
+    def fits(left: Column, top: Column, bottom: Column) -> Column:
+        gap = left - F.col("right") - 1
+        tall = F.greatest(F.col("bottom") - F.col("top") + 1, bottom - top + 1)
+        off = F.abs((F.col("top") + F.col("bottom")) / 2 - (top + bottom) / 2)
+        return (gap >= 0) & (gap <= max_gap) & (off <= tall * drift)
+
+    most = base.filter("_suffix").groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= crowd:
+        out = _listed_hints(base, keys, fits)
+    else:
+        base = cut_lineage(base.withColumn("_suffixes", F.count_if("_suffix").over(W.partitionBy(*keys))))
+        out = _listed_hints(base.filter(F.col("_suffixes") <= crowd), keys, fits).unionByName(_crowded_hints(base.filter(F.col("_suffixes") > crowd), keys, fits, max_gap + 1))
+    out = out.drop("_number", "_suffix", "_suffixes")
     return out.withColumn("completed", F.when(F.col("hint").isNotNull(), F.concat("normalized", "hint")).otherwise(F.col("normalized")))
 
 
+def _listed_hints(base: DataFrame, keys: list[str], fits: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """Adds ``hint`` from a list of each frame's suffixes: one shuffle and one sort."""
+    frame = W.partitionBy(*keys).orderBy("ordinal").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = F.struct("left", "top", "bottom", F.col("ordinal").alias("at"), F.col("normalized").alias("hint"))
+    listed = base.withColumn("_hints", F.collect_list(F.when(F.col("_suffix"), found)).over(frame))
+    near = F.filter("_hints", lambda h: fits(h["left"], h["top"], h["bottom"]))
+    nearest = F.array_min(F.transform(near, lambda h: F.struct((h["left"] - F.col("right") - 1).alias("gap"), h["at"].alias("at"), h["hint"].alias("hint"))))
+    listed = listed.withColumn("_best", F.when(F.col("_number"), nearest)).drop("_hints")
+    return listed.withColumn("hint", F.min("_best").over(W.partitionBy(*keys, "ordinal"))["hint"]).drop("_best")
+
+
+def _crowded_hints(base: DataFrame, keys: list[str], fits: Callable[[Column, Column, Column], Column], reach: int) -> DataFrame:
+    """Adds ``hint`` for frames of any number of suffixes: merged by place and text, they are copied to the two cells from which a line may reach them."""
+    place = [F.col("left").alias("h_left"), F.col("top").alias("h_top"), F.col("bottom").alias("h_bottom"), F.col("normalized").alias("hint")]
+    merged = base.filter("_suffix").groupBy(*keys, *place).agg(F.min("ordinal").alias("h_ordinal"))
+    cell = F.floor(F.col("h_left") / reach)
+    copies = merged.withColumn("_cell", F.explode(F.array(cell - 1, cell)))
+    asked = base.filter("_number").select(*keys, "ordinal", "top", "right", "bottom", F.floor(F.col("right") / reach).alias("_cell"))
+    pairs = asked.join(copies, [*keys, "_cell"]).filter(fits(F.col("h_left"), F.col("h_top"), F.col("h_bottom")))
+    best = pairs.groupBy(*keys, "ordinal").agg(F.min_by("hint", F.struct((F.col("h_left") - F.col("right") - 1).alias("gap"), "h_ordinal")).alias("hint"))
+    return base.join(best, [*keys, "ordinal"], "left")
+
+
 def missed_frames(captured: DataFrame, detected: DataFrame, recent: int = 30, least: int = 10, keys: list[str] = SESSION) -> DataFrame:
     """Recent captured frames without a detection record, for sessions with enough frames."""
     last = top_k(captured.select(*keys, "frame_index", "timestamp_ms").distinct(), keys, [F.desc("frame_index"), F.desc("timestamp_ms")], recent)

@@ -229,3 +229,27 @@ def test_boxes_of_one_ordinal_are_boxes_of_their_own(spark, tmp_path, name):
     assert sorted(r.line_id for r in found if r.frame_index == 1).count(10 * 10**8 + 9950) == 2
     ok, note = compare(out, con, entry.oracle_sql()[name])
     assert ok, note
+
+
+def test_suffix_hints_listed_and_in_cells(spark):
+    """Frames below and above the crowd limit, lines without a frame and lines that share an ordinal; listed hints take one shuffle."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(600):
+        left, top = rng.randrange(900), rng.randrange(90)
+        rows.append((1, rng.choice([1, 1, 2, 3, 4, None]), n - n % 50 // 49, left, top, left + rng.randrange(10, 240), top + rng.randrange(10, 140), rng.choice(["K", "m", "B", "12", "7.5", "x", None])))
+    df = spark.createDataFrame(rows, "session_id int, frame_index int, ordinal bigint, left int, top int, right int, bottom int, text string")
+    want = []
+    for s, f, o, left, top, right, bottom, text in rows:
+        best = []
+        for a in rows:
+            if text in ("12", "7.5") and f is not None and a[1] == f and a[2] == o and a[7] in ("12", "7.5"):
+                for b in rows:
+                    gap, tall = b[3] - a[5] - 1, max(a[6] - a[4], b[6] - b[4]) + 1
+                    if b[1] == f and b[7] in ("K", "m", "B") and b[5] - b[3] < 200 and b[6] - b[4] < 120 and 0 <= gap <= 120 and abs((a[4] + a[6]) / 2 - (b[4] + b[6]) / 2) <= tall * 0.55:
+                        best.append((gap, b[2], b[7].upper()))
+        want.append((f, o, left, None if text is None else text.upper() + (min(best)[2] if best else "")))
+    for crowd in (1, 40, 10_000):
+        out = mt.suffix_hints(df, crowd=crowd).select("frame_index", "ordinal", "left", "completed")
+        assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
