@@ -4,9 +4,9 @@ Each such operator looks back a bounded distance along an axis.  Rows are cut in
 *segments*: maximal runs without a gap larger than the look-back, and runs longer than
 a span are cut again into pieces; a crowded key gets shorter pieces than a sparse one.  Different runs cannot
 influence each other, so they need no exchange.  Pieces of one long run do: the live state at the end of a
-piece is the starting state of the next.  The first pass scans all pieces with an empty
-start; pieces whose true starting state has other content are scanned again until nothing
-changes.
+piece is the starting state of the next.  The first pass lays neighbouring pieces into the same task, which hands the
+state on as it goes; only the first piece of a task starts empty.  Pieces whose true starting state has other content
+are scanned again until nothing changes; that concerns no more runs than there are tasks.
 
 Ids are no part of that content.  A live entry that came in with the starting state is known by its slot there, and a
 row that joins it is given the slot; only afterwards are slots followed from piece to piece to the row that opened the
@@ -35,11 +35,20 @@ from emberlog.session import cut_lineage
 # ids of its entries says so by a true attribute ``reads_ids``; then ids are part of the content handed over.
 Rule = Callable[[list, tuple], "int | None"]
 
-SEG, PIECE, EDGE, ASSIGNED, STATE, SLOT, REF = "_seg", "_piece", "_edge", "assigned", "_state", "_slot", "_ref"
+SEG, PIECE, EDGE, ASSIGNED, STATE, SLOT, REF, TAKEN = "_seg", "_piece", "_edge", "assigned", "_state", "_slot", "_ref", "_taken"
 
 
 class _Inherited(int):
-    """The slot of an entry in the starting state of a piece, in place of the id."""
+    """The slot of an entry in the starting state of a piece, in place of the id; ``origin`` is the id as far as the
+    task knows it, which is right where its run was not cut between two tasks."""
+
+    origin: int | None = None
+
+    @classmethod
+    def at(cls, slot: int, owner: int) -> _Inherited:
+        out = cls(slot)
+        out.origin = owner.origin if type(owner) is _Inherited else owner
+        return out
 
 
 def _segments(df: DataFrame, keys: list[str], axis: str, window: int, spans: DataFrame) -> DataFrame:
@@ -79,10 +88,11 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def _scanner(keys: list[str], axis: str, fields: list[str], window: int, rule: Rule, whole: bool):
+def _scanner(keys: list[str], axis: str, fields: list[str], window: int, rule: Rule, whole: bool, follow: bool = False):
     """Builds the ``mapInArrow`` body: one pass over rows sorted by piece and order.
 
-    Columns the rule does not need stay Arrow data and pass through untouched.
+    Columns the rule does not need stay Arrow data and pass through untouched.  With ``follow``, a piece right after the
+    one before starts with its closing state, and that state is marked as ``_taken``.
     """
     reads_ids = getattr(rule, "reads_ids", False)
 
@@ -106,8 +116,11 @@ def _scanner(keys: list[str], axis: str, fields: list[str], window: int, rule: R
             found, keep, carries = [], [], []
             for i, group in enumerate(groups):
                 if group != current:
-                    carries.extend(closing())
-                    current, live, last_axis = group, [], None
+                    ends = closing()
+                    taken = follow and bool(ends) and group == (*current[:-1], current[-1] + 1)
+                    carries.extend((*end, taken) for end in ends)
+                    live = [[entry[0] if reads_ids else _Inherited.at(slot, entry[0]), *entry[1:]] for _, slot, entry in ends] if taken else []
+                    current, last_axis = group, None
                 if slots[i] >= 0:
                     live.append([owners[i] if reads_ids else _Inherited(slots[i]), *json.loads(states[i])])
                     continue
@@ -125,7 +138,7 @@ def _scanner(keys: list[str], axis: str, fields: list[str], window: int, rule: R
             if whole:
                 ids, refs = found, None
             else:
-                ids = [None if type(x) is _Inherited else x for x in found]
+                ids = [x.origin if type(x) is _Inherited else x for x in found]
                 refs = [int(x) if type(x) is _Inherited else None for x in found]
             out = out.set_column(layout.get_field_index(ASSIGNED), layout.field(ASSIGNED), pa.array(ids, pa.int64()))
             yield out if whole else out.set_column(layout.get_field_index(REF), layout.field(REF), pa.array(refs, pa.int32()))
@@ -133,18 +146,21 @@ def _scanner(keys: list[str], axis: str, fields: list[str], window: int, rule: R
                 yield _carry_batch(carries, keys, layout)
         tail = closing()
         if tail:
-            yield _carry_batch(tail, keys, layout)
+            yield _carry_batch([(*end, False) for end in tail], keys, layout)
 
     return scan
 
 
 def _carry_batch(carries: list[tuple], keys: list[str], layout: pa.Schema) -> pa.RecordBatch:
     data = {f.name: [None] * len(carries) for f in layout}
-    for n, (group, slot, entry) in enumerate(carries):
+    for n, (group, slot, entry, taken) in enumerate(carries):
         for c, v in zip([*keys, SEG, PIECE], group):
             data[c][n] = v
-        data[SLOT][n] = slot
-        data[REF if type(entry[0]) is _Inherited else ASSIGNED][n] = int(entry[0])
+        data[SLOT][n], data[TAKEN][n] = slot, taken
+        if type(entry[0]) is _Inherited:
+            data[REF][n], data[ASSIGNED][n] = int(entry[0]), entry[0].origin
+        else:
+            data[ASSIGNED][n] = int(entry[0])
         data[STATE][n] = json.dumps(entry[1:])
     return pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) for f in layout], schema=layout)
 
@@ -157,7 +173,8 @@ def _opened_by(states: DataFrame, piece: list[str]) -> DataFrame:
     """
     *run, at = piece
     up_at, up_slot = "_up_piece", "_up_slot"
-    nodes = states.select(*piece, SLOT, F.col(ASSIGNED).alias("_id"), F.when(F.col(ASSIGNED).isNull(), F.col(at) - 1).alias(up_at), F.col(REF).alias(up_slot))
+    own = F.col(REF).isNull()
+    nodes = states.select(*piece, SLOT, F.when(own, F.col(ASSIGNED)).alias("_id"), F.when(~own, F.col(at) - 1).alias(up_at), F.col(REF).alias(up_slot))
     nodes = cut_lineage(nodes)
     while not nodes.filter(F.col("_id").isNull()).isEmpty():
         over = nodes.select(*run, F.col(at).alias(up_at), F.col(SLOT).alias(up_slot), F.col("_id").alias("_their_id"), F.col(up_at).alias("_their_piece"), F.col(up_slot).alias("_their_slot"))
@@ -192,24 +209,21 @@ def chained_scan(
         zero = F.lit(0).cast("bigint")
         prepared = df.withColumns({SEG: zero, PIECE: zero, **nothing})
     else:
-        prepared = _segments(df, keys, axis, window, spans).withColumns({**nothing, REF: F.lit(None).cast("int")})
-    columns = [*df.columns, *[c for c in (SEG, PIECE, EDGE, ASSIGNED, STATE, SLOT, REF) if c in prepared.columns]]
+        prepared = _segments(df, keys, axis, window, spans).withColumns({**nothing, REF: F.lit(None).cast("int"), TAKEN: F.lit(None).cast("boolean")})
+    columns = [*df.columns, *[c for c in (SEG, PIECE, EDGE, ASSIGNED, STATE, SLOT, REF, TAKEN) if c in prepared.columns]]
     prepared = prepared.select(*columns)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in prepared.schema.fields])
-    scan = _scanner(keys, axis, fields, window, rule, whole)
     piece = [*keys, SEG, PIECE]
 
     # A fixed count: pieces of Python work should not be merged because their bytes are few.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(rows: DataFrame) -> DataFrame:
+    def run(rows: DataFrame, follow: bool = False) -> DataFrame:
+        rows = rows.select(*columns)  # Arrow output is matched by position
+        laid = rows.repartitionByRange(parts, *piece) if follow else rows.repartition(parts, *piece)
         # ``axis`` is NULL on carried state, so it sorts before the rows of its piece.
-        return (
-            rows.select(*columns)  # Arrow output is matched by position
-            .repartition(parts, *[F.col(c) for c in piece])
-            .sortWithinPartitions(*piece, F.col(axis).asc_nulls_first(), SLOT, *order)
-            .mapInArrow(scan, schema)
-        )
+        ordered = laid.sortWithinPartitions(*piece, F.col(axis).asc_nulls_first(), SLOT, *order)
+        return ordered.mapInArrow(_scanner(keys, axis, fields, window, rule, whole, follow), schema)
 
     if whole:
         return run(prepared).select(*base, ASSIGNED)
@@ -219,20 +233,23 @@ def chained_scan(
 
     rows = cut_lineage(prepared)
     later = rows.filter(F.col(PIECE) > 0)
-    existing = later.select(*piece).distinct()
 
     def handed_over(scanned: DataFrame) -> DataFrame:
         """Closing states, addressed to the piece that starts with them."""
         ends = scanned.filter(F.col(SLOT) >= 0).withColumn(PIECE, F.col(PIECE) + 1)
-        return ends.join(existing, piece, "left_semi").select(*columns)
+        return ends.join(later.select(*piece).distinct(), piece, "left_semi").select(*columns)
 
     def content(states: DataFrame) -> DataFrame:
         seen = [ASSIGNED, SLOT, STATE] if getattr(rule, "reads_ids", False) else [SLOT, STATE]
         return states.groupBy(*piece).agg(F.sum(F.xxhash64(*seen).cast("decimal(38,0)")).alias("_print"))
 
-    scans = [cut_lineage(run(rows)).withColumn("_round", F.lit(0))]
-    states = cut_lineage(handed_over(scans[0]))  # a few rows per piece
-    changed = cut_lineage(states.select(*piece).distinct())
+    scans = [cut_lineage(run(rows, follow=True)).withColumn("_round", F.lit(0))]
+    changed = cut_lineage(handed_over(scans[0].filter(~F.col(TAKEN))).select(*piece).distinct())
+    # No change leaves its run, so the rounds read the runs that were cut between two tasks; in all others ids are known.
+    *run_keys, _ = piece
+    cut_runs = changed.select(*run_keys).distinct()
+    later = cut_lineage(later.join(cut_runs, run_keys, "left_semi").select(*columns))
+    states = cut_lineage(handed_over(scans[0].join(cut_runs, run_keys, "left_semi")))  # a few rows per piece
     redone: list[DataFrame] = []
     # Each round settles at least one more piece of every run, so this ends.  Only the pieces
     # whose starting state changed are scanned and written again.
@@ -253,6 +270,5 @@ def chained_scan(
         last = reduce(DataFrame.unionByName, redone).groupBy(*piece).agg(F.max("_last").alias("_last"))
         scanned = scanned.join(last, piece, "left").filter(F.col("_round") == F.coalesce("_last", F.lit(0)))
     opened = _opened_by(states, piece).withColumnRenamed(SLOT, REF)
-    own = scanned.filter(F.col(REF).isNull()).select(*base, ASSIGNED)
-    inherited = scanned.filter(F.col(REF).isNotNull()).join(opened, [*piece, REF]).select(*base, F.col("_id").alias(ASSIGNED))
-    return own.unionByName(inherited).unionByName(unplaced)
+    found = scanned.join(opened, [*piece, REF], "left").select(*base, F.coalesce("_id", ASSIGNED).alias(ASSIGNED))
+    return found.unionByName(unplaced)

@@ -197,6 +197,30 @@ def test_an_enemy_that_outlives_all_pieces(spark, monkeypatch, pieces):
     assert len(written) <= scans_and_tables + math.log2(pieces) + 3
 
 
+def test_few_pieces_are_scanned_again(spark, monkeypatch):
+    """State goes from piece to piece inside a task, so only runs cut between two tasks are scanned again; ids are those of whole sessions."""
+    from emberlog.operators import chained
+
+    written, cut = [], chained.cut_lineage
+
+    def counting(df):
+        out = cut(df)
+        if {chained.REF, chained.SLOT} <= set(out.columns):  # scans and states; rows of scans have no slot
+            written.append(out.filter((F.col(chained.SLOT) < 0) & F.col(chained.ASSIGNED).isNotNull()).count())
+        return out
+
+    monkeypatch.setattr(chained, "cut_lineage", counting)
+    r = random.Random(5)
+    rows = [(s, f, s * 1000 + f, 7, float(r.randrange(0, 300, 10)), float(r.randrange(0, 300, 10))) for s in range(60) for f in range(200)]
+    hits = spark.createDataFrame(rows, "session_id int, frame int, ordinal bigint, value bigint, center_x double, center_y double")
+    whole = {x.ordinal: x.enemy_id for x in sq.enemy_ids(hits, window=10).collect()}
+    assert not written
+    pieces = {x.ordinal: x.enemy_id for x in sq.enemy_ids(hits, window=10, span=10).collect()}
+    assert pieces == whole and len(pieces) == len(rows)
+    scans = [n for n in written if n]
+    assert scans[0] == len(rows) and sum(scans[1:]) < len(rows) // 4
+
+
 def test_a_frame_of_a_hundred_thousand_points(spark):
     """Pairs in reach only: without cells the frames' points would make ten thousand million."""
     n = 100_000
