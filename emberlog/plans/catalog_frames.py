@@ -145,7 +145,7 @@ def _(spark, sf):
     ["boxes"],
 )
 def _(spark, sf):
-    lines = fr.scored_lines(sq.group_lines(ad.boxes(spark, sf)))
+    lines = fr.scored_lines(sq.lines_by_ordinal(ad.boxes(spark, sf)))
     return fr.best_lines(lines).select("session_id", "frame_index", "line_id", "score", "rank")
 
 

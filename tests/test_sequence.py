@@ -255,6 +255,26 @@ def test_boxes_of_one_ordinal_are_boxes_of_their_own(spark, tmp_path, name):
     assert ok, note
 
 
+def test_best_lines_look_boxes_up_by_ordinal(spark, tmp_path):
+    """Two boxes of one ordinal apart, two in one line, and two that open lines: each counts for the lines of both, as in the SQL."""
+    import __spark_entry__ as entry
+    from tests.oracle_check import compare, connect
+
+    rows = [
+        (1, 10, 5, 2, 10.0, 99.5), (1, 28, 5, 2, 20.0, 99.5), (1, 12, 5, 3, 5.0, 7.0), (1, 29, 5, 4, 30.0, 7.5),  # apart, each beside another box
+        (2, 10, 5, 2, 10.0, 99.5), (2, 12, 6, 2, 20.0, 99.5), (3, 10, 5, 2, 40.0, 99.5), (4, 10, 5, 2, 10.0, 1.0), (4, 12, 5, 2, 20.0, 2.0),
+        (5, 90, 10, 1, 30.0, 5.0), (5, 95, 10, 1, 31.0, 5.0), (5, 90, 10, 1, 30.0, 5.0),
+    ]
+    table = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double")
+    table.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    out = entry.queries()["c9_best_lines"](spark, str(tmp_path))
+    ok, note = compare(out, con, entry.oracle_sql()["c9_best_lines"])
+    assert ok, note
+    assert "TYPES" not in note, note
+
+
 def test_suffix_hints_listed_and_in_cells(spark):
     """Frames below and above the crowd limit, lines without a frame and lines that share an ordinal; listed hints take one shuffle."""
     rng = random.Random(5)
