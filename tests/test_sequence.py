@@ -221,6 +221,34 @@ def test_few_pieces_are_scanned_again(spark, monkeypatch):
     assert scans[0] == len(rows) and sum(scans[1:]) < len(rows) // 4
 
 
+def test_rows_of_a_scan_are_shuffled_and_written_once(spark, monkeypatch):
+    """Of long frames cut into short pieces, the rows of frames cut between two tasks alone are written or shuffled again."""
+    from emberlog.operators import chained
+
+    written, cut = [], chained.cut_lineage
+
+    def counting(df):
+        out = cut(df)
+        if chained.SLOT in out.columns:
+            shuffles = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+            written.append((out.filter(F.col(chained.SLOT) < 0).count(), shuffles))
+        return out
+
+    monkeypatch.setattr(chained, "cut_lineage", counting)
+    r = random.Random(7)
+    rows = []
+    for i in range(6000):
+        left, top = r.randrange(0, 300), r.randrange(0, 120)
+        rows.append((i // 640, i // 10, i, left, top, left + r.randrange(20, 110), top + r.randrange(12, 72), r.randrange(40, 2000)))
+    boxes = spark.createDataFrame(rows, "session_id int, frame_index int, ordinal bigint, left int, top int, right int, bottom int, pixel_count int")
+    whole = {(x.frame_index, x.line_id): tuple(x) for x in sq.group_lines(boxes, max_h=40).collect()}
+    assert not written
+    found = sq.group_lines(boxes, max_h=40, span=24)
+    assert {(x.frame_index, x.line_id): tuple(x) for x in found.collect()} == whole
+    assert sum(n for n, _ in written) < len(rows) * 1.2
+    assert [shuffles for n, shuffles in written if n >= len(rows)] == [0]  # one range partitioning
+
+
 def test_a_frame_of_a_hundred_thousand_points(spark):
     """Pairs in reach only: without cells the frames' points would make ten thousand million."""
     n = 100_000
