@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -216,10 +218,15 @@ def choose_model(samples: DataFrame, trees: int = 100, folds: int = 5, seed: int
         return model, float(f1.evaluate(model.transform(judged)))
 
     spark = samples.sparkSession
-    with ThreadPoolExecutor(parallelism) as pool:
-        scalers = list(pool.map(inheritable_thread_target(spark)(_scaler), [learnt for learnt, _ in sides]))
-        tasks = [(name, scaler, side) for name in candidates for scaler, side in zip(scalers, sides)]
-        fitted = list(pool.map(inheritable_thread_target(spark)(fit), tasks))
+
+    def at_a_time(f: Callable, tasks: list) -> list:
+        # Each task is wrapped by itself: tasks wrapped together would share, and overwrite, the local properties of their jobs.
+        calls = [inheritable_thread_target(spark)(partial(f, task)) for task in tasks]
+        with ThreadPoolExecutor(parallelism) as pool:
+            return list(pool.map(lambda call: call(), calls))
+
+    scalers = at_a_time(_scaler, [learnt for learnt, _ in sides])
+    fitted = at_a_time(fit, [(name, scaler, side) for name in candidates for scaler, side in zip(scalers, sides)])
     scores, models = [], {}
     for i, name in enumerate(candidates):
         *cross, (models[name], test) = fitted[i * (folds + 1) : (i + 1) * (folds + 1)]

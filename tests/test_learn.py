@@ -1,5 +1,6 @@
 """Model choice over distinct rows against the same rows one by one."""
 
+import inspect
 import random
 
 import pytest
@@ -74,3 +75,41 @@ def test_scaler_counts_copies(samples):
         mean, square = scaled.agg(F.sum(F.col("copies") * x), F.sum(F.col("copies") * x * x)).first()
         assert mean / n == pytest.approx(0, abs=1e-9) and square / (n - 1) == pytest.approx(1)
     assert scaled.filter("s_v_has_digit <> 0").isEmpty()  # one value only
+
+
+def test_query_runs_all_trees_folds_and_rounds(spark, monkeypatch):
+    """The registered query leaves out no part of the comparison: 100 trees, five folds, 100 boosting rounds, all rows."""
+    from emberlog.plans import catalog
+    from emberlog.plans import catalog_learn as cl
+
+    asked, choose = [], ml.choose_model
+
+    def noted(*args, **kw):
+        bound = inspect.signature(choose).bind(*args, **kw)
+        bound.apply_defaults()
+        asked.append(bound.arguments)
+        return None, None, spark.range(1)
+
+    monkeypatch.setattr(ml, "choose_model", noted)
+    sf = "/root/testdata/sf0.001"
+    catalog.QUERIES["m5_choose_model"](spark, sf)
+    (got,) = asked
+    assert (got["trees"], got["folds"], got["rounds"]) == (100, 5, 100)
+    read = cl.scored_readings(spark, sf).filter(F.col("is_plausible") & (F.col("confidence") >= 0.6)).count()
+    assert got["samples"].count() >= read + cl.training_rows(spark, sf).count()
+
+
+def test_all_rounds_are_fitted_and_fits_share_no_properties(samples, monkeypatch):
+    """Every boosting model has a tree for each round; each fit and scaler has local properties of its own."""
+    wrapped, wrap, boosted = [], ml.inheritable_thread_target, []
+    monkeypatch.setattr(ml, "inheritable_thread_target", lambda s: wrapped.append(1) or wrap(s))
+
+    class Boosting(ml.GBTClassifier):
+        def _fit(self, rows):
+            model = super()._fit(rows)
+            boosted.append(model.getNumTrees)
+            return model
+
+    monkeypatch.setattr(ml, "GBTClassifier", Boosting)
+    ml.choose_model(samples, trees=2, folds=2, rounds=4)
+    assert boosted == [4] * 3 and len(wrapped) == 3 + 9  # two folds and the whole, three models
